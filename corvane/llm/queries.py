@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.near_dedup import op9_near_dedup
+from corvane.llm.quality_rules import op2_quality_rules
+from corvane.llm.substring_dedup import op7_substring_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op7_substring_dedup, op9_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
