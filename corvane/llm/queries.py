@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.language_id import op3_language_id
 from corvane.llm.mixing import op4_source_mixing
 from corvane.llm.near_dedup import op9_near_dedup
 from corvane.llm.packing import op1_best_fit_packing
 from corvane.llm.quality_rules import op2_quality_rules
 from corvane.llm.substring_dedup import op7_substring_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_source_mixing, op7_substring_dedup, op9_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_source_mixing, op7_substring_dedup, op9_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
