@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import written
+from corvane.llm.storage import few, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,17 +25,15 @@ def components(links: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("v"))
         stars = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["v"].alias("root"))
         stars = written(stars, "stars")
+        moved = few(stars)
         if assigned is None:
             assigned = stars.select(F.col("a").alias("id"), "root")
         else:
-            assigned = (
-                assigned.join(stars.select(F.col("a").alias("root"), F.col("root").alias("next")), "root", "left")
-                .select("id", F.coalesce("next", "root").alias("root"))
-            )
-        moved = stars.select("a", F.col("root").alias("ra"))
+            assigned = assigned.join(moved.select(F.col("a").alias("root"), F.col("root").alias("next")), "root", "left")
+            assigned = assigned.select("id", F.coalesce("next", "root").alias("root"))
         current = (
-            current.join(moved, "a")
-            .join(moved.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
+            current.join(moved.select("a", F.col("root").alias("ra")), "a")
+            .join(moved.select(F.col("a").alias("b"), F.col("root").alias("rb")), "b")
             .where("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
@@ -43,6 +41,22 @@ def components(links: DataFrame) -> DataFrame:
         current = written(current, "links")
     if assigned is None:
         return current.select(F.col("a").alias("id"), F.col("a").alias("label"))
-    assigned = written(assigned, "roots")
     names = assigned.groupBy("root").agg(F.min("id").alias("label"))
-    return assigned.join(names, "root").select("id", "label")
+    return written(assigned.join(names, "root").select("id", "label"), "labels")
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more ``links(a, b)``: only the components that these touch are worked on."""
+    links = written(links, "links")
+    if links.isEmpty():
+        return labels
+    known = few(labels)
+    side = lambda c: known.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    links = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    links = links.select(F.col("a").alias("va"), F.col("b").alias("vb"), F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    links = written(links, "links")
+    joined = few(components(links))
+    ends = links.select(F.col("va").alias("id"), F.col("a").alias("old")).union(links.select(F.col("vb").alias("id"), F.col("b").alias("old")))
+    every = labels.select("id", F.col("label").alias("old")).union(ends).distinct()
+    every = every.join(joined.select(F.col("id").alias("old"), "label"), "old", "left")
+    return written(every.select("id", F.coalesce("label", "old").alias("label")), "labels")

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
-from corvane.llm.components import components
-from corvane.llm.similar import colliding, few, similar_components
-from corvane.llm.storage import written
+from corvane.llm.components import extended
+from corvane.llm.similar import colliding, similar_components
+from corvane.llm.storage import few, written
 
 WIDTH, M, ROWS = 5, 8, 2
 
@@ -64,11 +64,9 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     schema = "row long, n_shingles long, name_a long, name_b long, sketch binary, left array<long>, right array<long>"
     rows = written(texts.mapInArrow(sketch_rows, schema), "sketches")
     usable = rows.where("row is not null and n_shingles > 0")
-    # one vertex for each distinct set, named by its smallest doc_id with that set
-    items = usable.groupBy("name_a", "name_b").agg(F.min("row").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("left").alias("left"), F.first("right").alias("right"))
-    items = written(items, "items")
-    # a doc_id may name several sets (repeated ids with other texts): vertices get their own number
-    items = written(items.withColumn("doc", F.col("id")).withColumn("id", F.monotonically_increasing_id()), "vertices")
+    # one vertex for each distinct set; ``doc`` is the smallest doc_id with that set
+    items = usable.groupBy("name_a", "name_b").agg(F.min("row").alias("doc"), F.max("row").alias("last"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("left").alias("left"), F.first("right").alias("right"))
+    items = written(items.withColumn("id", F.monotonically_increasing_id()), "items")
     # a pair that shares a table shares a hash of the left collection: most documents end here
     lefts = items.select("id", F.posexplode("left").alias("t", "v")).select(F.xxhash64("t", "v").alias("key"), "t", "id")
     alive = written(colliding(lefts).select("id").distinct(), "alive")
@@ -76,31 +74,33 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     keys = colliding(tables.select(F.xxhash64("i", "j", "x", "y").alias("key"), (F.col("i") * M + F.col("j")).alias("t"), "id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = items.join(few(ids), "id").select(F.col("doc").alias("row"), "id", "name_a", "name_b")
+        wanted = written(items.join(few(ids), "id").select(F.col("doc").alias("row"), "id", "name_a", "name_b"), "wanted")
         return _sets(texts, wanted)
 
-    found = similar_components(items, keys, sets_of, num, den, (M, M, ROWS), lambda: F.col("t") % (M + 1) == 0)
-    named = items.select("id", "doc", "name_a", "name_b").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    vertex = written(named.select("id", "name_a", "name_b", "label"), "named")
-    # ids that carry several sets join the components of all of them
-    members = usable.select("row", "name_a", "name_b").distinct().join(vertex, ["name_a", "name_b"]).select("row", "label")
-    several = members.groupBy("row").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("row")
-    bridges = members.join(several, "row").groupBy("row").agg(F.min("label").alias("low"), F.collect_set("label").alias("all"))
-    merged = components(bridges.select(F.explode("all").alias("b"), F.col("low").alias("a")))
-    whole = members.join(merged.select(F.col("id").alias("label"), F.col("label").alias("joined")), "label", "left").select("row", F.coalesce("joined", "label").alias("label"))
-    whole = whole.distinct()
-    smallest = whole.groupBy("label").agg(F.min("row").alias("component_id"))
-    component = written(whole.join(smallest, "label").groupBy("row").agg(F.min("component_id").alias("component_id")), "components")
-    return (
-        rows.select("row", "n_shingles").join(component, "row", "left")
-        .select(F.col("row").alias("doc_id"), "n_shingles", F.coalesce("component_id", "row").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    found = similar_components(items, keys, sets_of, num, den, (M, M, ROWS))
+    # a doc_id that carries several sets (rows that repeat it with other texts) ties them together
+    name = F.struct("name_a", "name_b")
+    several = usable.groupBy("row").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("row")
+    several = written(several, "several")
+    if not several.isEmpty():
+        vertex = items.select("id", "name_a", "name_b")
+        tied = usable.join(few(several), "row").join(vertex, ["name_a", "name_b"]).select("row", "id").distinct()
+        tied = tied.join(tied.groupBy("row").agg(F.min("id").alias("a")), "row").select("a", F.col("id").alias("b"))
+        found = extended(found, tied.where("a <> b"))
+    # sets of one row and without links stand for themselves
+    shared = items.select("id", "doc", "last", "name_a", "name_b").join(few(found), "id", "left").where("label is not null or doc <> last")
+    shared = written(shared.select("name_a", "name_b", "doc", F.coalesce("label", "id").alias("label")), "shared")
+    smallest = shared.groupBy("label").agg(F.min("doc").alias("component_id"))
+    shared = written(shared.join(smallest, "label").select("name_a", "name_b", "component_id"), "shared")
+    joined = rows.select("row", "n_shingles", "name_a", "name_b").join(few(shared, 32), ["name_a", "name_b"], "left")
+    component = F.when(F.col("row").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "row")).otherwise(F.col("row"))
+    joined = joined.select(F.col("row").alias("doc_id"), "n_shingles", component.alias("component_id"))
+    return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingle sets of the wanted documents only; of rows that repeat an id, the one whose set has the wanted name."""
-    found = texts.join(few(wanted.select("row").distinct()), "row").join(few(wanted.select("row", "id", "name_a", "name_b")), "row").select("id", "name_a", "name_b", "text")
+    found = texts.join(few(wanted, 40), "row").select("id", "name_a", "name_b", "text")
     return found.mapInArrow(named_set_rows, "id long, members array<long>").dropDuplicates(["id"])
 
 

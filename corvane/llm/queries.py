@@ -14,7 +14,8 @@ from corvane.llm.quality_rules import op2_quality_rules
 from corvane.llm.substring_dedup import op7_substring_dedup
 from corvane.llm.topk_search import OP8_SQL, op8_exact_topk
 from corvane.llm.url_filter import OP5_SQL, op5_url_filter
+from corvane.llm.warc import OP6_SQL, op6_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_source_mixing, op5_url_filter, op7_substring_dedup, op8_exact_topk, op9_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_source_mixing, op5_url_filter, op6_warc, op7_substring_dedup, op8_exact_topk, op9_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op8_exact_topk": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op8_exact_topk": OP8_SQL}

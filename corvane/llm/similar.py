@@ -4,10 +4,11 @@ The caller supplies sketches and table keys (their layout is the method: tensore
 documents, bands for paragraphs). From the colliding rows this module finds links
 ``den * |A & B| >= num * |A | B|`` that together connect exactly what all colliding pairs would:
 
-1. star rounds: in each bucket, members are tested against one randomly ranked representative,
-   but only where their component labels still differ; verified links merge labels;
-2. a residual round tests what is left, pairs of *different* components in one bucket, inside
-   tasks over blocks of bounded size, emitting only pairs whose sketches leave a link possible.
+1. star rounds over more and more tables: in each bucket, members are tested against one randomly
+   ranked representative, but only where their component labels still differ, and verified links
+   merge components; large groups thus merge in work proportional to their size;
+2. a residual round tests what is left in all tables, pairs of *different* components in one bucket,
+   inside tasks over blocks of bounded size, emitting only pairs whose sketches leave a link possible.
 
 Every candidate is confirmed on full sets. Nothing is capped: a bucket of any size is covered,
 large ones as a grid of blocks. Tables here hold hashes and ids only.
@@ -17,23 +18,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.components import components
-from corvane.llm.storage import written
+from corvane.llm.components import components, extended
+from corvane.llm.storage import few, written
 
 BLOCK = 1024
-BROADCAST_ROWS = 1_000_000
-
-
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint only if a count of its (narrow) rows stays below ``limit``."""
-    return F.broadcast(df) if df.count() <= limit else df
+STAR_TABLES = 4
 
 
 def least_matches(size: int, num: int, den: int) -> int:
@@ -110,12 +105,17 @@ def _at_distance(groups: int, size: int, d: int) -> tuple[np.ndarray, np.ndarray
     return left, left + d
 
 
-def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, tables: tuple[int, ...], early: Callable[[], object]) -> DataFrame:
+def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return keys.withColumn("label", F.col("id"))
+    return keys.join(few(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, tables: tuple[int, ...]) -> DataFrame:
     """``(id, label)`` for every item that has a link, labels as of :func:`components`.
 
     ``items(id, n, sketch)``; ``keys(key, t, id)`` are the colliding rows; ``sets_of(ids)`` gives
-    ``(id, members)`` for the ids asked for; ``early()`` is a condition on ``t`` that picks a few
-    tables for the first star round, which does most of the merging of large groups cheaply.
+    ``(id, members)`` for the ids asked for. ``t`` numbers the tables from 0.
     """
     size = 2 * tables[0] * tables[2] if len(tables) == 3 else tables[0] * tables[1]
     need = least_matches(size, num, den)
@@ -125,15 +125,15 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
     sets = written(sets_of(ids), "sets")
 
     def sketches(side: str) -> DataFrame:
-        return near.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+        return few(near, 4 * size + 100).select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
 
-    def words(c: str):
+    def values(c: str):
         return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(c, F.lit(1) + i * 4, 4))
 
     def possible(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(sketches("a"), "a").join(sketches("b"), "b")
         joined = joined.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        return joined.where(F.size(F.filter(F.zip_with(words("s_a"), words("s_b"), lambda x, y: x == y), lambda x: x)) >= need).select("a", "b")
+        return joined.where(F.size(F.filter(F.zip_with(values("s_a"), values("s_b"), lambda x, y: x == y), lambda x: x)) >= need).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda s: sets.select(F.col("id").alias(s), F.col("members").alias(f"m_{s}"))
@@ -141,34 +141,29 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         return joined.where(den * both >= num * (F.size("m_a") + F.size("m_b") - both)).select("a", "b")
 
-    def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("label", F.col("id"))
-        return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-    def unresolved(rows: DataFrame) -> DataFrame:
-        best = F.min(F.struct(F.xxhash64("id", "key").alias("p"), F.col("id").alias("rep"), F.col("label").alias("rep_label")))
-        found = rows.groupBy("key").agg(best.alias("r"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"))
-        return found.where("low <> high").select("key", "r.rep", "r.rep_label", "rows")
-
-    links: list[DataFrame] = []
-    tested: DataFrame | None = None
     labels: DataFrame | None = None
-    for condition in (early(), None):
-        rows = labelled(keys if condition is None else keys.where(condition), labels)
-        edges = rows.join(unresolved(rows), "key").where("label <> rep_label").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = written(possible(edges), "pairs")
+    tested: DataFrame | None = None
+    total = tables[0] ** 2 if len(tables) == 3 else tables[0]
+    turn = F.pmod(F.col("t") * 37, F.lit(total))  # 37 is prime to both: spreads a turn's tables over the collections
+    best = F.min(F.struct(F.xxhash64("id", "key").alias("p"), F.col("id").alias("rep"), F.col("label").alias("rep_label")))
+    low, high = 0, STAR_TABLES
+    while low < total:
+        chosen = _labelled(keys.where((turn >= low) & (turn < high)), labels)
+        edges = chosen.join(chosen.groupBy("key").agg(best.alias("r")).select("key", "r.rep", "r.rep_label"), "key").where("label <> rep_label")
+        edges = written(possible(edges.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()), "pairs")
         tested = edges if tested is None else tested.unionByName(edges)
-        links.append(written(confirmed(edges), "links"))
-        labels = components(reduce(DataFrame.unionByName, links))
-    rows = labelled(keys, labels)
-    chunks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.join(unresolved(rows).select("key", chunks.alias("chunks")), "key").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        if labels is None:
+            labels = components(confirmed(edges))
+        elif not edges.isEmpty():
+            labels = extended(labels, confirmed(edges))
+        low, high = high, 2 * high
+    rows = _labelled(keys, labels)
+    buckets = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    buckets = buckets.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("chunks"))
+    rows = rows.join(buckets, "key").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
-    rows = rows.join(near, "id").select("key", "t", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "id", "label", F.col("n").cast("long").alias("n"), "sketch")
+    rows = rows.join(few(near, 4 * size + 100), "id").select("key", "t", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "id", "label", F.col("n").cast("long").alias("n"), "sketch")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = rows.mapInArrow(lambda it: residual_pairs(it, tables, need, num, den), "a long, b long").distinct()
-    links.append(written(confirmed(pairs.join(tested, ["a", "b"], "left_anti")), "links"))
-    return components(reduce(DataFrame.unionByName, links))
+    pairs = rows.mapInArrow(lambda it: residual_pairs(it, tables, need, num, den), "a long, b long")
+    pairs = written(pairs.distinct().join(few(tested), ["a", "b"], "left_anti"), "pairs")
+    return labels if pairs.isEmpty() else extended(labels, confirmed(pairs))

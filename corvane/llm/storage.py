@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint only if a count of its rows stays within ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

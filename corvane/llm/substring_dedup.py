@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
-from corvane.llm.similar import colliding, few, similar_components
-from corvane.llm.storage import written
+from corvane.llm.similar import colliding, similar_components
+from corvane.llm.storage import few, written
 
 WIDTH, BANDS, ROWS, LEAST_WORDS = 5, 14, 3, 25
 OCCURRENCES = "doc_id long, ka long, kb long, line int, n_words long, n long, name_a long, name_b long, sketch binary"
@@ -116,16 +116,16 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> tuple
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = items.join(few(ids), "id").select("place.ka", "place.kb", "place.line", "id")
-        wanted = wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids"))
-        texts = keyed.select("ka", "kb", "text").join(few(wanted), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
+        wanted = written(wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids")), "wanted")
+        texts = keyed.select("ka", "kb", "text").join(few(wanted, 100), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
         return texts.mapInArrow(paragraph_sets, "id long, members array<long>")
 
-    found = similar_components(items, keys, sets_of, num, den, (BANDS, ROWS), lambda: F.col("t") < 4)
-    named = items.join(found, "id", "left").where("label is not null or place <> last")
-    named = named.select("name_a", "name_b", "place", F.coalesce("label", "id").alias("label"))
+    found = similar_components(items, keys, sets_of, num, den, (BANDS, ROWS))
+    named = items.select("id", "name_a", "name_b", "place", "last").join(few(found), "id", "left").where("label is not null or place <> last")
+    named = written(named.select("name_a", "name_b", "place", F.coalesce("label", "id").alias("label")), "named")
     keeper = named.groupBy("label").agg(F.min("place").alias("keep"))
-    named = named.join(keeper, "label").select("name_a", "name_b", "keep")
-    gone = seen.select("name_a", "name_b", "n_words", place.alias("at")).join(named, ["name_a", "name_b"]).where("not (at <=> keep)")
+    named = written(named.join(keeper, "label").select("name_a", "name_b", "keep"), "named")
+    gone = seen.select("name_a", "name_b", "n_words", place.alias("at")).join(few(named, 64), ["name_a", "name_b"]).where("not (at <=> keep)")
     gone = gone.select("at.ka", "at.kb", "at.line", "n_words").dropDuplicates(["ka", "kb", "line"])
     removed = gone.groupBy("ka", "kb").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sum("n_words").alias("words_removed"))
     return lines, written(removed, "removed")
