@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
-from corvane.llm.components import extended
+from corvane.llm.components import components
 from corvane.llm.similar import colliding, similar_components
 from corvane.llm.storage import few, written
 
@@ -69,29 +69,29 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     items = written(items.withColumn("id", F.monotonically_increasing_id()), "items")
     # a pair that shares a table shares a hash of the left collection: most documents end here
     lefts = items.select("id", F.posexplode("left").alias("t", "v")).select(F.xxhash64("t", "v").alias("key"), "t", "id")
-    alive = written(colliding(lefts).select("id").distinct(), "alive")
+    alive = written(colliding(lefts).select("id").distinct(), "alive", narrow=True)
     tables = items.join(few(alive), "id").select("id", F.posexplode("left").alias("i", "x"), "right").select("id", "i", "x", F.posexplode("right").alias("j", "y"))
     keys = colliding(tables.select(F.xxhash64("i", "j", "x", "y").alias("key"), (F.col("i") * M + F.col("j")).alias("t"), "id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = written(items.join(few(ids), "id").select(F.col("doc").alias("row"), "id", "name_a", "name_b"), "wanted")
+        wanted = written(items.join(few(ids), "id").select(F.col("doc").alias("row"), "id", "name_a", "name_b"), "wanted", narrow=True)
         return _sets(texts, wanted)
 
     found = similar_components(items, keys, sets_of, num, den, (M, M, ROWS))
     # a doc_id that carries several sets (rows that repeat it with other texts) ties them together
     name = F.struct("name_a", "name_b")
     several = usable.groupBy("row").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("row")
-    several = written(several, "several")
+    several = written(several, "several", narrow=True)
     if not several.isEmpty():
         vertex = items.select("id", "name_a", "name_b")
         tied = usable.join(few(several), "row").join(vertex, ["name_a", "name_b"]).select("row", "id").distinct()
         tied = tied.join(tied.groupBy("row").agg(F.min("id").alias("a")), "row").select("a", F.col("id").alias("b"))
-        found = extended(found, tied.where("a <> b"))
+        found = components(found.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(tied))
     # sets of one row and without links stand for themselves
     shared = items.select("id", "doc", "last", "name_a", "name_b").join(few(found), "id", "left").where("label is not null or doc <> last")
-    shared = written(shared.select("name_a", "name_b", "doc", F.coalesce("label", "id").alias("label")), "shared")
+    shared = written(shared.select("name_a", "name_b", "doc", F.coalesce("label", "id").alias("label")), "shared", narrow=True)
     smallest = shared.groupBy("label").agg(F.min("doc").alias("component_id"))
-    shared = written(shared.join(smallest, "label").select("name_a", "name_b", "component_id"), "shared")
+    shared = written(shared.join(smallest, "label").select("name_a", "name_b", "component_id"), "shared", narrow=True)
     joined = rows.select("row", "n_shingles", "name_a", "name_b").join(few(shared, 32), ["name_a", "name_b"], "left")
     component = F.when(F.col("row").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "row")).otherwise(F.col("row"))
     joined = joined.select(F.col("row").alias("doc_id"), "n_shingles", component.alias("component_id"))

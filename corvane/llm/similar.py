@@ -8,7 +8,8 @@ documents, bands for paragraphs). From the colliding rows this module finds link
    ranked representative, but only where their component labels still differ, and verified links
    merge components; large groups thus merge in work proportional to their size;
 2. a residual round tests what is left in all tables, pairs of *different* components in one bucket,
-   inside tasks over blocks of bounded size, emitting only pairs whose sketches leave a link possible.
+   inside tasks over blocks of bounded size: first by sketch, which drops every row without a
+   possible link, then on full sets. Only verified links that join something are emitted.
 
 Every candidate is confirmed on full sets. Nothing is capped: a bucket of any size is covered,
 large ones as a grid of blocks. Tables here hold hashes and ids only.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.components import components, extended
+from corvane.llm.components import components
 from corvane.llm.storage import few, written
 
 BLOCK = 1024
@@ -52,52 +53,105 @@ def _first_table(equal: np.ndarray, tables: tuple[int, ...]) -> np.ndarray:
     return halves[:, 0].argmax(1) * m + halves[:, 1].argmax(1)
 
 
-def residual_pairs(batches: Iterator[pa.RecordBatch], tables: tuple[int, ...], need: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Possible links between different components, from rows sorted by block (key, lo, hi)."""
-    held: dict[str, np.ndarray] | None = None
-    width = 2 * tables[0] * tables[2] if len(tables) == 3 else tables[0] * tables[1]
+GROUP = ("key", "lo", "hi")
+NUMBERS = ("key", "t", "lo", "hi", "c", "id", "label", "n")
+BLOCK_ROWS = "key long, t int, lo int, hi int, c int, id long, label long, n long, sketch binary"
 
-    def block_pairs(g: dict[str, np.ndarray], rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        x, y = rows[i], rows[j]
-        ok = (g["label"][x] != g["label"][y]) & (den * np.minimum(g["n"][x], g["n"][y]) >= num * np.maximum(g["n"][x], g["n"][y]))
-        ok &= (g["lo"][x] == g["hi"][x]) | (g["c"][x] != g["c"][y])
-        x, y = x[ok], y[ok]
-        equal = g["sketch"][x] == g["sketch"][y]
-        ok = (equal.sum(1) >= need) & (_first_table(equal, tables) == g["t"][x])
-        x, y = g["id"][x[ok]], g["id"][y[ok]]
-        return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
-
-    def done(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n = len(g["id"])
-        if not n:
-            return
-        change = np.flatnonzero((np.diff(g["key"]) != 0) | (np.diff(g["lo"]) != 0) | (np.diff(g["hi"]) != 0)) + 1
-        first = np.concatenate(([0], change))
-        sizes = np.diff(np.concatenate((first, [n])))
-        for s in np.unique(sizes[sizes > 1]):
-            at = first[sizes == s]
-            step = max(1, 200_000 // int(s * s))
-            for k in range(0, len(at), step):
-                rows = at[k : k + step, None] + np.arange(s)[None, :]
-                for d in range(1, int(s)):  # all pairs at distance d, of all groups of this size at once
-                    pairs = block_pairs(g, rows.ravel(), *(x.ravel() for x in _at_distance(len(rows), int(s), d)))
-                    if len(pairs):
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole blocks (key, lo, hi), as many as a batch completes, from rows sorted by them."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        g = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t", "lo", "hi", "c", "id", "label", "n")}
-        g["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, width)
-        if held is not None:
-            g = {c: np.concatenate((held[c], g[c])) for c in g}
-        last = len(g["key"]) - 1
-        same = (g["key"] == g["key"][last]) & (g["lo"] == g["lo"][last]) & (g["hi"] == g["hi"][last])
-        cut = int(same.argmax())
-        held = {c: v[cut:] for c, v in g.items()}
-        yield from done({c: v[:cut] for c, v in g.items()})
-    if held is not None:
-        yield from done(held)
+        held.append(batch)
+        ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in GROUP]
+        change = np.flatnonzero(sum((x[1:] != x[:-1]).astype(int) for x in ids)) + 1
+        if len(held) > 1 and any(x[0] != held[-2].column(c)[held[-2].num_rows - 1].as_py() for c, x in zip(GROUP, ids)):
+            yield pa.Table.from_batches(held[:-1])
+            held = held[-1:]
+        if len(change):
+            cut = int(change[-1])
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Pairing:
+    """Which pairs of a block could be links, and are this block's to test."""
+
+    def __init__(self, rows: pa.Table, tables: tuple[int, ...], need: int, num: int, den: int):
+        self.col = {c: rows.column(c).to_numpy() for c in NUMBERS}
+        width = 2 * tables[0] * tables[2] if len(tables) == 3 else tables[0] * tables[1]
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, width)
+        self.tables, self.need, self.num, self.den = tables, need, num, den
+        ids = [self.col[c] for c in GROUP]
+        change = np.flatnonzero(sum((x[1:] != x[:-1]).astype(int) for x in ids)) + 1
+        self.first = np.concatenate(([0], change))
+        self.sizes = np.diff(np.concatenate((self.first, [rows.num_rows])))
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the pairs of rows (x, y): different labels, sizes and sketches that allow a link, and no earlier common table."""
+        g = self.col
+        ok = (g["label"][x] != g["label"][y]) & (self.den * np.minimum(g["n"][x], g["n"][y]) >= self.num * np.maximum(g["n"][x], g["n"][y]))
+        ok &= (g["lo"][x] == g["hi"][x]) | (g["c"][x] != g["c"][y])
+        at = np.flatnonzero(ok)
+        equal = self.sketch[x[at]] == self.sketch[y[at]]
+        ok[at] = (equal.sum(1) >= self.need) & (_first_table(equal, self.tables) == g["t"][x[at]])
+        return ok
+
+
+def promising_rows(batches: Iterator[pa.RecordBatch], tables: tuple[int, ...], need: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that have a possible link in it; never more than came in."""
+    for rows in _blocks(batches):
+        pairing = Pairing(rows, tables, need, num, den)
+        marked = np.zeros(rows.num_rows, bool)
+        for s in np.unique(pairing.sizes[pairing.sizes > 1]):
+            at = pairing.first[pairing.sizes == s]
+            step = max(1, 200_000 // int(s))
+            for k in range(0, len(at), step):
+                members = (at[k : k + step, None] + np.arange(s)[None, :]).ravel()
+                for d in range(1, int(s)):  # all pairs at distance d, of all blocks of this size at once
+                    i, j = _at_distance(len(members) // int(s), int(s), d)
+                    x, y = members[i.ravel()], members[j.ravel()]
+                    ok = pairing.possible(x, y)
+                    marked[x[ok]] = marked[y[ok]] = True
+        if marked.any():
+            yield from rows.filter(pa.array(marked)).to_batches()
+
+
+def linked_rows(batches: Iterator[pa.RecordBatch], tables: tuple[int, ...], need: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Verified links of each block, of which only those that join what was apart; sets are compared in full."""
+    for rows in _blocks(batches):
+        pairing = Pairing(rows, tables, need, num, den)
+        g, out = pairing.col, []
+        sets = rows.column("members").combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+        values = sets.flatten().to_numpy()
+        for first, size in zip(pairing.first, pairing.sizes):
+            low, high = ends[first], ends[first + size]
+            names, code = np.unique(values[low:high], return_inverse=True)
+            ours = np.zeros(len(names), bool)
+            label = g["label"][first : first + size].copy()
+            for i in range(size - 1):
+                others = np.arange(i + 1, size)
+                others = others[label[others] != label[i]]
+                others = others[pairing.possible(np.full(len(others), first + i), first + others)]
+                if not len(others):
+                    continue
+                own = code[ends[first + i] - low : ends[first + i + 1] - low]
+                ours[own] = True
+                for j in others:
+                    if label[j] == label[i]:
+                        continue
+                    common = int(ours[code[ends[first + j] - low : ends[first + j + 1] - low]].sum())
+                    if den * common >= num * int(g["n"][first + i] + g["n"][first + j] - common):
+                        out.append((int(g["id"][first + i]), int(g["id"][first + j])))
+                        label[label == label[j]] = label[i]
+                ours[own] = False
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
 
 
 def _at_distance(groups: int, size: int, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +173,8 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
     """
     size = 2 * tables[0] * tables[2] if len(tables) == 3 else tables[0] * tables[1]
     need = least_matches(size, num, den)
-    keys = written(keys, "keys")
-    ids = written(keys.select("id").distinct(), "ids")
+    keys = written(keys, "keys", narrow=True)
+    ids = written(keys.select("id").distinct(), "ids", narrow=True)
     near = written(items.select("id", "n", "sketch").join(few(ids), "id"), "near")
     sets = written(sets_of(ids), "sets")
 
@@ -141,8 +195,7 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         return joined.where(den * both >= num * (F.size("m_a") + F.size("m_b") - both)).select("a", "b")
 
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
+    labels = links = None
     total = tables[0] ** 2 if len(tables) == 3 else tables[0]
     turn = F.pmod(F.col("t") * 37, F.lit(total))  # 37 is prime to both: spreads a turn's tables over the collections
     best = F.min(F.struct(F.xxhash64("id", "key").alias("p"), F.col("id").alias("rep"), F.col("label").alias("rep_label")))
@@ -150,20 +203,23 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
     while low < total:
         chosen = _labelled(keys.where((turn >= low) & (turn < high)), labels)
         edges = chosen.join(chosen.groupBy("key").agg(best.alias("r")).select("key", "r.rep", "r.rep_label"), "key").where("label <> rep_label")
-        edges = written(possible(edges.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()), "pairs")
-        tested = edges if tested is None else tested.unionByName(edges)
-        if labels is None:
-            labels = components(confirmed(edges))
-        elif not edges.isEmpty():
-            labels = extended(labels, confirmed(edges))
-        low, high = high, 2 * high
+        edges = edges.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+        edges = written(possible(edges), "pairs", narrow=True)
+        if labels is None or not edges.isEmpty():
+            found = written(confirmed(edges), "links", narrow=True)
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        low, high = high, 4 * high
     rows = _labelled(keys, labels)
     buckets = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low <> high")
     buckets = buckets.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("chunks"))
     rows = rows.join(buckets, "key").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
     rows = rows.join(few(near, 4 * size + 100), "id").select("key", "t", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "id", "label", F.col("n").cast("long").alias("n"), "sketch")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = rows.mapInArrow(lambda it: residual_pairs(it, tables, need, num, den), "a long, b long")
-    pairs = written(pairs.distinct().join(few(tested), ["a", "b"], "left_anti"), "pairs")
-    return labels if pairs.isEmpty() else extended(labels, confirmed(pairs))
+    rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    rows = written(rows.mapInArrow(lambda it: promising_rows(it, tables, need, num, den), BLOCK_ROWS), "promising", narrow=True)
+    if rows.isEmpty():
+        return labels
+    rows = rows.join(sets, "id").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = rows.mapInArrow(lambda it: linked_rows(it, tables, need, num, den), "a long, b long")
+    return components(links.unionByName(written(found, "links", narrow=True)))

@@ -116,19 +116,19 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> tuple
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = items.join(few(ids), "id").select("place.ka", "place.kb", "place.line", "id")
-        wanted = written(wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids")), "wanted")
+        wanted = written(wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids")), "wanted", narrow=True)
         texts = keyed.select("ka", "kb", "text").join(few(wanted, 100), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
         return texts.mapInArrow(paragraph_sets, "id long, members array<long>")
 
     found = similar_components(items, keys, sets_of, num, den, (BANDS, ROWS))
     named = items.select("id", "name_a", "name_b", "place", "last").join(few(found), "id", "left").where("label is not null or place <> last")
-    named = written(named.select("name_a", "name_b", "place", F.coalesce("label", "id").alias("label")), "named")
+    named = written(named.select("name_a", "name_b", "place", F.coalesce("label", "id").alias("label")), "named", narrow=True)
     keeper = named.groupBy("label").agg(F.min("place").alias("keep"))
-    named = written(named.join(keeper, "label").select("name_a", "name_b", "keep"), "named")
+    named = written(named.join(keeper, "label").select("name_a", "name_b", "keep"), "named", narrow=True)
     gone = seen.select("name_a", "name_b", "n_words", place.alias("at")).join(few(named, 64), ["name_a", "name_b"]).where("not (at <=> keep)")
     gone = gone.select("at.ka", "at.kb", "at.line", "n_words").dropDuplicates(["ka", "kb", "line"])
     removed = gone.groupBy("ka", "kb").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sum("n_words").alias("words_removed"))
-    return lines, written(removed, "removed")
+    return lines, written(removed, "removed", narrow=True)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
