@@ -49,10 +49,10 @@ def ngrams(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
     blanks only do not count.
     """
     letters, offsets = _code_points(part)
-    # one blank between rows, so that no window crosses
+    # two blanks between rows: one closes a row's last word, one opens the next row's first
     row = np.repeat(np.arange(part.rows), np.diff(offsets))
-    at = np.arange(len(letters)) + row + 1
-    padded = np.zeros(len(letters) + part.rows + 1, np.int64)
+    at = np.arange(len(letters)) + 2 * row + 1
+    padded = np.zeros(len(letters) + 2 * part.rows + 1, np.int64)
     padded[at] = letters
     owner = np.zeros(len(padded), np.int64)
     owner[at] = row
