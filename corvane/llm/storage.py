@@ -28,15 +28,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    ``narrow``: a table of a few numbers per row, written by as many tasks as the cluster has cores
-    rather than by one per shuffle partition.
+    ``narrow``: a small table of a few numbers per row, written by an eighth of the shuffle partitions
+    (8 at least), as so many files of a few rows cost more than they save.
 
     Cuts the lineage durably: a lost executor costs a re-read, never a recomputation of
     everything before it, and values that depend on the run (row ids) stay fixed.
     """
     path = new_path(df.sparkSession, name)
     if narrow:
-        df = df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism))
+        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
