@@ -1 +1 @@
-
+"""Column expressions for text, vectors and ranks."""

@@ -1 +1 @@
-
+"""Operators over DataFrames: retrieval, evaluation, data sets, reports."""

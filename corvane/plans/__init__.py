@@ -1 +1 @@
-
+"""The catalog of registered queries."""

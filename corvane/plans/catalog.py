@@ -590,3 +590,88 @@ def violations(spark, sf_dir):
         "duplicate_text": R.duplicates(d, "text"), "unlabelled": R.missing(d, lab, "doc_id"), "unknown_label": R.missing(lab, d, "doc_id"),
         "dimension": vectors(spark, sf_dir).where(F.size("vec") != 64), "length_drift": d.where(~F.col("n_chars").eqNullSafe(F.length("text"))),
     })
+
+
+# --- ingest, configuration and run rows -------------------------------------------------------
+
+@query("""
+SELECT o_custkey::VARCHAR || '::' || o_orderkey AS chunk_id, l_linenumber AS fact_no, p_name AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'P'""")
+def graph_pattern(spark, sf_dir):
+    """Chunks joined to their facts over an edge table; the predicate on chunks reaches their scan."""
+    o, e, f = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    o = o.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    joined = o.join(e.select("l_orderkey", "l_partkey", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey")).join(f.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+    return joined.select(chunk_key(F.col("o_custkey"), F.col("o_orderkey")).alias("chunk_id"), F.col("l_linenumber").alias("fact_no"), F.col("p_name").alias("text"))
+
+
+@query("""
+SELECT n_nationkey AS item, CASE WHEN n_regionkey % 2 = 0 THEN 'query' ELSE 'doc' END AS kind, mode, CASE WHEN mode = 'instruct' THEN CASE WHEN n_regionkey % 2 = 0 THEN 'Find: ' || r_name ELSE NULL END END AS prompt
+FROM nation JOIN region ON r_regionkey = n_regionkey, (VALUES ('instruct'), ('no_instruct')) m(mode)""")
+def prompt_resolution(spark, sf_dir):
+    """The prompt of every input and mode: none without instruction, else by the input's kind."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    kind = F.when(F.col("n_regionkey") % 2 == 0, "query").otherwise("doc")
+    rows = n.select(F.col("n_nationkey").alias("item"), kind.alias("kind"), "r_name", F.explode(F.array(F.lit("instruct"), F.lit("no_instruct"))).alias("mode"))
+    return rows.select("item", "kind", "mode", F.when((F.col("mode") == "instruct") & (F.col("kind") == "query"), F.concat(F.lit("Find: "), "r_name")).alias("prompt"))
+
+
+@query("""
+WITH e AS (SELECT user_id % 97 AS pair_id, event_id AS seq, value AS score FROM events), l AS (SELECT pair_id, arg_max(score, seq) AS score FROM e GROUP BY 1)
+SELECT p_partkey AS pair_id, p_name AS text, score, score IS NULL AS missing FROM part LEFT JOIN l ON pair_id = p_partkey""")
+def external_scores(spark, sf_dir):
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("text"))
+    outside = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("pair_id"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    return R.with_external(pairs, outside).withColumn("missing", F.col("score").isNull())
+
+
+@query(f"SELECT price, round(sum(least(n, 8191)) / 1e6::DOUBLE * price, 6) AS cost FROM ({_DOCS_SQL}), (VALUES (0.02::DOUBLE), (0.1::DOUBLE), (0.13::DOUBLE)) p(price) GROUP BY 1")
+def cost_estimate(spark, sf_dir):
+    """Cost of embedding all documents at a price per million tokens, texts cut at 8191 tokens."""
+    rows = documents(spark, sf_dir).select(F.least(n_tokens(), F.lit(8191)).alias("n"), F.explode(F.array(*(F.lit(x) for x in (0.02, 0.1, 0.13)))).alias("price"))
+    return rows.groupBy("price").agg(F.sum("n").alias("s")).select("price", F.round(F.col("s") / 1e6 * F.col("price"), 6).alias("cost"))
+
+
+@query("""
+SELECT role, count(*) AS n, count(*) FILTER (sha256(text) IS DISTINCT FROM sha256(trim(text)) OR turn % 5 = 0) AS drifted FROM conversations GROUP BY 1""")
+def sha_drift(spark, sf_dir):
+    """Texts whose digest differs from the recorded one, missing records included (every fifth turn has none)."""
+    c = table(spark, sf_dir, "conversations")
+    recorded = F.when(F.col("turn") % 5 != 0, F.sha2(F.trim("text"), 256))
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(~F.sha2("text", 256).eqNullSafe(recorded)).alias("drifted"))
+
+
+@query("SELECT model, status, count(*) AS n FROM (" + _OOM_SQL + ") GROUP BY 1, 2")
+def status_histogram(spark, sf_dir):
+    return R.oom_propagated(_status_rows(spark, sf_dir), ["model"]).groupBy("model", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT length_group, count(*) AS n, min(n_tokens) AS least, list_sort(list(n_tokens))[len(list(n_tokens)) // 2 + 1] AS middle, max(n_tokens) AS most, count(DISTINCT source) AS n_sources FROM ({_BANDED_SQL}) GROUP BY 1""")
+def dataset_summary(spark, sf_dir):
+    """Smallest, middle (index n // 2) and largest token count per band, and its sources."""
+    g = _banded(spark, sf_dir).groupBy("length_group").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.array_sort(F.collect_list("n_tokens")).alias("all"), F.max("n_tokens").alias("most"), F.count_distinct("source").alias("n_sources"))
+    return g.select("length_group", "n", "least", F.get("all", F.floor(F.size("all") / 2).cast("int")).alias("middle"), "most", "n_sources")
+
+
+@query("""
+SELECT event_type AS model, count(*) AS n_batches, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, arg_min(value, event_id) AS first, round(count(*) / sum(value), 6) AS items_per_second FROM events GROUP BY 1""")
+def encode_summary(spark, sf_dir):
+    """Batch timings of an encoding run: mean, percentiles, the first batch, and the overall rate."""
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
+    g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n_batches"), F.avg("value").alias("mean"), p.alias("p"), F.min_by("value", "event_id").alias("first"), F.sum("value").alias("total"))
+    return g.select("model", "n_batches", F.round("mean", 6).alias("mean"), F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "first", F.round(F.try_divide("n_batches", "total"), 6).alias("items_per_second"))
+
+
+@query("""
+WITH m AS (SELECT s_nationkey AS model, s_suppkey % 4 AS mode, CASE WHEN s_acctbal > 0 THEN floor(s_acctbal)::BIGINT END AS n, s_suppkey FROM supplier)
+SELECT s_suppkey AS id, model, mode, n, coalesce(CASE WHEN n > 5000 THEN n END, 2048)::BIGINT AS window_,
+  concat_ws('; ', CASE WHEN n > 5000 THEN 'long' END, CASE WHEN mode = 0 THEN 'default mode' END, CASE WHEN n % 2 = 0 THEN 'even' END) AS notes
+FROM m WHERE n IS NOT NULL AND n <> 0 AND NOT (model = 3 AND mode = 1)""")
+def manifest_rows(spark, sf_dir):
+    """Manifest entries as flat rows with defaults and notes; empty entries and excluded pairs give none."""
+    n, mode = F.col("n"), F.col("mode")
+    m = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("model"), (F.col("s_suppkey") % 4).alias("mode"), F.when(F.col("s_acctbal") > 0, F.floor("s_acctbal")).alias("n"))
+    skip = spark.createDataFrame([(3, 1)], "model int, mode long")
+    m = m.where(n.isNotNull() & (n != 0)).join(F.broadcast(skip), ["model", "mode"], "left_anti")  # one excluded pair
+    notes = F.concat_ws("; ", F.when(n > 5000, "long"), F.when(mode == 0, "default mode"), F.when(n % 2 == 0, "even"))
+    return m.select("id", "model", "mode", "n", F.coalesce(F.when(n > 5000, n), F.lit(2048)).cast("long").alias("window_"), notes.alias("notes"))

@@ -1 +1 @@
-
+"""Tables, readers and writers."""

@@ -1 +1 @@
-
+"""Reserved: every input of the engine is finite, so there is no streaming operator yet."""
