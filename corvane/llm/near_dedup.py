@@ -118,12 +118,12 @@ def named_set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, flat.view(np.int64))], ["id", "members"])
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose document stands for its near-duplicate group, all columns kept.
 
     Rows that repeat a kept doc_id with the same text count as copies: one of them stays.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
 
