@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 #: White space that Python's strip() removes.
-BLANKS = r"\s\x0b\x1c-\x1f\x85\xa0  -     　"
+BLANKS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Abbreviations, applied longest first, in this order among equals.
 ABBREVIATIONS = (
     ("như thế nào", "ntn"), ("khách hàng", "kh"), ("điện thoại", "dt"), ("bao nhiêu", "bn"), ("hướng dẫn", "hd"),
