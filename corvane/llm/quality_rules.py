@@ -93,11 +93,12 @@ class LabelModel:
     bad: dict[str, dict[int, float]]
 
     def posterior(self) -> Column:
-        score = F.lit(math.log(self.prior / (1 - self.prior)))
+        # steps stand in constant arrays, so that every round of the fit runs the same generated code
+        score = f"get(array({math.log(self.prior / (1 - self.prior))!r}D), 0)"
         for r in RULES:
-            step = {v: math.log(self.good[r][v] / self.bad[r][v]) for v in VOTES}
-            score = score + F.when(F.col(r) == 1, step[1]).when(F.col(r) == -1, step[-1]).otherwise(step[0])
-        return 1 / (1 + F.exp(-score))
+            steps = ", ".join(f"{math.log(self.good[r][v] / self.bad[r][v])!r}D" for v in VOTES)
+            score += f" + get(array({steps}), {r} + 1)"
+        return F.expr(f"1 / (1 + exp(-({score})))")
 
 
 VOTES = (-1, 0, 1)
@@ -106,30 +107,29 @@ START = LabelModel(0.8, {r: {-1: 0.1, 0: 0.5, 1: 0.4} for r in RULES}, {r: {-1:
 
 
 def fit(votes: DataFrame, rounds: int = 30, tolerance: float = 1e-3) -> LabelModel:
-    """EM over all rows of ``votes``; each round is one aggregate over the pattern table.
+    """EM over all rows of ``votes``; each round is one aggregate over the pattern table, by rule and vote.
 
     One added count per vote keeps every probability positive. A rule never counts a bad vote as a
     sign of good (nor a good vote as a sign of bad), so the classes keep their meaning; the prior
     stays in [0.05, 0.98]. An empty table leaves the starting values.
     """
-    patterns = written(votes.groupBy(*RULES).agg(F.count("*").alias("n")), "patterns")
+    patterns = votes.groupBy(*RULES).agg(F.count("*").alias("n"))
+    each = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("vote")) for r in RULES))
+    # at most 7 * 3 ** 7 rows, whatever the corpus: one task sums them without a shuffle
+    patterns = written(patterns.select("*", F.inline(each)).repartition(1), "patterns").coalesce(1)
+    counts = {(x["rule"], x["vote"]): x["n"] for x in patterns.groupBy("rule", "vote").agg(F.sum("n").alias("n")).collect()}
+    everything = sum(counts.get((RULES[0], v), 0) for v in VOTES)
     model = START
-    for _ in range(rounds):
-        good = F.col("q") * F.col("n")
-        sums = [F.sum("n").alias("all"), F.sum(good).alias("good")]
-        for r in RULES:
-            for v in VOTES:
-                sums += [F.sum(F.when(F.col(r) == v, good).otherwise(0)).alias(f"{r}_good{v}"), F.sum(F.when(F.col(r) == v, F.col("n") - good).otherwise(0)).alias(f"{r}_bad{v}")]
-        found = patterns.withColumn("q", model.posterior()).agg(*sums).first()
-        if not found["all"]:
-            break
-        share = found["good"] / found["all"]
+    for _ in range(rounds if everything else 0):
+        found = patterns.groupBy("rule", "vote").agg(F.sum(model.posterior() * F.col("n")).alias("good")).collect()
+        good = {(x["rule"], x["vote"]): x["good"] for x in found}
+        good_sum = sum(good.get((RULES[0], v), 0.0) for v in VOTES)
+        share = good_sum / everything
         sides: dict[str, dict[str, dict[int, float]]] = {"good": {}, "bad": {}}
-        for side in sides:
-            total = found["good"] if side == "good" else found["all"] - found["good"]
-            for r in RULES:
-                sides[side][r] = {v: (found[f"{r}_{side}{v}"] + 1) / (total + 3) for v in VOTES}
         for r in RULES:
+            g = {v: good.get((r, v), 0.0) for v in VOTES}
+            sides["good"][r] = {v: (g[v] + 1) / (good_sum + 3) for v in VOTES}
+            sides["bad"][r] = {v: (max(counts.get((r, v), 0) - g[v], 0.0) + 1) / (everything - good_sum + 3) for v in VOTES}
             g, b = sides["good"][r], sides["bad"][r]
             for v, wrong in ((-1, g[-1] > b[-1]), (1, b[1] > g[1])):
                 if wrong:
