@@ -6,11 +6,11 @@ estimates at all depths are mixed with the weights ``1/2 P_e : 1/2 prod P_w(chil
 training text gives them (contexts of a node that are not in the tree count together as one more
 child). The probability of a text is the product over its bits, a proper distribution.
 
-Learning takes two passes over all training texts. The first finds the tree: each partition reports
-contexts above a quarter of the threshold, whose sums miss less than a quarter of it, so every context
-seen at least ``N / NODES`` times is in, and at most ``4/3 NODES`` per depth can be. The second counts
-every training byte at its deepest context. The model is thus bounded by the parameters, whatever the
-corpus. Word counts are exact and stay distributed; only the ``HEAD`` most frequent words are broadcast,
+The query keeps every context of the training texts (``learn_full``, in ``context_trees``). ``learn`` gives
+a model in memory that is bounded by ``nodes``: its first pass finds the tree (each partition reports
+contexts above a quarter of the threshold, so every context seen at least ``N / nodes`` times is in, and
+at most ``4/3 nodes`` per depth can be), its second counts every training byte at its deepest context.
+Word counts are exact and stay distributed; only the ``HEAD`` most frequent words are broadcast,
 the rest meet the documents in a join.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
+from corvane.llm.context_trees import FREQUENT, Frequent, learn_pairs, pair_names
 from corvane.llm.storage import written
 
 DEPTH, NODES, HEAD = 6, 1 << 16, 1 << 17
@@ -250,11 +251,9 @@ def log_probabilities(tree: Tree, keys: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 @dataclass
-class Model:
-    """The tree with its log2 probabilities, and the totals and most frequent words of the base."""
+class Base:
+    """Totals and the most frequent words of the base."""
 
-    tree: Tree
-    table: np.ndarray
     tokens: int
     distinct: int
     texts: int
@@ -265,34 +264,84 @@ class Model:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def learn(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs(text)``, and the word counts ``(key, n)`` as a written table."""
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+@dataclass
+class Model(Base):
+    """The base, and a bounded tree with its log2 probabilities."""
+
+    tree: Tree
+    table: np.ndarray
+
+    def bits(self, stream: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.table[self.tree.find(code), stream].astype(np.float64), np.zeros(0, np.int64)
+
+
+@dataclass
+class FullModel(Base):
+    """The base, and the most frequent of all pairs; the bits of the others are in a table."""
+
+    frequent: Frequent
+
+    def bits(self, stream: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each byte (0 where they are in the table), and where that is."""
+        bits, here = self.frequent.find(pair_names(code, stream))
+        return bits, np.flatnonzero(~here)
+
+
+def _gathered(texts: DataFrame, depth: int, nodes: int) -> tuple[DataFrame, dict]:
     gathered = texts.mapInArrow(lambda it: gathered_rows(it, depth, nodes), "kind int, key long, n long")
     gathered = written(gathered.groupBy("kind", "key").agg(F.sum("n").alias("n")), "gathered")
-    totals = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    return gathered, {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+
+
+def _base(gathered: DataFrame, totals: dict, head: int) -> tuple[dict, DataFrame]:
     of = lambda kind, what: totals[kind][what] if kind in totals else 0
-    kept = gathered.where(F.col("kind").between(1, depth)).where(F.col("n") * (4 * nodes) >= 3 * of(BYTES, "n"))
+    words = gathered.where(F.col("kind") == WORDS).select("key", "n")
+    top = words.orderBy(F.desc("n"), "key").limit(head).toPandas().sort_values("key")
+    found = {"tokens": of(WORDS, "n") + of(TEXTS, "n"), "distinct": of(WORDS, "rows") + (of(TEXTS, "n") > 0), "texts": of(TEXTS, "n")}
+    return found | {"head": top["key"].to_numpy(np.int64), "head_counts": top["n"].to_numpy(np.float64)}, words
+
+
+def _texts(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def learn(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, head: int = HEAD) -> tuple[Model, DataFrame]:
+    """A model bounded by ``nodes`` of all rows of ``docs(text)``, and the word counts ``(key, n)`` as a written table."""
+    texts = _texts(docs)
+    gathered, totals = _gathered(texts, depth, nodes)
+    kept = gathered.where(F.col("kind").between(1, depth)).where(F.col("n") * (4 * nodes) >= 3 * (totals[BYTES]["n"] if BYTES in totals else 0))
     kept = kept.select("kind", "key").toPandas()  # at most 4/3 nodes per depth
     levels = [np.zeros(1, np.uint64)]
     for d in range(1, depth + 1):
         levels.append(np.sort(kept["key"].to_numpy(np.int64)[kept["kind"].to_numpy() == d].view(np.uint64)))
     tree = Tree(depth, levels)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
     counted = texts.mapInArrow(lambda it: counted_rows(it, shared.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     table = log_probabilities(tree, counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
-    words = gathered.where(F.col("kind") == WORDS).select("key", "n")
-    top = words.orderBy(F.desc("n"), "key").limit(head).toPandas().sort_values("key")
-    model = Model(tree, table, of(WORDS, "n") + of(TEXTS, "n"), of(WORDS, "rows") + (of(TEXTS, "n") > 0), of(TEXTS, "n"), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.float64))
-    return model, words
+    base, words = _base(gathered, totals, head)
+    return Model(**base, tree=tree, table=table), words
+
+
+def _streams(part: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    stream, offsets = byte_stream(part, K.find_words(part.data, part.offsets))
+    return stream, offsets, contexts(stream, offsets, DEPTH)
+
+
+def learn_full(docs: DataFrame, head: int = HEAD, frequent: int = FREQUENT) -> tuple[FullModel, DataFrame, DataFrame]:
+    """The model with all contexts of the rows of ``docs(text, held_out)`` that are not held out, the word counts, and the bits of the other pairs.
+
+    The held-out rows give pairs to look up, and nothing to the model.
+    """
+    base, words = _base(*_gathered(_texts(docs.where("not held_out")), 0, 1), head)
+    found, pairs = learn_pairs(_texts(docs, "held_out").select("text", F.expr("not held_out").alias("learned")), _streams, frequent)
+    return FullModel(**base, frequent=found), words, pairs
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, tail array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, bits double, tail array<long>, pairs array<long>"
 
 
-def scored_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Scores of the texts; of the base, the part of end tokens and frequent words, and the other words' hashes."""
+def scored_rows(batches: Iterator[pa.RecordBatch], model: Model | FullModel) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts: the part of end tokens, frequent words and the model's pairs, and the other words and pairs."""
     rid = TaskContext.get().partitionId() << 40
     head_log = model.base_log(model.head_counts)
     end_log = float(model.base_log(model.texts))
@@ -310,39 +359,49 @@ def scored_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
                 known = known + np.bincount(row[~tail], minlength=part.rows)
             ends = np.concatenate(([0], np.cumsum(np.bincount(row[tail], minlength=part.rows)))).astype(np.int32)
             stream, offsets = byte_stream(part, words)
-            bits = model.table[model.tree.find(contexts(stream, offsets, model.tree.depth)), stream].astype(np.float64)
-            score = np.add.reduceat(bits, offsets[:-1])
+            code = contexts(stream, offsets, DEPTH if isinstance(model, FullModel) else model.tree.depth)
+            bits, other = model.bits(stream, code)
+            names = pair_names(code[other], stream[other]).view(np.int64) if len(other) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rid + np.arange(part.rows)), *(batch.column(c).slice(part.first, part.rows) for c in ("doc_id", "held_out")),
-                    pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score * math.log10(2)),
-                    pa.array(-score / np.diff(offsets)), pa.ListArray.from_arrays(ends, hashes[tail]),
+                    pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(base),
+                    pa.array(np.add.reduceat(bits, offsets[:-1])), pa.ListArray.from_arrays(ends, hashes[tail]),
+                    pa.ListArray.from_arrays(np.searchsorted(other, offsets).astype(np.int32), names),
                 ],
                 SCORED.replace(",", "").split()[::2],
             )
             rid += part.rows
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model | FullModel, words: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)`` for each row of ``docs(doc_id, held_out, text)``.
 
-    A null text is empty: its only token is the end. Equal rows score alike.
+    A null text is empty: its only token is the end. Equal rows score alike. With a full model, ``docs``
+    are those it was given, held out or not, and ``pairs`` has the bits that the model does not hold.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scored = written(texts.mapInArrow(lambda it: scored_rows(it, shared.value), SCORED), "scored")
+    scored = written(_texts(docs, "doc_id", "held_out").mapInArrow(lambda it: scored_rows(it, shared.value), SCORED), "scored")
     scale = math.log10(model.tokens + 0.1 * (model.distinct + 1))
     tail = scored.select("rid", F.explode("tail").alias("key")).join(words, "key")
     tail = tail.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 0.1)).alias("logs"))
-    rows = scored.withColumn("unseen", F.size("tail")).drop("tail").join(tail, "rid", "left")
+    rows = scored.withColumn("unseen", F.size("tail")).drop("tail", "pairs").join(tail, "rid", "left")
+    bits = F.col("bits")
+    if pairs is not None:
+        rest = scored.select("rid", F.explode("pairs").alias("pair")).join(pairs.select("pair", F.col("bits").alias("of_pair")), "pair")
+        rows = rows.join(rest.groupBy("rid").agg(F.sum("of_pair").alias("of_pairs")), "rid", "left")
+        bits = bits + F.coalesce("of_pairs", F.lit(0.0))
     more = F.coalesce("more", F.lit(0))
     base = F.col("base_score") + F.coalesce("logs", F.lit(0.0)) + (F.col("unseen") - more) * math.log10(0.1) - F.col("unseen") * scale
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (bits * math.log10(2)).alias("score"), (-bits / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the texts outside the held-out fold; a null doc_id is in no fold and is learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)))
-    model, words = learn(docs.where("not held_out"))
-    return score(docs, model, words)
+    model, words, pairs = learn_full(docs)
+    return score(docs, model, words, pairs)
