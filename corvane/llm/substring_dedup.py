@@ -4,6 +4,8 @@ A paragraph is a line with at least ``LEAST_WORDS`` words. Equal paragraphs (sam
 collapse to one vertex; ``BANDS`` bands of ``ROWS`` minhashes find those that are similar (a pair at
 the threshold is missed with probability below 1e-4), candidates are verified by exact Jaccard
 similarity of five-word shingles, and each connected component keeps its first occurrence.
+Then runs of 50 words that repeat in what is left, inside longer lines or over several short ones, are
+cut (``passages``).
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
+from corvane.llm.passages import cut_passages
 from corvane.llm.similar import colliding, similar_components
 from corvane.llm.storage import few, written
 
@@ -131,33 +134,46 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> tuple
     return lines, written(removed, "removed", narrow=True)
 
 
+def without_lines() -> Column:
+    """The text without the lines numbered in ``removed``."""
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    return F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated paragraphs; a document of which no word is left goes, others stay.
+    """``docs`` without repeated paragraphs and passages; a document of which no word is left goes, others stay.
 
     All columns are kept; ``n_chars``, where there is one, follows the new text.
     """
     _, removed = repeated_paragraphs(docs)
-    rows = _keyed(docs).select("d", "ka", "kb").join(removed, ["ka", "kb"], "left")
-    text = F.col("d")["text"]
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    rows = rows.withColumn("new", F.when(F.col("removed").isNull(), text).otherwise(kept))
-    rows = rows.where(F.col("removed").isNull() | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
+    rows = written(_keyed(docs).join(removed, ["ka", "kb"], "left").withColumn("text", without_lines()), "without_lines")
+    cut = cut_passages(rows.select("doc_id", "ka", "kb", "text"))
+    rows = rows.join(cut, ["ka", "kb"], "left").withColumn("new", F.coalesce("cut_text", "text"))
+    same = F.col("removed").isNull() & F.col("cut_text").isNull()
+    rows = rows.where(same | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
     columns = []
     for c in docs.columns:
         value = F.col("d")[c]
         if c == "text":
             value = F.col("new")
         elif c == "n_chars":
-            value = F.when(F.col("removed").isNull(), value).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+            value = F.when(same, value).otherwise(F.length("new")).cast(docs.schema[c].dataType)
         columns.append(value.alias(c))
     return rows.select(*columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, words_removed, removed)`` for each row of documents."""
-    lines, removed = repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    joined = lines.join(removed, ["ka", "kb"], "left")
+    """``(doc_id, n_lines, n_removed, words_removed, removed, passages)`` for each row of documents.
+
+    ``passages`` are runs of words cut from the text without its removed lines; ``words_removed`` counts both.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines, removed = repeated_paragraphs(docs)
+    texts = _keyed(docs).select("doc_id", "ka", "kb", "text").join(removed, ["ka", "kb"], "left").select("doc_id", "ka", "kb", without_lines().alias("text"))
+    cut = cut_passages(written(texts, "without_lines")).drop("cut_text")
+    joined = lines.join(removed, ["ka", "kb"], "left").join(cut, ["ka", "kb"], "left")
     return joined.select(
         "doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
-        F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        (F.coalesce("words_removed", F.lit(0)) + F.coalesce("passage_words", F.lit(0))).cast("long").alias("words_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("passages", F.array().cast("array<struct<first:int,last:int>>")).alias("passages"),
     )
