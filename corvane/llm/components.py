@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import few, written
+from corvane.llm.storage import few, workspace, written
 
 LAST_LINKS = 100_000
 
@@ -41,31 +41,32 @@ def components(links: DataFrame, last: int = LAST_LINKS) -> DataFrame:
     factor in expectation whatever the shape, long chains and hubs alike. The rest fits one
     task. The driver sees only a count per round. An empty table gives an empty result.
     """
-    current = written(links.select("a", "b").where("a <> b").distinct(), "links", narrow=True)
-    assigned = None
-    for turn in range(100):
-        if current.count() <= last:
-            break
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("v"))
-        stars = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["v"].alias("root"))
-        stars = written(stars, "stars", narrow=True)
-        moved = few(stars)
-        assigned = _followed(assigned, stars.select(F.col("a").alias("id"), "root"))
-        current = (
-            current.join(moved.select("a", F.col("root").alias("ra")), "a")
-            .join(moved.select(F.col("a").alias("b"), F.col("root").alias("rb")), "b")
-            .where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .distinct()
-        )
-        current = written(current, "links", narrow=True)
-    rest = written(current.coalesce(1).mapInArrow(joined_rows, "id long, root long"), "roots")
-    if assigned is None:  # roots are the smallest ids already
-        return rest.select("id", F.col("root").alias("label"))
-    assigned = _followed(assigned, rest)
-    names = assigned.groupBy("root").agg(F.min("id").alias("label"))
-    return written(assigned.join(names, "root").select("id", "label"), "labels", narrow=True)
+    with workspace(links.sparkSession) as held:
+        current = written(links.select("a", "b").where("a <> b").distinct(), "links", narrow=True)
+        assigned = None
+        for turn in range(100):
+            if current.count() <= last:
+                break
+            both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("v"))
+            stars = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["v"].alias("root"))
+            stars = written(stars, "stars", narrow=True)
+            moved = few(stars)
+            assigned = _followed(assigned, stars.select(F.col("a").alias("id"), "root"))
+            current = (
+                current.join(moved.select("a", F.col("root").alias("ra")), "a")
+                .join(moved.select(F.col("a").alias("b"), F.col("root").alias("rb")), "b")
+                .where("ra <> rb")
+                .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+                .distinct()
+            )
+            current = written(current, "links", narrow=True)
+        rest = current.coalesce(1).mapInArrow(joined_rows, "id long, root long")
+        if assigned is None:  # roots are the smallest ids already
+            return held.keep(written(rest.select("id", F.col("root").alias("label")), "labels"))
+        assigned = _followed(assigned, written(rest, "roots"))
+        names = assigned.groupBy("root").agg(F.min("id").alias("label"))
+        return held.keep(written(assigned.join(names, "root").select("id", "label"), "labels", narrow=True))
 
 
 def _followed(assigned: DataFrame | None, step: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 A passage is a window of ``RUN`` words, over line breaks. Of its 25-word windows one is chosen by the
 least hash among ``RUN - ANCHOR + 1`` in a row, so equal passages share a chosen one: chosen windows that
 occur twice lead to every repeated passage. Each passage keeps its first occurrence by (doc_id, word);
-words that lie in later ones, and in no first one, are cut.
+words that lie in a later one are cut. A cut word's model may lie in a later occurrence of another passage
+and be cut as well, but going back from first to first ends at one that stays, so one copy of every word
+is left. Only where a passage overlaps its own repeat (a text that runs in a circle) the words of the
+first one are held.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
-from corvane.llm.storage import few, written
+from corvane.llm.storage import few, workspace, written
 
 RUN, ANCHOR = 50, 25
 PLACES = "key long, doc_id long, ka long, kb long, at int"
@@ -67,7 +70,7 @@ def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words that lie in a later occurrence and in no first one; line breaks stay."""
+    """Texts without the words that lie in a later occurrence and are not held; line breaks stay."""
     for batch in batches:
         later, kept = batch.column("later"), batch.column("kept")
         for part in K.slices(batch.column("text")):
@@ -100,18 +103,19 @@ def cut_passages(texts: DataFrame) -> DataFrame:
 
     ``passages`` has the first and last cut word of each run, counted from 0 in ``text``. Rows equal in (ka, kb) are one text.
     """
-    seen = written(texts.mapInArrow(anchor_rows, PLACES), "anchors").dropDuplicates(["ka", "kb", "at"])
-    often = written(seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often", narrow=True)
-    wanted = seen.join(few(often), "key").groupBy("ka", "kb").agg(F.collect_list("at").alias("wanted"))
-    wanted = written(wanted, "wanted", narrow=True)
-    found = texts.join(few(wanted, 200), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("doc_id", "ka", "kb", "text", "wanted")
-    found = written(found.mapInArrow(passage_rows, PLACES), "passages")
-    place = F.struct("doc_id", "ka", "kb", "at")
-    firsts = written(found.groupBy("key").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select("key", "keep"), "firsts", narrow=True)
-    ruled = found.join(few(firsts, 64), "key").select("ka", "kb", "at", place.eqNullSafe(F.col("keep")).alias("is_first"))
-    at = lambda first: F.collect_list(F.when(F.col("is_first") == F.lit(first), F.col("at")))
-    ruled = ruled.groupBy("ka", "kb").agg(at(False).alias("later"), at(True).alias("kept")).where(F.size("later") > 0)
-    ruled = written(ruled, "ruled", narrow=True)
-    cut = texts.join(few(ruled, 400), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("ka", "kb", "text", "later", "kept")
-    cut = cut.mapInArrow(cut_rows, "ka long, kb long, cut_text string, passages array<struct<first:int,last:int>>, passage_words long")
-    return written(cut.where("passage_words > 0"), "cut")
+    with workspace(texts.sparkSession) as held:
+        seen = written(texts.mapInArrow(anchor_rows, PLACES), "anchors").dropDuplicates(["ka", "kb", "at"])
+        often = written(seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often", narrow=True)
+        wanted = seen.join(few(often), "key").groupBy("ka", "kb").agg(F.collect_list("at").alias("wanted"))
+        wanted = written(wanted, "wanted", narrow=True)
+        found = texts.join(few(wanted, 200), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("doc_id", "ka", "kb", "text", "wanted")
+        found = written(found.mapInArrow(passage_rows, PLACES), "passages")
+        place = F.struct("doc_id", "ka", "kb", "at")
+        firsts = written(found.groupBy("key").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select("key", "keep"), "firsts", narrow=True)
+        ruled = found.join(few(firsts, 64), "key").where(~place.eqNullSafe(F.col("keep")))
+        own = (F.col("keep.ka") == F.col("ka")) & (F.col("keep.kb") == F.col("kb")) & (F.col("at") - F.col("keep.at") < RUN)
+        ruled = ruled.groupBy("ka", "kb").agg(F.collect_list("at").alias("later"), F.collect_set(F.when(own, F.col("keep.at"))).alias("kept"))
+        ruled = written(ruled, "ruled", narrow=True)
+        cut = texts.join(few(ruled, 400), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("ka", "kb", "text", "later", "kept")
+        cut = cut.mapInArrow(cut_rows, "ka long, kb long, cut_text string, passages array<struct<first:int,last:int>>, passage_words long")
+        return held.keep(written(cut.where("passage_words > 0"), "cut"))

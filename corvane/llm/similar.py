@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
-from corvane.llm.storage import few, written
+from corvane.llm.storage import few, workspace, written
 
 BLOCK = 1024
 STAR_TABLES = 4
@@ -39,11 +39,20 @@ def least_matches(size: int, num: int, den: int) -> int:
 
 
 def colliding(keys: DataFrame) -> DataFrame:
-    """Rows of ``keys(key, t, id)`` whose key has more than one row."""
-    often = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    """Rows of ``keys(key, t, id)`` whose key has more than one row, with their number in ``rows``.
+
+    The counts are written, so that the join has a plain shuffle on either side and adaptive
+    execution can split a key with very many rows.
+    """
+    often = written(keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "often", narrow=True)
     return keys.join(often, "key")
 
 
+def _per_chunk(df: DataFrame) -> DataFrame:
+    """One row for each chunk ``c`` of a key, from one row for each key."""
+    return df.withColumn("c", F.explode(F.expr("sequence(0, chunks - 1)")))
+
+
 def _first_table(equal: np.ndarray, tables: tuple[int, ...]) -> np.ndarray:
     """Index of the first table in which a pair collides. ``tables`` is (bands, rows) or (m, m, rows)."""
     if len(tables) == 2:
@@ -171,55 +180,60 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
     ``items(id, n, sketch)``; ``keys(key, t, id)`` are the colliding rows; ``sets_of(ids)`` gives
     ``(id, members)`` for the ids asked for. ``t`` numbers the tables from 0.
     """
-    size = 2 * tables[0] * tables[2] if len(tables) == 3 else tables[0] * tables[1]
-    need = least_matches(size, num, den)
-    keys = written(keys, "keys")
-    ids = written(keys.select("id").distinct(), "ids", narrow=True)
-    near = written(items.select("id", "n", "sketch").join(few(ids), "id"), "near")
-    sets = written(sets_of(ids), "sets")
-
-    def sketches(side: str) -> DataFrame:
-        return few(near, 4 * size + 100).select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-
-    def values(c: str):
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(c, F.lit(1) + i * 4, 4))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(sketches("a"), "a").join(sketches("b"), "b")
-        joined = joined.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        return joined.where(F.size(F.filter(F.zip_with(values("s_a"), values("s_b"), lambda x, y: x == y), lambda x: x)) >= need).select("a", "b")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda s: sets.select(F.col("id").alias(s), F.col("members").alias(f"m_{s}"))
-        both = F.size(F.array_intersect("m_a", "m_b"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return joined.where(den * both >= num * (F.size("m_a") + F.size("m_b") - both)).select("a", "b")
-
-    labels = links = None
-    total = tables[0] ** 2 if len(tables) == 3 else tables[0]
-    turn = F.pmod(F.col("t") * 37, F.lit(total))  # 37 is prime to both: spreads a turn's tables over the collections
-    best = F.min(F.struct(F.xxhash64("id", "key").alias("p"), F.col("id").alias("rep"), F.col("label").alias("rep_label")))
-    low, high = 0, STAR_TABLES
-    while low < total:
-        chosen = _labelled(keys.where((turn >= low) & (turn < high)), labels)
-        edges = chosen.join(chosen.groupBy("key").agg(best.alias("r")).select("key", "r.rep", "r.rep_label"), "key").where("label <> rep_label")
-        edges = edges.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-        edges = written(possible(edges), "pairs", narrow=True)
-        if labels is None or not edges.isEmpty():
-            found = written(confirmed(edges), "links", narrow=True)
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        low, high = high, 4 * high
-    rows = _labelled(keys, labels)
-    buckets = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    buckets = buckets.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("chunks"))
-    rows = rows.join(buckets, "key").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
-    rows = rows.join(few(near, 4 * size + 100), "id").select("key", "t", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "id", "label", F.col("n").cast("long").alias("n"), "sketch")
-    rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    rows = written(rows.mapInArrow(lambda it: promising_rows(it, tables, need, num, den), BLOCK_ROWS), "promising", narrow=True)
-    if rows.isEmpty():
-        return labels
-    rows = rows.join(sets, "id").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    found = rows.mapInArrow(lambda it: linked_rows(it, tables, need, num, den), "a long, b long")
-    return components(links.unionByName(written(found, "links", narrow=True)))
+    with workspace(items.sparkSession) as held:
+        size = 2 * tables[0] * tables[2] if len(tables) == 3 else tables[0] * tables[1]
+        need = least_matches(size, num, den)
+        # a key with many rows is dealt to tasks in chunks of about BLOCK rows
+        chunks = F.ceil(F.col("rows") / BLOCK).cast("int")
+        keys = keys.select("key", "t", "id", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"))
+        keys = written(keys, "keys")
+        ids = written(keys.select("id").distinct(), "ids", narrow=True)
+        near = written(items.select("id", "n", "sketch").join(few(ids), "id"), "near")
+        sets = written(sets_of(ids), "sets")
+
+        def sketches(side: str) -> DataFrame:
+            return few(near, 4 * size + 100).select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+
+        def values(c: str):
+            return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(c, F.lit(1) + i * 4, 4))
+
+        def possible(pairs: DataFrame) -> DataFrame:
+            joined = pairs.join(sketches("a"), "a").join(sketches("b"), "b")
+            joined = joined.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+            return joined.where(F.size(F.filter(F.zip_with(values("s_a"), values("s_b"), lambda x, y: x == y), lambda x: x)) >= need).select("a", "b")
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            side = lambda s: sets.select(F.col("id").alias(s), F.col("members").alias(f"m_{s}"))
+            both = F.size(F.array_intersect("m_a", "m_b"))
+            joined = pairs.join(side("a"), "a").join(side("b"), "b")
+            return joined.where(den * both >= num * (F.size("m_a") + F.size("m_b") - both)).select("a", "b")
+
+        labels = links = None
+        total = tables[0] ** 2 if len(tables) == 3 else tables[0]
+        turn = F.pmod(F.col("t") * 37, F.lit(total))  # 37 is prime to both: spreads a turn's tables over the collections
+        best = F.min(F.struct(F.xxhash64("id", "key").alias("p"), F.col("id").alias("rep"), F.col("label").alias("rep_label")))
+        low, high = 0, STAR_TABLES
+        while low < total:
+            chosen = _labelled(keys.where((turn >= low) & (turn < high)), labels)
+            heads = chosen.groupBy("key", "chunks", "c").agg(best.alias("r")).groupBy("key", "chunks").agg(F.min("r").alias("r"))
+            edges = chosen.join(_per_chunk(heads).select("key", "c", "r.rep", "r.rep_label"), ["key", "c"]).where("label <> rep_label")
+            edges = edges.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+            edges = written(possible(edges), "pairs", narrow=True)
+            if labels is None or not edges.isEmpty():
+                found = written(confirmed(edges), "links", narrow=True)
+                links = found if links is None else links.unionByName(found)
+                labels = components(links)
+            low, high = high, 4 * high
+        rows = _labelled(keys, labels)
+        ends = rows.groupBy("key", "chunks", "c").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        apart = ends.groupBy("key", "chunks").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+        rows = rows.join(_per_chunk(apart).select("key", "c"), ["key", "c"])
+        rows = rows.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
+        rows = rows.join(few(near, 4 * size + 100), "id").select("key", "t", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "id", "label", F.col("n").cast("long").alias("n"), "sketch")
+        rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+        rows = written(rows.mapInArrow(lambda it: promising_rows(it, tables, need, num, den), BLOCK_ROWS), "promising", narrow=True)
+        if rows.isEmpty():
+            return held.keep(labels)
+        rows = rows.join(sets, "id").repartition(*GROUP).sortWithinPartitions(*GROUP)
+        found = rows.mapInArrow(lambda it: linked_rows(it, tables, need, num, den), "a long, b long")
+        return held.keep(components(links.unionByName(written(found, "links", narrow=True))))

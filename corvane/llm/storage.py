@@ -1,46 +1,5 @@
-"""Written intermediate tables in the folder that all executors share."""
+"""Written intermediate tables, as the rest of the library has them."""
 
-from __future__ import annotations
+from corvane.storage import BROADCAST_BYTES, few, new_path, remove, shared_dir, workspace, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-corvane-")
-        sc.setCheckpointDir(configured)
-    return configured
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    ``narrow``: a small table of a few numbers per row, written by an eighth of the shuffle partitions
-    (8 at least), as so many files of a few rows cost more than they save.
-
-    Cuts the lineage durably: a lost executor costs a re-read, never a recomputation of
-    everything before it, and values that depend on the run (row ids) stay fixed.
-    """
-    path = new_path(df.sparkSession, name)
-    if narrow:
-        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint only if a count of its rows stays within ``BROADCAST_BYTES``."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+__all__ = ["BROADCAST_BYTES", "few", "new_path", "remove", "shared_dir", "workspace", "written"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corvane.llm import kernels as K
 from corvane.llm.passages import cut_passages
 from corvane.llm.similar import colliding, similar_components
-from corvane.llm.storage import few, written
+from corvane.llm.storage import few, workspace, written
 
 WIDTH, BANDS, ROWS, LEAST_WORDS = 5, 14, 3, 25
 OCCURRENCES = "doc_id long, ka long, kb long, line int, n_words long, n long, name_a long, name_b long, sketch binary"
@@ -39,8 +39,8 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, first
 
 
-def _paragraphs(part: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Shingles, np.ndarray]:
-    """(row, line within the row, words) of each paragraph, their shingles, and lines per row."""
+def _paragraphs(part: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Shingles]:
+    """(row, line within the row, words) of each paragraph, and their shingles."""
     words = K.find_words(part.data, part.offsets)
     start, first = line_starts(part.data, part.offsets)
     at = np.concatenate((np.searchsorted(words.start, start), [len(words.start)]))
@@ -49,29 +49,20 @@ def _paragraphs(part: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Sh
     hashes = K.word_hashes(part.data, words)[np.repeat(long, counts)]
     row = np.repeat(np.arange(part.rows), np.diff(first))
     line = np.arange(len(start)) - first[:-1][row]
-    return row[long], line[long], counts[long], K.shingle(hashes, np.concatenate(([0], np.cumsum(counts[long]))), WIDTH), np.diff(first)
+    return row[long], line[long], counts[long], K.shingle(hashes, np.concatenate(([0], np.cumsum(counts[long]))), WIDTH)
 
 
 def occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per paragraph, and one with line -1 and the number of lines per document."""
+    """One row per paragraph."""
     for batch in batches:
         for part in K.slices(batch.column("text")):
-            row, line, count, sh, lines = _paragraphs(part)
+            row, line, count, sh = _paragraphs(part)
             sets, a, b = K.distinct_sets(sh)
             sketch = [bytes(r) for r in K.minhashes(sh, BANDS * ROWS)]
-            total = np.concatenate((row, np.arange(part.rows)))
-            none = np.zeros(part.rows, np.int64)
-            ids = [batch.column(c).slice(part.first, part.rows).take(pa.array(total)) for c in ("doc_id", "ka", "kb")]
+            ids = [batch.column(c).slice(part.first, part.rows).take(pa.array(row)) for c in ("doc_id", "ka", "kb")]
+            numbers = [line.astype(np.int32), count.astype(np.int64), np.array([len(s) for s in sets], np.int64), a.view(np.int64), b.view(np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *ids,
-                    pa.array(np.concatenate((line, none - 1)).astype(np.int32)),
-                    pa.array(np.concatenate((count, lines)).astype(np.int64)),
-                    pa.array(np.concatenate(([len(s) for s in sets], none)).astype(np.int64)),
-                    pa.array(np.concatenate((a.view(np.int64), none))),
-                    pa.array(np.concatenate((b.view(np.int64), none))),
-                    pa.array(sketch + [None] * part.rows, pa.binary()),
-                ],
+                [*ids, *map(pa.array, numbers), pa.array(sketch, pa.binary())],
                 OCCURRENCES.replace(",", "").split()[::2],
             )
 
@@ -81,7 +72,7 @@ def paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         lines, ids = batch.column("lines").to_pylist(), batch.column("ids").to_pylist()
         for part in K.slices(batch.column("text")):
-            row, line, _, sh, _ = _paragraphs(part)
+            row, line, _, sh = _paragraphs(part)
             sets, _, _ = K.distinct_sets(sh)
             at = {(r, n): k for k, (r, n) in enumerate(zip(row.tolist(), line.tolist()))}
             out_ids, out = [], []
@@ -100,38 +91,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("d"), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("ka"), F.xxhash64(text, F.lit(1), doc_id).alias("kb"))
 
 
-def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, ka, kb, n_lines)`` of each document row, and per document with removals ``(ka, kb, removed, words_removed)``.
+def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """``(ka, kb, removed, words_removed)`` of each document with removals.
 
     ``removed`` holds the numbers (from 0) of the lines that go: all occurrences of a component of
     similar paragraphs but the first by (doc_id, line). Rows equal in doc_id and text are one
-    document. A null text has one empty line. Null doc_ids sort first. Empty tables give empty results.
+    document. Null doc_ids sort first. Empty tables give empty results.
     """
-    keyed = _keyed(docs).select("doc_id", "ka", "kb", "text")
-    seen = written(keyed.mapInArrow(occurrence_rows, OCCURRENCES), "paragraphs")
-    lines = seen.where("line = -1").select("doc_id", "ka", "kb", F.col("n_words").alias("n_lines"))
-    seen = seen.where("line >= 0")
-    place = F.struct("doc_id", "ka", "kb", "line")
-    items = seen.groupBy("name_a", "name_b").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    items = written(items.withColumn("id", F.monotonically_increasing_id()), "items")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", F.lit(1) + i * 4 * ROWS, 4 * ROWS)))
-    keys = colliding(items.select("id", F.posexplode(bands).alias("t", "key")).select("key", "t", "id"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = items.join(few(ids), "id").select("place.ka", "place.kb", "place.line", "id")
-        wanted = written(wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids")), "wanted", narrow=True)
-        texts = keyed.select("ka", "kb", "text").join(few(wanted, 100), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
-        return texts.mapInArrow(paragraph_sets, "id long, members array<long>")
-
-    found = similar_components(items, keys, sets_of, num, den, (BANDS, ROWS))
-    named = items.select("id", "name_a", "name_b", "place", "last").join(few(found), "id", "left").where("label is not null or place <> last")
-    named = written(named.select("name_a", "name_b", "place", F.coalesce("label", "id").alias("label")), "named", narrow=True)
-    keeper = named.groupBy("label").agg(F.min("place").alias("keep"))
-    named = written(named.join(keeper, "label").select("name_a", "name_b", "keep"), "named", narrow=True)
-    gone = seen.select("name_a", "name_b", "n_words", place.alias("at")).join(few(named, 64), ["name_a", "name_b"]).where("not (at <=> keep)")
-    gone = gone.select("at.ka", "at.kb", "at.line", "n_words").dropDuplicates(["ka", "kb", "line"])
-    removed = gone.groupBy("ka", "kb").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sum("n_words").alias("words_removed"))
-    return lines, written(removed, "removed", narrow=True)
+    with workspace(docs.sparkSession) as held:
+        keyed = _keyed(docs).select("doc_id", "ka", "kb", "text")
+        seen = written(keyed.mapInArrow(occurrence_rows, OCCURRENCES), "paragraphs")
+        place = F.struct("doc_id", "ka", "kb", "line")
+        items = seen.groupBy("name_a", "name_b").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        items = written(items.withColumn("id", F.monotonically_increasing_id()), "items")
+        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", F.lit(1) + i * 4 * ROWS, 4 * ROWS)))
+        keys = colliding(items.select("id", F.posexplode(bands).alias("t", "key")).select("key", "t", "id"))
+
+        def sets_of(ids: DataFrame) -> DataFrame:
+            wanted = items.join(few(ids), "id").select("place.ka", "place.kb", "place.line", "id")
+            wanted = written(wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids")), "wanted", narrow=True)
+            texts = keyed.select("ka", "kb", "text").join(few(wanted, 100), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
+            return texts.mapInArrow(paragraph_sets, "id long, members array<long>")
+
+        found = similar_components(items, keys, sets_of, num, den, (BANDS, ROWS))
+        named = items.select("id", "name_a", "name_b", "place", "last").join(few(found), "id", "left").where("label is not null or place <> last")
+        named = written(named.select("name_a", "name_b", "place", F.coalesce("label", "id").alias("label")), "named", narrow=True)
+        keeper = named.groupBy("label").agg(F.min("place").alias("keep"))
+        named = written(named.join(keeper, "label").select("name_a", "name_b", "keep"), "named", narrow=True)
+        gone = seen.select("name_a", "name_b", "n_words", place.alias("at")).join(few(named, 64), ["name_a", "name_b"]).where("not (at <=> keep)")
+        gone = gone.select("at.ka", "at.kb", "at.line", "n_words").dropDuplicates(["ka", "kb", "line"])
+        removed = gone.groupBy("ka", "kb").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sum("n_words").alias("words_removed"))
+        return held.keep(written(removed, "removed", narrow=True))
 
 
 def without_lines() -> Column:
@@ -140,40 +130,55 @@ def without_lines() -> Column:
     return F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
 
 
+def changed_texts(docs: DataFrame) -> DataFrame:
+    """``(ka, kb, new, removed, words_removed, passages)`` of the texts that lose words."""
+    with workspace(docs.sparkSession) as held:
+        removed = repeated_paragraphs(docs)
+        texts = _keyed(docs).select("doc_id", "ka", "kb", "text").join(few(removed, 200), ["ka", "kb"], "left")
+        texts = written(texts.select("doc_id", "ka", "kb", without_lines().alias("text"), "removed", "words_removed"), "without_lines")
+        cut = cut_passages(texts.select("doc_id", "ka", "kb", "text"))
+        shorter = texts.where("removed is not null").dropDuplicates(["ka", "kb"]).select("ka", "kb", "text", "removed", "words_removed")
+        both = shorter.join(cut, ["ka", "kb"], "full")
+        changed = both.select(
+            "ka", "kb", F.coalesce("cut_text", "text").alias("new"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+            (F.coalesce("words_removed", F.lit(0)) + F.coalesce("passage_words", F.lit(0))).cast("long").alias("words_removed"),
+            F.coalesce("passages", F.array().cast("array<struct<first:int,last:int>>")).alias("passages"),
+        )
+        return held.keep(written(changed, "changed"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated paragraphs and passages; a document of which no word is left goes, others stay.
 
-    All columns are kept; ``n_chars``, where there is one, follows the new text.
+    All columns are kept; ``n_chars``, where there is one, follows the new text. A null or word-less text
+    stays as it is. Rows equal in doc_id and text are one document: none of them repeats the other. An
+    empty table gives an empty result.
     """
-    _, removed = repeated_paragraphs(docs)
-    rows = written(_keyed(docs).join(removed, ["ka", "kb"], "left").withColumn("text", without_lines()), "without_lines")
-    cut = cut_passages(rows.select("doc_id", "ka", "kb", "text"))
-    rows = rows.join(cut, ["ka", "kb"], "left").withColumn("new", F.coalesce("cut_text", "text"))
-    same = F.col("removed").isNull() & F.col("cut_text").isNull()
-    rows = rows.where(same | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
+    rows = _keyed(docs).join(changed_texts(docs).select("ka", "kb", "new"), ["ka", "kb"], "left")
+    rows = rows.where(F.col("new").isNull() | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
     columns = []
     for c in docs.columns:
         value = F.col("d")[c]
         if c == "text":
-            value = F.col("new")
+            value = F.coalesce("new", F.col("text"))
         elif c == "n_chars":
-            value = F.when(same, value).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+            value = F.when(F.col("new").isNull(), value).otherwise(F.length("new")).cast(docs.schema[c].dataType)
         columns.append(value.alias(c))
     return rows.select(*columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, words_removed, removed, passages)`` for each row of documents.
+    """``(doc_id, text, changed, n_lines, n_removed, words_removed, removed, passages)`` for each row of documents.
 
-    ``passages`` are runs of words cut from the text without its removed lines; ``words_removed`` counts both.
+    ``text`` is what is left, null for a null text. ``removed`` numbers the lines (from 0) that repeat an
+    earlier paragraph; ``passages`` are runs of words cut from the text without these lines;
+    ``words_removed`` counts both. Rows equal in doc_id and text have equal results.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines, removed = repeated_paragraphs(docs)
-    texts = _keyed(docs).select("doc_id", "ka", "kb", "text").join(removed, ["ka", "kb"], "left").select("doc_id", "ka", "kb", without_lines().alias("text"))
-    cut = cut_passages(written(texts, "without_lines")).drop("cut_text")
-    joined = lines.join(removed, ["ka", "kb"], "left").join(cut, ["ka", "kb"], "left")
-    return joined.select(
-        "doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
-        (F.coalesce("words_removed", F.lit(0)) + F.coalesce("passage_words", F.lit(0))).cast("long").alias("words_removed"),
+    rows = _keyed(docs).select("doc_id", "ka", "kb", "text").join(changed_texts(docs), ["ka", "kb"], "left")
+    return rows.select(
+        "doc_id", F.coalesce("new", "text").alias("text"), F.col("new").isNotNull().alias("changed"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce("words_removed", F.lit(0).cast("long")).alias("words_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("passages", F.array().cast("array<struct<first:int,last:int>>")).alias("passages"),
     )
