@@ -2,39 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.mixing import mix_documents
 from corvane.llm.near_dedup import one_of_each_group
 from corvane.llm.packing import pack
 from corvane.llm.quality_rules import keep_good
-from corvane.llm.storage import written
+from corvane.llm.storage import remove, workspace, written
 from corvane.llm.substring_dedup import remove_repeats
 
 
+_left: list[str] = []
+
+
+def _clear(spark: SparkSession, but_for: list[str]) -> None:
+    for path in [p for p in _left if not any(p in f for f in but_for)]:
+        remove(spark, path)
+        _left.remove(path)
+
+
+def _stage(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """Applies ``operator``, and deletes the tables that the stage before left: its result is written by now.
+
+    Tables that ``docs`` still reads stay.
+    """
+    spark = docs.sparkSession
+    _clear(spark, docs.inputFiles() if _left else [])
+    with workspace(spark) as held:
+        out = operator(docs)
+        _left.extend(held.release())
+    return out
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the label model rejects."""
-    return keep_good(docs)
+    """Drops the documents that the label model rejects, among them null, empty and word-less ones; equal rows share a verdict.
+
+    An empty table gives an empty one; extra columns go along, whatever their names.
+    """
+    return _stage(keep_good, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return one_of_each_group(docs)
+    """Keeps one document of each group of near copies (from a similarity of 0.80), the one with the smallest doc_id.
+
+    Word-less texts and null doc_ids are in no group and stay; of rows that repeat doc_id and text one
+    stays. An empty table gives an empty one; extra columns go along.
+    """
+    return _stage(one_of_each_group, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes paragraphs that repeat an earlier one."""
-    return remove_repeats(docs)
+    """Removes paragraphs and passages that repeat earlier ones; documents of which nothing is left go.
+
+    Null and word-less texts stay as they are. An empty table gives an empty one; extra columns go along.
+    """
+    return _stage(remove_repeats, docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the mix of sources; a document taken twice gives two rows."""
-    return mix_documents(docs)
+    """Draws the mix of sources; a document taken twice gives two rows, one that no slot takes none.
+
+    A null source is a source of its own; null and word-less texts have size 0 and give nothing. An empty
+    table gives an empty one; extra columns go along.
+    """
+    return _stage(mix_documents, docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every word of the mix in a bin."""
-    return pack(docs)
+    """Places every word of the mix in a bin; texts without words are in none. An empty table gives an empty one."""
+    return _stage(pack, docs)
 
 
 STAGES = [
@@ -50,8 +88,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents, each written and read again as the next one's input."""
+    """All stages over all documents, each written and read again as the next one's input, which is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with workspace(spark) as held:
+            docs = written(stage(spark, docs, sf_dir), name)
+            made = held.release()
+        _clear(spark, [])
+        for path in before:
+            remove(spark, path)
+        before = made
     return docs
