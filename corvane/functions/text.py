@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 #: White space that Python's strip() removes.
@@ -18,9 +18,24 @@ ABBREVIATIONS = (
     ("tài khoản", "tk"), ("gói cước", "gói"), ("thuê bao", "tb"), ("thế nào", "tn"), ("dịch vụ", "dv"),
     ("đăng ký", "dk"), ("sử dụng", "sd"), ("không", "ko"), ("nhưng", "nhg"), ("được", "dc"), ("với", "vs"),
 )
-#: Precomposed Latin letters of the corpora's languages, and what is left without marks.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝđĐ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYdD"
+def _mark_tables() -> tuple[str, str]:
+    """By Unicode's decompositions: the letters that are one letter with marks, then all marks; and what stays of the former.
+
+    Đ has no decomposition and counts as D.
+    """
+    plain, marks = {"đ": "d", "Đ": "D"}, []
+    for code in (*range(0xD800), *range(0xE000, 0x10000)):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(base) == 1 and base != c:
+                plain[c] = base
+    return "".join([*plain, *marks]), "".join(plain.values())
+
+
+MARKED, PLAIN = _mark_tables()
 
 
 @F.pandas_udf(StringType())
@@ -29,27 +44,20 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip())
 
 
-@F.pandas_udf(StringType())
-def strip_marks(s: pd.Series) -> pd.Series:
-    """All combining marks removed, đ to d; for texts beyond the table of :func:`plain_letters`."""
-
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        parts = unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D"))
-        return "".join(c for c in parts if unicodedata.category(c) != "Mn")
-
-    return s.map(one)
-
-
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
-def plain_letters(c: Column) -> Column:
+def strip_marks(c: Column) -> Column:
+    """All combining marks removed, đ to d; Hangul syllables, which fall into letters and not marks, stay whole."""
     return F.translate(c, MARKED, PLAIN)
 
 
+@F.pandas_udf(BooleanType())
+def is_nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.is_normalized("NFC", x))
+
+
 def tokens(c: Column) -> Column:
     """Unicode words of the lower-cased text, with repeats."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(1))
@@ -76,7 +84,7 @@ def longest_common_ngram(a: Column, b: Column, cap: int = 12) -> Column:
 
 def abbreviate(c: Column) -> Column:
     c = F.lower(c)
-    for long, short in sorted(ABBREVIATIONS, key=lambda p: -len(p[0])):
+    for long, short in ABBREVIATIONS:
         c = F.replace(c, F.lit(long), F.lit(short))
     return c
 

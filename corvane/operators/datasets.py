@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import abbreviate, containment, longest_common_ngram, md5_number, plain_letters, tokens, typo
+from corvane.functions.text import abbreviate, containment, longest_common_ngram, md5_number, strip_marks, tokens, typo
+from corvane.operators.checks import require_none
+from corvane.operators.order import numbered
 
+#: Token bands, seeds of the samples.
 BANDS = (("short", 1, 40), ("medium", 500, 2000), ("long", 7000, 8000))
+FACT_SEED, SAMPLE_SEED = 13, 20260916
+VARIANTS = ("orig", "nodiacritic", "lowercase", "abbrev", "typo", "nodiacritic_abbrev")
 
 
 def fact_pool(facts: DataFrame, low: int = 40, high: int = 400) -> DataFrame:
@@ -17,7 +22,7 @@ def fact_pool(facts: DataFrame, low: int = 40, high: int = 400) -> DataFrame:
     return facts.where((F.col("certainty") == "asserted") & ~F.coalesce("conflict", F.lit(False)) & ~negative & F.length("text").between(low, high))
 
 
-def stratified_sample(facts: DataFrame, n: int, per_chunk: int = 2, seed: int = 13) -> DataFrame:
+def stratified_sample(facts: DataFrame, n: int, per_chunk: int = 2, seed: int = FACT_SEED) -> DataFrame:
     """At most ``per_chunk`` facts of a chunk and ``n // businesses`` of a business (unfilled quota is not redistributed), ``n`` in all.
 
     The order is by MD5 of seed and fact, so SQL can replay it.
@@ -26,7 +31,9 @@ def stratified_sample(facts: DataFrame, n: int, per_chunk: int = 2, seed: int =
     of = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("h", "fact_id"))
     df = df.withColumn("in_chunk", of("chunk_id")).where(F.col("in_chunk") <= per_chunk)
     quota = df.agg(F.greatest(F.floor(F.lit(n) / F.count_distinct("business")), F.lit(1)).alias("quota"))
-    df = df.withColumn("in_business", of("business")).join(F.broadcast(quota), F.col("in_business") <= F.col("quota"))  # one row
+    # no business gives more than n: so many of each of its shards are enough
+    shard = F.row_number().over(Window.partitionBy("business", F.pmod("h", F.lit(64))).orderBy("h", "fact_id"))
+    df = df.withColumn("_s", shard).where(F.col("_s") <= n).drop("_s").withColumn("in_business", of("business")).join(F.broadcast(quota), F.col("in_business") <= F.col("quota"))  # one row
     return df.orderBy("h", "fact_id").limit(n)
 
 
@@ -34,7 +41,7 @@ def leakage(pairs: DataFrame, most_contained: float = 0.85, title: int = 5, fact
     """Adds containment of ``question`` in ``doc`` and longest n-grams shared with ``title`` and ``fact``; ``kept`` is the verdict."""
     q, d, t, f = (tokens(F.col(c)) for c in ("question", "doc", "title", "fact"))
     df = pairs.select("*", q.alias("_q"), d.alias("_d"), t.alias("_t"), f.alias("_f"))
-    df = df.withColumn("containment", F.round(containment(F.col("_q"), F.col("_d")), 6))
+    df = df.withColumn("containment", containment(F.col("_q"), F.col("_d")))
     df = df.withColumn("lcn_title", longest_common_ngram(F.col("_q"), F.col("_t"))).withColumn("lcn_fact", longest_common_ngram(F.col("_q"), F.col("_f")))
     leaky = (F.col("containment") > most_contained) | (F.col("lcn_title") >= title) | (F.col("lcn_fact") >= fact)
     return df.withColumn("kept", ~leaky).drop("_q", "_d", "_t", "_f")
@@ -45,17 +52,28 @@ def usable_question(c: Column, least: int = 5) -> Column:
 
 
 def variants(queries: DataFrame) -> DataFrame:
-    """Six forms of every query ``(query_id, text)``, without those equal to the original text."""
+    """Six forms of every query ``(query_id, text, ...)``, without those equal to the original text; all other columns go along.
+
+    ``query_id`` becomes ``<query_id>__<variant>``; ``base_query_id`` and ``variant`` are added.
+    """
     text = F.col("text")
-    forms = {"orig": text, "lower": F.lower(text), "nodiacritic": plain_letters(text), "abbrev": abbreviate(text), "typo": typo(text, F.col("query_id").cast("string")), "nodiacritic_abbrev": plain_letters(abbreviate(text))}
-    rows = queries.select("query_id", text.alias("orig"), F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("text")) for n, c in forms.items()))).alias("v"))
-    rows = rows.where((F.col("v.variant") == "orig") | (F.col("v.text") != F.col("orig")))
-    return rows.select(F.concat_ws("__", "query_id", "v.variant").alias("query_id"), F.col("query_id").alias("base_query_id"), "v.variant", "v.text")
+    forms = {"orig": text, "nodiacritic": strip_marks(text), "lowercase": F.lower(text), "abbrev": abbreviate(text), "typo": typo(text, F.col("query_id").cast("string")), "nodiacritic_abbrev": strip_marks(abbreviate(text))}
+    rows = queries.withColumn("_v", F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), forms[n].alias("text")) for n in VARIANTS))))
+    rows = rows.where((F.col("_v.variant") == "orig") | (F.col("_v.text") != F.col("text")))
+    rows = rows.withColumns({"base_query_id": F.col("query_id"), "variant": F.col("_v.variant"), "text": F.col("_v.text")}).drop("_v")
+    return rows.withColumn("query_id", F.concat_ws("__", F.col("query_id").cast("string"), "variant"))
+
+
+def variant_qrels(variants: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``(query_id, item_id)``: every form is judged as its base query ``qrels(query_id, item_id)`` is."""
+    base = qrels.select(F.col("query_id").cast("string").alias("base_query_id"), "item_id")
+    return variants.select("query_id", F.col("base_query_id").cast("string").alias("base_query_id")).join(base, "base_query_id").select("query_id", "item_id").distinct()
 
 
 def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Exact deduplication: the first row of each key stays."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    """Exact deduplication: the first row of each key stays; copies are combined where they are read."""
+    rows = df.groupBy(key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_r"))
+    return rows.select("_r.*")
 
 
 def banded(df: DataFrame, tokens_column: str = "n_tokens") -> DataFrame:
@@ -66,23 +84,45 @@ def banded(df: DataFrame, tokens_column: str = "n_tokens") -> DataFrame:
     return df.withColumn("length_group", group).where("length_group is not null")
 
 
-def round_robin(df: DataFrame, want: int, bins: int = 8, seed: int = 20260916) -> DataFrame:
-    """``want`` rows of each ``length_group``: by turns one per length bin (ascending) and source (ascending)."""
-    group = Window.partitionBy("length_group")
-    width = (F.max("n_tokens").over(group) + 1 - F.min("n_tokens").over(group)) / bins
-    df = df.withColumn("bin", F.least(F.floor((F.col("n_tokens") - F.min("n_tokens").over(group)) / width), F.lit(bins - 1)).cast("int"))
+def round_robin(df: DataFrame, want: int, bins: int = 8, seed: int = SAMPLE_SEED) -> DataFrame:
+    """``want`` rows of each ``length_group``: by turns one per length bin (ascending) and source (ascending).
+
+    A row's turn is its place among those of its bin and source by seeded hash. Turns beyond ``want`` cannot
+    be picked, and leave before a group's rows meet.
+    """
+    ends = df.groupBy("length_group").agg(F.min("n_tokens").alias("_low"), F.max("n_tokens").alias("_high"))
+    df = df.join(F.broadcast(ends), "length_group")  # a row for each band
+    width = (F.col("_high") + 1 - F.col("_low")) / bins
+    df = df.withColumn("bin", F.least(F.floor((F.col("n_tokens") - F.col("_low")) / width), F.lit(bins - 1)).cast("int")).drop("_low", "_high")
     df = df.withColumn("h", md5_number(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))))
-    df = df.withColumn("turn", F.row_number().over(Window.partitionBy("length_group", "bin", "source").orderBy("h", "id")))
+    # the first rows of each (bin, source) come from its shards, so that a hot one is no single task's work
+    shard = F.pmod(F.col("h"), F.lit(64))
+    turn = lambda *more: F.row_number().over(Window.partitionBy("length_group", "bin", "source", *more).orderBy("h", "id"))
+    df = df.withColumn("turn", turn(shard)).where(F.col("turn") <= want)
+    df = df.withColumn("turn", turn()).where(F.col("turn") <= want)
     df = df.withColumn("n", F.row_number().over(Window.partitionBy("length_group").orderBy("turn", "bin", "source")))
     return df.where(F.col("n") <= want)
 
 
-def document_prefixes(chunks: DataFrame, low: int, high: int) -> DataFrame:
-    """For each document of ``chunks(doc, idx, n_tokens, text)`` the longest prefix below ``high`` tokens, if it has ``low``."""
-    running = F.sum("n_tokens").over(Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    taken = chunks.withColumn("cum", running).where(F.col("cum") < high)
+def document_prefixes(chunks: DataFrame, low: int, high: int, count: Column | None = None) -> DataFrame:
+    """For each document of ``chunks(doc, idx, n_tokens, text)`` the longest prefix below ``high`` tokens, if it has ``low``.
+
+    ``count`` (an expression over ``text``) counts the joined text anew, and prefixes that then leave the band go.
+    A document's chunks are first summed within 64 shards: one that is beyond the band in its shard is so in
+    the whole, and only what may be in the band meets in one task.
+    """
+    running = lambda *by: F.sum("n_tokens").over(Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = chunks.withColumn("cum", running("doc", F.pmod(F.xxhash64("idx"), F.lit(64)))).where(F.col("cum") < high)
+    taken = taken.withColumn("cum", running("doc")).where(F.col("cum") < high)
     out = taken.groupBy("doc").agg(F.count("*").alias("n_chunks"), F.max("cum").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    return out.where(F.col("n_tokens").between(low, high - 1))
+    out = out.where(F.col("n_tokens").between(low, high - 1))
+    return out if count is None else out.withColumn("n_tokens", count).where(F.col("n_tokens").between(low, high - 1))
+
+
+def joined_texts(rows: DataFrame, group: str, order: list[str], separator: str) -> DataFrame:
+    """``(group, n, text)``: the texts of a group (a chunk's facts, a document's chunks) joined in order; a null text is left out."""
+    parts = rows.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("_t"))
+    return parts.select(group, "n", F.array_join(F.transform("_t", lambda x: x["text"]), separator).alias("text"))
 
 
 def fact_lines(blocks: DataFrame) -> DataFrame:
@@ -101,7 +141,25 @@ def with_fact_ids(lines: DataFrame, listed: DataFrame) -> DataFrame:
     return joined.select("key", "chunk_id", "k", "text", F.coalesce("by_place", "by_text").alias("fact_id"))
 
 
-def rotating_batches(n: int, size: int, runs: int, spark) -> DataFrame:
-    """``(run, i, pos)``: batches that start at (run * size) mod n and wrap."""
+def keyed_facts(blocks: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(key, chunk_id, k, text, fact_id)`` of fact blocks and the sheet of single facts; keys are ``<chunk>#<fact_id>``, or ``<chunk>#k<n>`` without id.
+
+    A key that occurs twice is an error.
+    """
+    rows = with_fact_ids(fact_lines(blocks), listed)
+    rows = rows.withColumn("key", F.concat("chunk_id", F.lit("#"), F.coalesce(F.col("fact_id").cast("string"), F.concat(F.lit("k"), F.col("k").cast("string")))))
+    require_none(rows.groupBy("key").count().where("count > 1").select("key"), "repeated fact keys")
+    return rows
+
+
+def rotating_batches(n: int, size: int, runs: int, spark, rotate: bool = True) -> DataFrame:
+    """``(run, i, pos)``: batches that start at (run * size) mod n and wrap; without ``rotate`` always the first."""
     df = spark.range(runs).select(F.col("id").cast("int").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"))
-    return df.withColumn("pos", F.pmod(F.col("run") * size + F.col("i"), F.lit(n)))
+    start = F.col("run") * size if rotate else F.lit(0)
+    return df.withColumn("pos", F.pmod(start + F.col("i"), F.lit(n)))
+
+
+def batches_of(rows: DataFrame, order: list[str], size: int, runs: int, rotate: bool = True) -> DataFrame:
+    """``rows`` as timed batches: ``(run, i, pos, ...)``, places by ``order``."""
+    placed = numbered(rows, order, "pos")
+    return rotating_batches(placed.count(), size, runs, rows.sparkSession, rotate).join(placed, "pos")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.ranks import nearest_rank
+from corvane.functions.text import is_nfc
+from corvane.functions.vectors import cosine
+from corvane.operators.order import linear_quantiles, nearest_ranks, numbered
 
 #: Calibration tiers in ladder order.
 TIERS = ("0_sanity", "1_paraphrase", "5_vocab_gap", "2_same_entity_DANGER", "3_same_topic", "4_unrelated")
@@ -20,6 +22,22 @@ def tier_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("system", "tier").agg(F.avg(F.nanvl("score", F.lit(None).cast("double"))).alias("mean"))
 
 
+def tier_table(scores: DataFrame) -> DataFrame:
+    """``(place, tier, system, mean, n)``: tier means in ladder order, unknown tiers last by name; few rows."""
+    order = F.array_position(F.array(*(F.lit(t) for t in TIERS)), F.col("tier"))
+    n = scores.groupBy("system", "tier").agg(F.count("*").alias("n"))
+    rows = tier_means(scores).join(n, ["system", "tier"])
+    place = F.dense_rank().over(Window.orderBy((order == 0), order, "tier"))
+    return rows.select(place.alias("place"), "tier", "system", "mean", "n").orderBy("place", "system")
+
+
+def cosine_columns(pairs: DataFrame, scores: DataFrame, systems: list[str]) -> DataFrame:
+    """The columns of ``pairs(pair_id, ...)`` with one column ``cos_<system>`` for each system, null where a score is missing."""
+    score = F.nanvl("score", F.lit(None).cast("double"))
+    wide = scores.groupBy("pair_id").agg(*(F.max(F.when(F.col("system") == s, score)).alias(f"cos_{s.replace('/', '_')}") for s in systems))
+    return pairs.join(wide, "pair_id", "left")
+
+
 def diagnostics(scores: DataFrame) -> DataFrame:
     """One row per system: tier means, strict order checks (null if a side is missing), gaps, ladder, spread and a warning."""
     score = F.nanvl("score", F.lit(None).cast("double"))
@@ -39,18 +57,49 @@ def diagnostics(scores: DataFrame) -> DataFrame:
     return df.withColumn("warning", warn).select("system", *(F.round(c, 6).alias(c) for c in numbers), "ok_t1_t2", "ok_t5_t2", "ok_t2_t3", "ok_t3_t4", "ladder", "warning")
 
 
+def pair_cosines(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(pair_id, score)``: cosine of the two vectors ``(pair_id, vec)`` of each pair that both sides have."""
+    return a.join(b.select("pair_id", F.col("vec").alias("_other")), "pair_id").select("pair_id", cosine(F.col("vec"), F.col("_other")).alias("score"))
+
+
 def instruct_effect(scores: DataFrame) -> DataFrame:
     """``(model, pair_id, effect)``: instruct minus no_instruct where both exist."""
     side = lambda m: scores.where(F.col("mode") == m).select("model", "pair_id", F.col("score").alias(m))
     return side("instruct").join(side("no_instruct"), ["model", "pair_id"]).select("model", "pair_id", F.round(F.col("instruct") - F.col("no_instruct"), 6).alias("effect"))
 
 
+def instruct_means(effects: DataFrame) -> DataFrame:
+    """``(model, mean)``: the plain mean of the effects, NaN if one of them is."""
+    return effects.groupBy("model").agg(F.avg("effect").alias("mean"))
+
+
 def with_external(pairs: DataFrame, external: DataFrame) -> DataFrame:
     """Pairs with outside scores ``(pair_id, seq, score)``: unknown ids ignored, the last duplicate wins, missing is null."""
     last = external.groupBy("pair_id").agg(F.max_by("score", "seq").alias("score"))
     return pairs.join(last, "pair_id", "left")
 
 
+def nfc_count(docs: DataFrame) -> DataFrame:
+    """``(n, n_nfc)``: texts, and how many are in Unicode's composed form already."""
+    return docs.agg(F.count("*").alias("n"), F.count_if(is_nfc(F.coalesce("text", F.lit("")))).alias("n_nfc"))
+
+
+def norm_stats(norms: DataFrame, tolerance: float = 0.00101) -> DataFrame:
+    """``(min_norm, max_norm, normalised, n_vectors)`` of ``norms(n)``; all within the tolerance of 1."""
+    return norms.agg(F.min("n").alias("min_norm"), F.max("n").alias("max_norm"), F.bool_and(F.abs(F.col("n") - 1) <= tolerance).alias("normalised"), F.count("*").alias("n_vectors"))
+
+
+def cost(tokens: DataFrame, prices: dict[str, float], most: int) -> DataFrame:
+    """``(model, price, cost)`` of embedding texts ``(n_tokens)`` cut at ``most`` tokens, at prices per million tokens."""
+    rows = tokens.agg(F.sum(F.least("n_tokens", F.lit(most))).alias("s"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(p).alias("price")) for m, p in prices.items())))
+    return rows.withColumn("x", each).select("x.model", "x.price", (F.col("s") / 1e6 * F.col("x.price")).alias("cost"))
+
+
+def status_histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "status").agg(F.count("*").alias("n"))
+
+
 def corpus_profile(docs: DataFrame, n_tokens: Column, short: tuple[int, int] = (20, 50)) -> DataFrame:
     """One row over ``docs(text)``: totals, percentiles, characters per token, and junk counts."""
     text = F.coalesce("text", F.lit(""))
@@ -71,10 +120,41 @@ def over_limits(df: DataFrame, limits: tuple[int, ...]) -> DataFrame:
 
 
 def latency_report(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and nearest-rank percentiles of ``ms`` per configuration, and rates from totals of ``samples`` and ``tokens``."""
-    out = rows.groupBy(*keys).agg(F.count("*").alias("runs"), F.avg("ms").alias("mean"), F.collect_list("ms").alias("all"), F.sum("ms").alias("total"), F.sum("samples").alias("samples"))
-    q = lambda p: F.round(nearest_rank(F.col("all"), p), 6).alias(f"p{p}")
-    return out.select(*keys, "runs", F.round("mean", 6).alias("mean"), q(50), q(95), q(99), F.round(F.try_divide(1000.0 * F.col("samples"), F.col("total")), 6).alias("samples_per_sec"))
+    """Mean and nearest-rank percentiles of ``ms`` per configuration, rates from totals, and mean token counts.
+
+    ``rows(*keys, ms, samples, real_tokens, padded_tokens)``, one for each timed run. Percentiles come from
+    places in one global order, so a configuration may have any number of runs.
+    """
+    total = F.sum("ms")
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("runs"), F.avg("ms").alias("mean"), F.try_divide(1000.0 * F.sum("samples"), total).alias("samples_per_sec"),
+        F.try_divide(1000.0 * F.sum("real_tokens"), total).alias("tokens_per_sec"), F.avg("real_tokens").alias("real_tokens"), F.avg("padded_tokens").alias("padded_tokens"),
+    )
+    places = nearest_ranks(rows, keys, "ms", (50, 95, 99)).drop("n")
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.join(places, keys, "left").select(*keys, "runs", *map(r, ("mean", "p50", "p95", "p99", "samples_per_sec", "tokens_per_sec", "real_tokens", "padded_tokens")))
+
+
+def encode_summary(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Batch timings ``(*keys, batch, seconds, items)`` of encoding runs: mean, interpolated percentiles, the first batch, totals and rate."""
+    g = batches.groupBy(*keys).agg(F.count("*").alias("n_batches"), F.avg("seconds").alias("mean"), F.min_by("seconds", "batch").alias("first"), F.sum("seconds").alias("total"), F.try_divide(F.sum("items"), F.sum("seconds")).alias("items_per_second"))
+    return g.join(linear_quantiles(batches, keys, "seconds", {"p50": 0.5, "p95": 0.95}).drop("n"), keys, "left")
+
+
+def batch_tokens(tokens: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """``(*by, real_tokens, padded_tokens)`` of batches of texts ``(*by, n_tokens)`` cut at ``limit``: all pad to the longest."""
+    n = F.least("n_tokens", F.lit(limit))
+    return tokens.groupBy(*by).agg(F.sum(n).alias("real_tokens"), (F.max(n) * F.count("*")).alias("padded_tokens"))
+
+
+def length_summary(rows: DataFrame, group: str, n: str, source: str) -> DataFrame:
+    """Count, smallest, middle (place n // 2 from 0) and largest ``n`` per group, and its sources with their counts."""
+    from corvane.operators.order import at_places
+
+    middle = at_places(rows, [group], n, {"middle": F.floor(F.col("n") / 2) + 1}).select(group, "middle")
+    ends = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most"))
+    sources = rows.groupBy(group, source).agg(F.count("*").alias("_c")).groupBy(group).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(source, "_c"))))).alias("sources"))
+    return ends.join(middle, group, "left").join(sources, group)
 
 
 def oom_propagated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,8 +178,8 @@ def merged_single(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     groups = old.groupBy(*keys).agg(F.min("row_pos").alias("group_pos"))
     kept = old.join(new.select(*keys).distinct().withColumn("single", F.lit(True)), [*keys, "single"], "left_anti")
     both = kept.select(*keys, "single", "row_pos", "value").unionByName(new.select(*keys, "single", "row_pos", "value")).join(groups, keys, "left")
-    order = F.row_number().over(Window.orderBy(F.asc_nulls_last("group_pos"), *keys, F.desc("single"), "row_pos"))
-    return both.withColumn("pos", order.cast("int")).select("pos", *keys, "single", "value")
+    placed = numbered(both, [F.asc_nulls_last("group_pos"), *keys, F.desc("single"), "row_pos"], "pos")
+    return placed.select((F.col("pos") + 1).alias("pos"), *keys, "single", "value")
 
 
 def upsert(old: DataFrame, new: DataFrame, managed: list[str]) -> DataFrame:

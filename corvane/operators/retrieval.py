@@ -10,36 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import tokens
+from corvane.functions.text import md5_number, tokens
+from corvane.storage import few, written
 
-SHARD, BLOCK = 16_384, 2_048
+SHARD, BLOCK, STRIP = 16_384, 8_192, 256
+#: BM25's saturation and length weights, and the constant of rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
+#: Scores are compared to so many decimals: below lies only the noise of the order of summation.
+DENSE_DIGITS, BM25_DIGITS = 12, 9
 
 
 def _cell(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best index rows for every query of one (shard, block) cell, by one matrix product."""
+    """The k best index rows for every query of one (shard, block) cell: matrix products over strips of queries."""
     index, queries = rows[~rows["is_query"]], rows[rows["is_query"]]
-    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-    if not len(index) or not len(queries):
-        return empty
+    found = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
 
     def unit(values: pd.Series) -> np.ndarray:
         m = np.stack(values.to_list()).astype(np.float64)
         return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
 
-    ids, q_ids = index["id"].to_numpy(), queries["id"].to_numpy()
-    scores = np.round(unit(queries["vec"]) @ unit(index["vec"]).T, 6) + 0.0
-    scores[q_ids[:, None] == ids[None, :]] = -np.inf
-    top = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
-    found = pd.DataFrame({"query_id": np.repeat(q_ids, top.shape[1]), "item_id": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-    return found[found["score"] > -np.inf]
+    if len(index) and len(queries):
+        ids, q_ids = index["id"].to_numpy(), queries["id"].to_numpy()
+        every, asked = unit(index["vec"]), unit(queries["vec"])
+        for at in range(0, len(q_ids), STRIP):
+            own = q_ids[at : at + STRIP]
+            scores = np.round(asked[at : at + STRIP] @ every.T, DENSE_DIGITS) + 0.0
+            scores[own[:, None] == ids[None, :]] = -np.inf
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
+            q, i = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            order = np.lexsort((ids[i], -scores[q, i], q))
+            q, i = q[order], i[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, i = q[place < k], i[place < k]
+            found.append(pd.DataFrame({"query_id": own[q], "item_id": ids[i], "score": scores[q, i]}))
+    return pd.concat(found)
 
 
 def dense_topk(queries: DataFrame, index: DataFrame, k: int = 100) -> DataFrame:
     """``(query_id, rank, item_id, score)``: exact cosine top-k of ``(id, vec)`` tables, ties by id, a row never its own hit.
 
     A grid of bounded cells (index shard x query block): no side is broadcast or gathered whole, and
-    per query only k rows of each shard meet in the final ranking. Scores are rounded to 6 decimals first.
+    per query only k rows of each shard meet in the final ranking. A row travels once for each block of
+    the other side, which a cell's matrix product outweighs.
     """
     shards, blocks = max(1, -(-index.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
@@ -58,21 +70,42 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return (out if k is None else out.where(F.col("rank") <= k)).select("query_id", "rank", "item_id", "score")
 
 
+class Postings:
+    """What BM25 needs of the documents ``(id, text)`` for the queries ``(id, text)``, from one pass over the texts.
+
+    The postings are written cut to the queries' terms, with one row of an empty term for each document
+    that carries its length. Words, not texts, are shuffled, and a document's words are counted where it is read.
+    """
+
+    def __init__(self, queries: DataFrame, docs: DataFrame):
+        terms = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        self.terms = written(terms, "terms", narrow=True)
+        used = written(self.terms.select("term").distinct().unionByName(queries.sparkSession.sql("select '' as term")), "used", narrow=True)
+        words = docs.select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("words"))
+        words = words.select("item_id", F.size("words").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("words", F.array().cast("array<string>")))).alias("term"))
+        rows = words.join(few(used, 40), "term", "left_semi").groupBy("item_id", "len", "term").agg(F.count("*").alias("tf"))
+        rows = written(rows, "postings")
+        self.lengths = rows.where("term = ''").select("item_id", F.greatest("len", F.lit(0)).alias("len"))
+        self.rows = rows.where("term <> ''")
+
+    def scores(self, within: DataFrame | None = None) -> DataFrame:
+        """``(query_id, item_id, score)`` for every document that shares a term with the query; ``within(item_id)`` (a few rows) restricts it."""
+        total = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+        df = self.rows.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighted = self.terms.join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
+        weighted = weighted.select("query_id", "term", (idf * F.col("times")).alias("weight"), "avg_len")
+        rows = self.rows if within is None else self.rows.join(F.broadcast(within), "item_id", "left_semi")
+        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        return rows.join(weighted, "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), BM25_DIGITS).alias("score"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, item_id, score)`` for every document ``(id, text)`` that shares a term with the query ``(id, text)``.
 
-    Repeated query terms count repeatedly. Postings are cut to the queries' terms before any shuffle.
+    Repeated query terms count repeatedly.
     """
-    terms = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = docs.select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    total = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    used = terms.select("term").distinct()
-    postings = words.select("item_id", "len", F.explode("words").alias("term")).join(used, "term", "left_semi").groupBy("term", "item_id", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    rows = terms.join(postings, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
-    return rows.groupBy("query_id", "item_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
+    return Postings(queries, docs).scores()
 
 
 def bm25_ranking(queries: DataFrame, docs: DataFrame, k: int = 100, pad: bool = True) -> DataFrame:
@@ -80,12 +113,13 @@ def bm25_ranking(queries: DataFrame, docs: DataFrame, k: int = 100, pad: bool =
 
     The first k ids are enough to pad from: with m < k matches, at least k - m of them are unmatched.
     """
-    scores = bm25_scores(queries, docs)
-    best = ranked(scores, k)
+    postings = Postings(queries, docs)
+    best = ranked(postings.scores(), k)
     if not pad:
         return best
-    first = docs.select(F.col("id").alias("item_id")).orderBy("id").limit(k)  # k rows
-    fill = queries.select(F.col("id").alias("query_id")).crossJoin(F.broadcast(first)).join(scores.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    first = postings.lengths.select("item_id").orderBy("item_id").limit(k)  # k rows
+    found = postings.scores(first).select("query_id", "item_id")
+    fill = queries.select(F.col("id").alias("query_id")).crossJoin(F.broadcast(first)).join(found, ["query_id", "item_id"], "left_anti")
     return ranked(best.select("query_id", "item_id", "score").unionByName(fill.withColumn("score", F.lit(0.0))), k)
 
 
@@ -98,11 +132,21 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = RRF) -> DataFrame:
     lx = lexical.join(dense.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "item_id", F.col("rank").alias("l"))
     both = d.join(lx, ["query_id", "item_id"], "full")
     part = lambda c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0))
-    both = both.withColumn("score", F.round(part("d") + part("l"), 9))
+    both = both.withColumn("score", F.round(part("d") + part("l"), DENSE_DIGITS))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("d"), F.asc_nulls_last("l")))
     return both.withColumn("rank", rank.cast("int")).select("query_id", "rank", "item_id", "score")
 
 
+def pool_size(k: int, n: int) -> int:
+    """How many finer items to rank before they are folded: 50 or k, whichever is more, but no more than there are."""
+    return min(max(50, k), n)
+
+
+def finer_topk(queries: DataFrame, items: DataFrame, parent: DataFrame, k: int = 5) -> DataFrame:
+    """Search over finer items ``(id, vec)``, folded to their parents: see :func:`pool_size` and :func:`peak_fold`."""
+    return peak_fold(dense_topk(queries, items, pool_size(k, items.count())), parent, k)
+
+
 def peak_fold(pool: DataFrame, parent: DataFrame, k: int = 5) -> DataFrame:
     """Folds a ranking of finer items to their parents ``(item_id, parent_id)``: peak score, its item, and hits in the pool.
 
@@ -118,6 +162,21 @@ def nearest_neighbour(vectors: DataFrame) -> DataFrame:
     return dense_topk(vectors, vectors, 1)
 
 
+def pair_spread(vectors: DataFrame, sample: int = 2000, seed: int = 0) -> DataFrame:
+    """``(p01, p50, p99, n_pairs)`` of the cosines of all pairs in a seeded sample of ``(id, vec)``, which is the feature: one task holds it."""
+    order = md5_number(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+    chosen = vectors.where("vec is not null").orderBy(order, "id").limit(sample).select("vec")
+
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(rows["vec"].to_list()).astype(np.float64)
+        m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+        cosines = (m @ m.T)[np.triu_indices(len(m), 1)]
+        ends = np.percentile(cosines, [1, 50, 99]) if len(cosines) else [None] * 3
+        return pd.DataFrame([[*ends, len(cosines)]], columns=["p01", "p50", "p99", "n_pairs"])
+
+    return chosen.groupBy().applyInPandas(spread, "p01 double, p50 double, p99 double, n_pairs long")
+
+
 def union_systems(systems: dict[str, DataFrame]) -> DataFrame:
     named = [df.select(F.lit(name).alias("system"), "query_id", "rank", "item_id", "score") for name, df in systems.items()]
     return reduce(DataFrame.unionByName, named)

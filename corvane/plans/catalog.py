@@ -1,106 +1,99 @@
-"""Registered queries and their SQL twins, keyed alike."""
+"""Registered queries over vectors, texts and runs, and their SQL twins; ``golden`` and ``runs`` hold more."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import ABBREVIATIONS, MARKED, PLAIN, abbreviate, chunk_key, chunk_of, containment, longest_common_ngram, looks_like_text, md5_number, plain_letters, tokens
-from corvane.functions.vectors import dot, norm, parts
+from corvane.functions.text import ABBREVIATIONS, abbreviate, chunk_key, chunk_of, looks_like_text, strip_marks
+from corvane.functions.vectors import cosine, dot, norm, parts
+from corvane.operators import checks as C
 from corvane.operators import datasets as D
 from corvane.operators import evaluation as E
+from corvane.operators import ingest as G
 from corvane.operators import reports as R
 from corvane.operators import retrieval as X
-from corvane.sources.tables import SYSTEMS, containing, documents, n_tokens, questions, table, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+from corvane.plans.registry import DOCS_SQL, HASH, ORACLE_SQL, QUERIES, WORDS, query, rounded_sql
+from corvane.sources.tables import SYSTEMS, documents, n_tokens, questions, table, vectors
+from corvane.storage import written
 
-    return register
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT"
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Reports show six decimals; everything before them keeps full precision."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 # --- dense retrieval and its evaluation -------------------------------------------------------
+# The stated queries are the vectors whose id is divisible by 50; all vectors are searched.
 
 def _dense(spark: SparkSession, sf_dir: str, dims: int, k: int) -> DataFrame:
     v = vectors(spark, sf_dir, dims)
-    return X.dense_topk(v.where("id % 10 = 0"), v.where("id % 10 <> 0"), k)
+    return X.dense_topk(v.where("id % 50 = 0"), v, k)
 
 
-def _dense_sql(dims: int, k: int) -> str:
+def _dense_sql(dims: int, k: int, pairs: str = "q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id") -> str:
+    unit = f"""SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u
+            FROM (SELECT vec_id, list_transform(embedding[1:{dims}], lambda x: x::DOUBLE) AS e FROM embeddings)"""
     return f"""
     SELECT query_id, rank, item_id, score FROM (
-      SELECT q.vec_id AS query_id, d.vec_id AS item_id, round(list_dot_product(q.u, d.u), 6) AS score,
-             row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, d.u), 6) DESC, d.vec_id)::INTEGER AS rank
-      FROM (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u
-            FROM (SELECT vec_id, list_transform(embedding[1:{dims}], lambda x: x::DOUBLE) AS e FROM embeddings)) q
-      JOIN (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u
-            FROM (SELECT vec_id, list_transform(embedding[1:{dims}], lambda x: x::DOUBLE) AS e FROM embeddings)) d
-        ON q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0) WHERE rank <= {k}"""
+      SELECT q.vec_id AS query_id, d.vec_id AS item_id, round(list_dot_product(q.u, d.u), 12) AS score,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, d.u), 12) DESC, d.vec_id)::INTEGER AS rank
+      FROM ({unit}) q JOIN ({unit}) d ON {pairs}) WHERE rank <= {k}"""
 
 
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.union_systems({name: _dense(spark, sf_dir, dims, 100) for name, dims in SYSTEMS.items()})
 
 
-def _label_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).select("id", "label")
-    index = v.where("id % 10 <> 0").select(F.col("id").alias("item_id"), "label")
-    return v.where("id % 10 = 0").select(F.col("id").alias("query_id"), "label").join(index, "label").select("query_id", "item_id")
-
-
 _RANKING_SQL = " UNION ALL ".join(f"SELECT '{n}' AS system, * FROM ({_dense_sql(d, 100)})" for n, d in SYSTEMS.items())
-_LABEL_QRELS_SQL = "SELECT q.vec_id AS query_id, d.vec_id AS item_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0"
+_LABEL_QRELS_SQL = "SELECT q.vec_id AS query_id, d.vec_id AS item_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id"
 
 
-def _metrics_sql(ranking: str, qrels: str) -> str:
-    recalls = ", ".join(f"round(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END)::DOUBLE / n_gold, 6) AS recall_{k}" for k in E.CUTS)
+def metrics_sql(ranking: str, qrels: str) -> str:
+    recalls = ", ".join(f"sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END)::DOUBLE / n_gold AS recall_{k}" for k in E.CUTS)
     return f"""
     SELECT system, query_id, {recalls},
-      round(coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 AND rank <= 10 THEN rank END), 0), 6) AS mrr_10,
-      round(sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1.0::DOUBLE) ELSE 0 END) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg_10
+      coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 AND rank <= 10 THEN rank END), 0) AS mrr_10,
+      sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1.0::DOUBLE) ELSE 0 END) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS ndcg_10
     FROM (SELECT r.*, CASE WHEN g.item_id IS NULL THEN 0 ELSE 1 END AS rel, s.n_gold FROM ({ranking}) r
           LEFT JOIN (SELECT DISTINCT * FROM ({qrels})) g USING (query_id, item_id)
           JOIN (SELECT query_id, count(DISTINCT item_id) AS n_gold FROM ({qrels}) GROUP BY 1) s USING (query_id))
     GROUP BY system, query_id, n_gold"""
 
 
-_DENSE_METRICS_SQL = _metrics_sql(_RANKING_SQL, _LABEL_QRELS_SQL)
+_DENSE_METRICS_SQL = metrics_sql(_RANKING_SQL, _LABEL_QRELS_SQL)
 
 
-@query(_dense_sql(64, 10))
+@query(rounded_sql(_dense_sql(64, 10), "score"))
 def dense_top10(spark, sf_dir):
-    return _dense(spark, sf_dir, 64, 10)
+    return rounded(_dense(spark, sf_dir, 64, 10), "score")
+
+
+def _label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hit is relevant if its label is the query's; labels are looked up for the hits and counted, never paired."""
+    v = vectors(spark, sf_dir).select("id", "label")
+    own = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("own"))
+    hits = _systems(spark, sf_dir).join(own, "query_id").join(v.select(F.col("id").alias("item_id"), "label"), "item_id")
+    sizes = own.join(v.groupBy("label").agg((F.count("*") - 1).alias("n_gold")), F.col("label") == F.col("own")).where("n_gold > 0")
+    return E.scored(hits.withColumn("rel", (F.col("label") == F.col("own")).cast("int")), sizes.select("query_id", "n_gold"))
 
 
-@query(_DENSE_METRICS_SQL)
+@query(rounded_sql(_DENSE_METRICS_SQL, *E.METRICS))
 def dense_metrics(spark, sf_dir):
-    return E.metrics(_systems(spark, sf_dir), _label_qrels(spark, sf_dir))
+    return rounded(_label_metrics(spark, sf_dir), *E.METRICS)
 
 
 def _ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dense_metrics(spark, sf_dir).select("system", "query_id", F.col("ndcg_10").alias("value"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("system").orderBy("query_id")).cast("long") - 1)
+    return _label_metrics(spark, sf_dir).select("system", "query_id", F.col("ndcg_10").alias("value"))
 
 
 _NDCG_SQL = f"SELECT system, query_id, ndcg_10 AS value, row_number() OVER (PARTITION BY system ORDER BY query_id) - 1 AS pos FROM ({_DENSE_METRICS_SQL})"
 
 
-def _interval_sql(values: str, keys: str, n: int) -> str:
+def interval_sql(values: str, keys: str, n: int = 1000) -> str:
     return f"""
     WITH v AS MATERIALIZED ({values}), z AS (SELECT {keys}, count(*) AS n, avg(value) AS mean FROM v GROUP BY {keys}),
     d AS (SELECT {keys}, r, ('0x' || substr(md5('0|' || r || '|' || i), 1, 12))::BIGINT % n AS pos FROM z, range({n}) t(r), LATERAL (SELECT unnest(range(n)) AS i)),
@@ -109,29 +102,32 @@ def _interval_sql(values: str, keys: str, n: int) -> str:
     SELECT {keys}, round(z.mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, z.n AS n FROM z JOIN p USING ({keys})"""
 
 
-@query(_interval_sql(_NDCG_SQL, "system", 200))
+@query(f"""
+SELECT row_number() OVER (ORDER BY mean DESC, system DESC)::INTEGER AS place, system, mean, lo, hi, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS n_selected, n AS n_scored
+FROM ({interval_sql(_NDCG_SQL, "system")})""")
 def leaderboard(spark, sf_dir):
-    """Mean nDCG@10 per system with its bootstrap interval."""
-    return E.interval(_ndcg(spark, sf_dir).drop("query_id"), ["system"], 200)
+    """Mean nDCG@10 per system with its bootstrap interval, best first."""
+    selected = vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"))
+    return rounded(E.leaderboard(_ndcg(spark, sf_dir), selected), "mean", "lo", "hi")
 
 
 @query(f"""
 WITH n AS MATERIALIZED ({_NDCG_SQL}), b AS (SELECT system AS best FROM n GROUP BY 1 ORDER BY avg(value) DESC, system DESC LIMIT 1)
-SELECT system, best, mean AS diff, lo, hi, (lo > 0 OR hi < 0) AS significant FROM ({_interval_sql(
-    "SELECT x.system, t.system AS best, t.value - x.value AS value, row_number() OVER (PARTITION BY x.system ORDER BY x.query_id) - 1 AS pos FROM n x JOIN n t USING (query_id) JOIN b ON t.system = b.best WHERE x.system <> b.best", "system, best", 200)})""")
+SELECT system, best, mean AS diff, lo, hi, (lo > 0 OR hi < 0) AS significant FROM ({interval_sql(
+    "SELECT x.system, t.system AS best, t.value - x.value AS value, row_number() OVER (PARTITION BY x.system ORDER BY x.query_id) - 1 AS pos FROM n x JOIN n t USING (query_id) JOIN b ON t.system = b.best WHERE x.system <> b.best", "system, best")})""")
 def paired_bootstrap(spark, sf_dir):
-    values = _ndcg(spark, sf_dir).select("system", "query_id", "value")
-    best = values.groupBy("system").agg(F.avg("value").alias("m")).orderBy(F.desc("m"), F.desc("system")).limit(1).select("system")
-    return E.paired(values, best, 200)
+    values = written(_ndcg(spark, sf_dir), "values", narrow=True)
+    return rounded(E.paired(values, E.best_system(values)), "diff", "lo", "hi")
 
 
 @query()
 def numpy_bootstrap(spark, sf_dir):
     """Intervals with numpy's own generator; held against numpy in the tests."""
-    return E.numpy_interval(_ndcg(spark, sf_dir).drop("query_id"), ["system"])
+    pos = F.row_number().over(Window.partitionBy("system").orderBy("query_id")).cast("long") - 1
+    return rounded(E.numpy_interval(_ndcg(spark, sf_dir).select("system", pos.alias("pos"), "value"), ["system"]), "mean", "lo", "hi")
 
 
-_NN_SQL = _dense_sql(64, 1).replace("q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0", "q.vec_id <> d.vec_id")
+_NN_SQL = _dense_sql(64, 1, "q.vec_id <> d.vec_id")
 
 
 @query(f"""
@@ -155,164 +151,74 @@ def nearest_same_label(spark, sf_dir):
 
 @query("SELECT round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm, bool_and(abs(n - 1) <= 0.00101::DOUBLE) AS normalised, count(*) AS n_vectors FROM (SELECT sqrt(list_dot_product(e, e)) AS n FROM (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))")
 def norm_stats(spark, sf_dir):
-    df = vectors(spark, sf_dir).select(norm(F.col("vec")).alias("n"))
-    return df.agg(F.round(F.min("n"), 6).alias("min_norm"), F.round(F.max("n"), 6).alias("max_norm"), F.bool_and(F.abs(F.col("n") - 1) <= 0.00101).alias("normalised"), F.count("*").alias("n_vectors"))
+    return rounded(R.norm_stats(vectors(spark, sf_dir).select(norm(F.col("vec")).alias("n"))), "min_norm", "max_norm")
+
+
+@query("""
+WITH s AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e, vec_id FROM embeddings ORDER BY """ + HASH.format("'0|' || vec_id") + """, vec_id LIMIT 2000),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u FROM s),
+p AS (SELECT list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id)
+SELECT round(quantile_cont(c, 0.01), 6) AS p01, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.99), 6) AS p99, count(*) AS n_pairs FROM p""")
+def pair_spread(spark, sf_dir):
+    """Spread of the cosines of all pairs within a seeded sample of 2,000 vectors."""
+    return rounded(X.pair_spread(vectors(spark, sf_dir)), "p01", "p50", "p99")
 
 
-@query("SELECT vec_id AS id, len(embedding)::INTEGER AS dims, (len(embedding) + 15) // 16 AS n_parts FROM embeddings")
+@query("""
+SELECT vec_id AS id, k::INTEGER AS part, ((len(embedding) + 15) // 16)::INTEGER AS n_parts, '[' || array_to_string(list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda x: round(x::DOUBLE * 1000)::BIGINT), ',') || ']' AS thousandths
+FROM embeddings, LATERAL (SELECT unnest(range((len(embedding) + 15) // 16)) AS k)""")
 def vector_parts(spark, sf_dir):
-    p = vectors(spark, sf_dir).select("id", F.size("vec").alias("dims"), parts(F.col("vec"), 16).alias("p"))
-    return p.select("id", "dims", F.size("p").cast("long").alias("n_parts"))
+    """Vectors as JSON parts of 16 numbers each (here in thousandths)."""
+    whole = F.transform("vec", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    rows = vectors(spark, sf_dir).select("id", parts(whole, 16).alias("p"))
+    return rows.select("id", F.size("p").alias("n_parts"), F.posexplode("p").alias("part", "thousandths"))
 
 
-@query(f"""
+@query(rounded_sql(f"""
 WITH pool AS ({_dense_sql(64, 50)})
 SELECT query_id, rank, parent_id, score, best_item, n_hits FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank)::INTEGER AS rank FROM (
-    SELECT query_id, item_id // 7 AS parent_id, max(score) AS score, min(rank) AS first_rank, arg_min(item_id, rank) AS best_item, count(*) AS n_hits FROM pool GROUP BY 1, 2)) WHERE rank <= 5""")
+    SELECT query_id, item_id // 7 AS parent_id, max(score) AS score, min(rank) AS first_rank, arg_min(item_id, rank) AS best_item, count(*) AS n_hits FROM pool GROUP BY 1, 2)) WHERE rank <= 5""", "score"))
 def peak_fold_top5(spark, sf_dir):
     """Finer hits folded to their parents (seven consecutive vectors stand for one chunk)."""
-    parent = vectors(spark, sf_dir).select(F.col("id").alias("item_id"), F.floor(F.col("id") / 7).alias("parent_id"))
-    return X.peak_fold(_dense(spark, sf_dir, 64, 50), parent)
-
-
-# --- lexical retrieval and fusion -------------------------------------------------------------
-
-def _bm25_sql(text: str = "text", source: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
-    return f"""
-    WITH d AS MATERIALIZED (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), s AS (SELECT count(*) AS nd, avg(len(w)) AS al FROM d),
-    q AS (SELECT query_id, t AS term, count(*) AS times FROM (SELECT query_id, unnest({WORDS.format('text')}) AS t FROM ({source})) GROUP BY 1, 2),
-    p AS (SELECT doc_id, len(w) AS l, t AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) WHERE t IN (SELECT term FROM q) GROUP BY 1, 2, 3),
-    f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
-    SELECT query_id, doc_id AS item_id, round(sum(times * ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / al))), 6) AS score
-    FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY 1, 2"""
-
-
-def _ranked_sql(scores: str, k: int) -> str:
-    return f"SELECT query_id, rank, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM ({scores})) WHERE rank <= {k}"
-
-
-_PADDED_SQL = _ranked_sql(f"""
-    WITH m AS MATERIALIZED ({_bm25_sql()}) SELECT * FROM m
-    UNION ALL SELECT b.item_id, d.doc_id, 0 FROM benchmark b, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) d
-    WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = b.item_id AND m.item_id = d.doc_id)""", 100)
-
-
-@query(_ranked_sql(_bm25_sql(), 10))
-def bm25_top10(spark, sf_dir):
-    return X.bm25_ranking(questions(spark, sf_dir), documents(spark, sf_dir), 10, pad=False)
-
-
-@query(_PADDED_SQL)
-def bm25_padded(spark, sf_dir):
-    return X.bm25_ranking(questions(spark, sf_dir), documents(spark, sf_dir), 100)
-
-
-@query("SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def golden_qrels(spark, sf_dir):
-    """Relevance judgements: documents that contain the question's text."""
-    return containing(questions(spark, sf_dir), documents(spark, sf_dir))
-
-
-#: A dense text system that SQL can replay: token counts hashed to 32 buckets.
-def _hashed_vectors(df: DataFrame, dims: int = 32) -> DataFrame:
-    bucket = (md5_number(F.col("t")) % dims).cast("int")
-    counts = df.select("id", F.explode(tokens(F.col("text"))).alias("t")).select("id", bucket.alias("b")).groupBy("id", "b").agg(F.count("*").alias("n"))
-    table_ = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return table_.select("id", value.alias("vec"))
-
-
-_ENCODED_SQL = """SELECT id, list_transform(range(32), lambda i: coalesce(m[i], 0)::DOUBLE) AS e FROM (
-  SELECT id, map_from_entries(list((b, n))) AS m FROM (SELECT id, ({h} % 32) AS b, count(*) AS n FROM (SELECT id, unnest({w}) AS t FROM ({src})) GROUP BY 1, 2) GROUP BY 1)"""
-_ENCODED = lambda src: _ENCODED_SQL.format(h=HASH.format("t"), w=WORDS.format("text"), src=src)
-_HASHED_SQL = f"""SELECT query_id, item_id, score FROM (
-  SELECT q.id AS query_id, d.id AS item_id, round(list_dot_product(q.e, d.e) / (greatest(sqrt(list_dot_product(q.e, q.e)), 1e-12::DOUBLE) * greatest(sqrt(list_dot_product(d.e, d.e)), 1e-12::DOUBLE)), 6) AS score
-  FROM ({_ENCODED("SELECT item_id AS id, text FROM benchmark")}) q, ({_ENCODED("SELECT doc_id AS id, text FROM documents")}) d WHERE q.id <> d.id)"""
-
-
-def _text_systems(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    q, d = questions(spark, sf_dir), documents(spark, sf_dir)
-    dense = X.dense_topk(_hashed_vectors(q), _hashed_vectors(d), 50)
-    lexical = X.bm25_ranking(q, d, 50)
-    return {"hashed": dense, "bm25": lexical, "hybrid": X.rrf(dense, lexical)}
-
-
-@query()
-def hybrid_metrics(spark, sf_dir):
-    """Golden-set metrics of a hashed dense system, BM25 and their fusion, per query."""
-    systems = X.union_systems(_text_systems(spark, sf_dir))
-    return E.metrics(systems, golden_qrels(spark, sf_dir))
+    v = vectors(spark, sf_dir)
+    parent = v.select(F.col("id").alias("item_id"), F.floor(F.col("id") / 7).alias("parent_id"))
+    return rounded(X.finer_topk(v.where("id % 50 = 0"), v, parent), "score")
 
 
-@query(f"""
-WITH d AS MATERIALIZED ({_dense_sql(64, 20)}), l AS MATERIALIZED ({_dense_sql(16, 20)})
+@query(rounded_sql(f"""
+WITH d AS MATERIALIZED ({_dense_sql(64, 100)}), l AS MATERIALIZED ({_dense_sql(16, 100)})
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr ASC NULLS LAST, lr ASC NULLS LAST)::INTEGER AS rank, item_id, score FROM (
-  SELECT query_id, item_id, d.rank AS dr, l.rank AS lr, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0), 9) AS score
-  FROM d FULL JOIN l USING (query_id, item_id))""")
+  SELECT query_id, item_id, d.rank AS dr, l.rank AS lr, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0), 12) AS score
+  FROM d FULL JOIN l USING (query_id, item_id))""", "score"))
 def fused_ranking(spark, sf_dir):
     """Reciprocal-rank fusion of two dense systems."""
-    return X.rrf(_dense(spark, sf_dir, 64, 20), _dense(spark, sf_dir, 16, 20))
-
-
-def _variant_rows(spark, sf_dir):
-    return D.variants(questions(spark, sf_dir).select(F.col("id").cast("string").alias("query_id"), "text"))
+    return rounded(X.rrf(_dense(spark, sf_dir, 64, 100), _dense(spark, sf_dir, 16, 100)), "score")
 
 
-@query()
-def query_variants(spark, sf_dir):
-    return _variant_rows(spark, sf_dir)
-
-
-_ABBREV_SQL = "lower({})"
-for _long, _short in sorted(ABBREVIATIONS, key=lambda p: -len(p[0])):
-    _ABBREV_SQL = f"replace({_ABBREV_SQL}, '{_long}', '{_short}')"
+ABBREV_SQL = "lower({})"
+for _long, _short in ABBREVIATIONS:
+    ABBREV_SQL = f"replace({ABBREV_SQL}, '{_long}', '{_short}')"
+PLAIN_SQL = "replace(replace(strip_accents({}), 'đ', 'd'), 'Đ', 'D')"
 
 
 @query(f"""
-SELECT doc_id, translate(t, '{MARKED}', '{PLAIN}') AS plain, {_ABBREV_SQL.format('t')} AS short,
-       (length(t) >= 8 AND NOT (t[1] IN ('[', '{{') AND rtrim(t)[-1] IN (']', '}}')) AND length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= greatest(4, 0.3::DOUBLE * length(t))) AS like_text
-FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)""")
+SELECT doc_id, md5({PLAIN_SQL.format('text')}) AS plain, md5({ABBREV_SQL.format('text')}) AS short, length({PLAIN_SQL.format('text')}) AS n_plain,
+       (length(text) >= 8 AND NOT (text[1] IN ('[', '{{') AND rtrim(text)[-1] IN (']', '}}')) AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= greatest(4, 0.3::DOUBLE * length(text))) AS like_text
+FROM documents""")
 def text_forms(spark, sf_dir):
-    """Letters without marks, abbreviations, and the text-likeness predicate, over every document's first line."""
-    t = F.substring_index("text", "\n", 1)
-    return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), plain_letters(t).alias("plain"), abbreviate(t).alias("short"), looks_like_text(t).alias("like_text"))
+    """Letters without marks, abbreviations, and the text-likeness predicate, over every whole text (forms by their MD5)."""
+    t = F.col("text")
+    return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.md5(strip_marks(t)).alias("plain"), F.md5(abbreviate(t)).alias("short"), F.length(strip_marks(t)).cast("long").alias("n_plain"), looks_like_text(t).alias("like_text"))
 
 
 @query(f"""
-WITH v AS (SELECT 'orig' AS variant, item_id, text FROM benchmark UNION ALL SELECT 'lower', item_id, lower(text) FROM benchmark UNION ALL SELECT 'nodiacritic', item_id, translate(text, '{MARKED}', '{PLAIN}') FROM benchmark),
-n AS (SELECT v.variant, v.item_id, v.text, {WORDS.format('v.text')} AS w FROM v JOIN benchmark b USING (item_id) WHERE v.variant = 'orig' OR v.text <> b.text),
-s AS (SELECT variant, item_id, (len(list_filter(w, lambda x: list_contains(o, x)))::DOUBLE / len(w)) AS c FROM n JOIN (SELECT item_id, {WORDS.format('text')} AS o FROM benchmark) USING (item_id)),
-m AS (SELECT variant, avg(c) AS mean, count(*) AS n_queries FROM s GROUP BY 1)
-SELECT variant, round(mean, 6) AS mean, round(100 * (mean / (SELECT mean FROM m WHERE variant = 'orig') - 1), 6) AS delta_pct, n_queries FROM m""")
-def robustness(spark, sf_dir):
-    """Mean containment of each query form in the original question, and its change against the original in per cent."""
-    q = questions(spark, sf_dir).select(F.col("id").cast("string").alias("query_id"), "text")
-    v = D.variants(q).where(F.col("variant").isin("orig", "lower", "nodiacritic"))
-    joined = v.join(q.select(F.col("query_id").alias("base_query_id"), tokens(F.col("text")).alias("o")), "base_query_id")
-    m = joined.groupBy("variant").agg(F.avg(containment(tokens(F.col("text")), F.col("o"))).alias("mean"), F.count("*").alias("n_queries"))
-    base = m.where("variant = 'orig'").select(F.col("mean").alias("base"))
-    return m.crossJoin(F.broadcast(base)).select("variant", F.round("mean", 6).alias("mean"), F.round(100 * (F.try_divide("mean", "base") - 1), 6).alias("delta_pct"), "n_queries")
-
-
-@query(f"""
-SELECT label, system, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr_10), 6) AS mrr_10, count(*) AS n_queries
+SELECT label AS segment, system, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr_10), 6) AS mrr_10, count(*) AS n_queries
 FROM ({_DENSE_METRICS_SQL}) m JOIN embeddings e ON e.vec_id = m.query_id GROUP BY 1, 2""")
 def breakdown(spark, sf_dir):
     """Mean metrics per segment and system."""
-    label = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "label")
-    return dense_metrics(spark, sf_dir).join(label, "query_id").groupBy("label", "system").agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"), F.round(F.avg("mrr_10"), 6).alias("mrr_10"), F.count("*").alias("n_queries"))
-
-
-@query(f"""
-SELECT r.query_id, r.rank, r.item_id, r.score, q.label AS query_label, coalesce(d.label, -1)::INTEGER AS item_label, d.vec_id // 7 AS chunk
-FROM ({_dense_sql(64, 5)}) r JOIN embeddings q ON q.vec_id = r.query_id LEFT JOIN embeddings d ON d.vec_id = r.item_id""")
-def coverage_report(spark, sf_dir):
-    """Top-5 rows with the metadata of question and hit."""
-    v = vectors(spark, sf_dir).select("id", "label")
-    hits = _dense(spark, sf_dir, 64, 5).join(v.select(F.col("id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    hits = hits.join(v.select(F.col("id").alias("item_id"), F.col("label").alias("item_label")), "item_id", "left")
-    return hits.select("query_id", "rank", "item_id", "score", "query_label", F.coalesce("item_label", F.lit(-1)).alias("item_label"), F.floor(F.col("item_id") / 7).alias("chunk"))
+    label = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("label").alias("segment"))
+    return rounded(E.breakdown(_label_metrics(spark, sf_dir), label, ["ndcg_10", "mrr_10"]), "ndcg_10", "mrr_10")
 
 
 # --- calibration ------------------------------------------------------------------------------
@@ -324,15 +230,17 @@ def _pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring vectors under three systems; the tier is given by the id."""
     tier = F.lit(None).cast("string")
     for k, name in _TIER.items():
-        tier = F.when(F.col("id") % 6 == k, name).otherwise(tier)
-    out = None
+        tier = F.when(F.col("pair_id") % 6 == k, name).otherwise(tier)
+    systems = {}
     for system, dims in SYSTEMS.items():
-        v = vectors(spark, sf_dir, dims).select("id", "vec")
-        b = v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
-        score = F.when(F.col("id") % 6 == 0, F.lit(1.0)).otherwise(F.round(dot(F.col("vec"), F.col("other")) / (norm(F.col("vec")) * norm(F.col("other"))), 6))
-        rows = v.join(b, "id").select(F.lit(system).alias("system"), F.col("id").alias("pair_id"), tier.alias("tier"), score.alias("score"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        v = vectors(spark, sf_dir, dims)
+        systems[system] = R.pair_cosines(v.select(F.col("id").alias("pair_id"), "vec"), v.select((F.col("id") - 1).alias("pair_id"), "vec"))
+    rows = None
+    for system, df in systems.items():
+        score = F.when(F.col("pair_id") % 6 == 0, F.lit(1.0)).otherwise(F.round("score", 6))
+        df = df.select(F.lit(system).alias("system"), "pair_id", tier.alias("tier"), score.alias("score"))
+        rows = df if rows is None else rows.unionByName(df)
+    return rows
 
 
 _PAIRS_SQL = " UNION ALL ".join(f"""
@@ -341,9 +249,27 @@ SELECT '{s}' AS system, a.vec_id AS pair_id, CASE a.vec_id % 6 {' '.join(f"WHEN
 FROM (SELECT vec_id, list_transform(embedding[1:{d}], lambda x: x::DOUBLE) AS e FROM embeddings) a JOIN (SELECT vec_id, list_transform(embedding[1:{d}], lambda x: x::DOUBLE) AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1""" for s, d in SYSTEMS.items())
 
 
-@query(f"SELECT system, tier, round(avg(score), 6) AS mean FROM ({_PAIRS_SQL}) GROUP BY 1, 2")
+_LADDER = {t: k + 1 for k, t in enumerate(R.TIERS)}
+
+
+@query(f"SELECT CASE tier {' '.join(f"WHEN '{t}' THEN {k}" for t, k in _LADDER.items())} END::INTEGER AS place, tier, system, round(avg(score), 6) AS mean, count(*) AS n FROM ({_PAIRS_SQL}) GROUP BY 1, 2, 3")
 def calibration_tiers(spark, sf_dir):
-    return R.tier_means(_pair_scores(spark, sf_dir)).select("system", "tier", F.round("mean", 6).alias("mean"))
+    return rounded(R.tier_table(_pair_scores(spark, sf_dir)), "mean")
+
+
+@query(f"""
+SELECT a.vec_id AS pair_id, a.label, {", ".join(f"max(CASE WHEN p.system = '{s}' THEN p.score END) AS cos_{s}" for s in SYSTEMS)}
+FROM embeddings a LEFT JOIN ({_PAIRS_SQL}) p ON p.pair_id = a.vec_id GROUP BY 1, 2""")
+def cosine_columns(spark, sf_dir):
+    """The pairs as they are listed, with one column of scores for each system."""
+    pairs = vectors(spark, sf_dir).select(F.col("id").alias("pair_id"), "label")
+    return R.cosine_columns(pairs, _pair_scores(spark, sf_dir), list(SYSTEMS))
+
+
+@query(f"""
+SELECT 'full' AS model, round(avg(e), 6) AS mean FROM (SELECT round(a.score - b.score, 6) AS e FROM ({_PAIRS_SQL}) a JOIN ({_PAIRS_SQL}) b ON a.pair_id = b.pair_id AND a.system = 'full' AND b.system = 'half')""")
+def instruct_mean(spark, sf_dir):
+    return rounded(R.instruct_means(instruct_effect(spark, sf_dir)), "mean")
 
 
 def _diagnostics_sql() -> str:
@@ -374,21 +300,18 @@ def instruct_effect(spark, sf_dir):
 
 # --- corpus and data sets ---------------------------------------------------------------------
 
-_DOCS_SQL = f"SELECT doc_id, text, lang, source, len({WORDS.format('text')})::BIGINT AS n FROM documents"
-
-
 @query(f"""
 SELECT count(*) AS docs, count(DISTINCT text) AS texts, sum(n)::BIGINT AS tokens, sum(length(text))::BIGINT AS chars,
   round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS max_tokens,
   round(sum(length(text))::DOUBLE / sum(n), 6) AS chars_per_token, count(*) FILTER (trim(text) = '') AS empty,
-  count(*) FILTER (length(text) < 20) AS under_20, count(*) FILTER (length(text) < 50) AS under_50, count(*) FILTER (n < 10) AS under_10_tokens FROM ({_DOCS_SQL})""")
+  count(*) FILTER (length(text) < 20) AS under_20, count(*) FILTER (length(text) < 50) AS under_50, count(*) FILTER (n < 10) AS under_10_tokens FROM ({DOCS_SQL})""")
 def corpus_profile(spark, sf_dir):
     return R.corpus_profile(documents(spark, sf_dir), n_tokens())
 
 
 @query(f"""
 SELECT l AS "limit", count(*) FILTER (n > l) AS n_over, round(100.0::DOUBLE * count(*) FILTER (n > l) / count(*), 6) AS pct_over, sum(greatest(n - l, 0))::BIGINT AS tokens_cut
-FROM ({_DOCS_SQL}), (VALUES (128), (512), (2048), (8192)) t(l) GROUP BY 1""")
+FROM ({DOCS_SQL}), (VALUES (128), (512), (2048), (8192)) t(l) GROUP BY 1""")
 def length_limits(spark, sf_dir):
     return R.over_limits(documents(spark, sf_dir).select(n_tokens().alias("n_tokens")), (128, 512, 2048, 8192))
 
@@ -404,17 +327,23 @@ def dedup_first(spark, sf_dir):
     return D.first_of(df, "sha256", "source", "doc_id").select("doc_id", "source")
 
 
-_BANDED_SQL = f"SELECT doc_id AS id, source, n AS n_tokens, CASE WHEN n >= 1 AND n < 40 THEN 'short' WHEN n >= 500 AND n < 2000 THEN 'medium' WHEN n >= 7000 AND n < 8000 THEN 'long' END AS length_group FROM ({_DOCS_SQL}) WHERE (n >= 1 AND n < 40) OR (n >= 500 AND n < 2000) OR (n >= 7000 AND n < 8000)"
+_BANDED_SQL = f"SELECT doc_id AS id, source, n AS n_tokens, CASE WHEN n >= 1 AND n < 40 THEN 'short' WHEN n >= 500 AND n < 2000 THEN 'medium' WHEN n >= 7000 AND n < 8000 THEN 'long' END AS length_group FROM ({DOCS_SQL}) WHERE (n >= 1 AND n < 40) OR (n >= 500 AND n < 2000) OR (n >= 7000 AND n < 8000)"
 
 
 def _banded(spark, sf_dir):
     return D.banded(documents(spark, sf_dir).select("id", "source", n_tokens().cast("long").alias("n_tokens")))
 
 
-@query(f"SELECT length_group, count(*) AS n, min(n_tokens) AS least, max(n_tokens) AS most, count(*) < 200 AS underfilled FROM ({_BANDED_SQL}) GROUP BY 1")
+@query(f"SELECT length_group, count(*) AS n, min(n_tokens) AS least, max(n_tokens) AS most FROM ({_BANDED_SQL}) GROUP BY 1")
 def token_bands(spark, sf_dir):
-    g = _banded(spark, sf_dir).groupBy("length_group").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
-    return g.withColumn("underfilled", F.col("n") < 200)
+    return _banded(spark, sf_dir).groupBy("length_group").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
+
+
+@query(f"""
+SELECT g AS length_group, least(coalesce(n, 0), 200) AS n FROM (VALUES ('short'), ('medium'), ('long')) t(g) LEFT JOIN (SELECT length_group, count(*) AS n FROM ({_BANDED_SQL}) GROUP BY 1) ON g = length_group WHERE coalesce(n, 0) < 200""")
+def underfilled_bands(spark, sf_dir):
+    """Bands of which the sample has fewer rows than wanted, empty ones included."""
+    return C.underfilled(D.round_robin(_banded(spark, sf_dir), 200), tuple(b[0] for b in D.BANDS), 200)
 
 
 @query(f"""
@@ -422,17 +351,17 @@ WITH b AS (SELECT *, min(n_tokens) OVER g AS lo, max(n_tokens) OVER g AS hi FROM
 c AS (SELECT *, least(floor((n_tokens - lo) / ((hi + 1 - lo) / 8.0::DOUBLE)), 7)::INTEGER AS bin, {HASH.format("'20260916|' || id")} AS h FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY length_group, bin, source ORDER BY h, id) AS turn FROM c),
 e AS (SELECT *, row_number() OVER (PARTITION BY length_group ORDER BY turn, bin, source) AS k FROM d)
-SELECT length_group, id, bin, source, n_tokens FROM e WHERE k <= 20""")
+SELECT length_group, id, bin, source, n_tokens FROM e WHERE k <= 200""")
 def stratified_round_robin(spark, sf_dir):
-    return D.round_robin(_banded(spark, sf_dir), 20).select("length_group", "id", "bin", "source", "n_tokens")
+    return D.round_robin(_banded(spark, sf_dir), 200).select("length_group", "id", "bin", "source", "n_tokens")
 
 
 @query(f"""
-WITH r AS (SELECT lang || '/' || source AS doc, n, sum(n) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM ({_DOCS_SQL}))
+WITH r AS (SELECT lang || '/' || source AS doc, n, sum(n) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM ({DOCS_SQL}))
 SELECT doc, count(*) AS n_chunks, max(cum)::BIGINT AS n_tokens FROM r WHERE cum < 8000 GROUP BY 1 HAVING max(cum) >= 7000""")
 def doc_prefix(spark, sf_dir):
     chunks = documents(spark, sf_dir).select(F.concat_ws("/", "lang", "source").alias("doc"), F.col("id").alias("idx"), n_tokens().cast("long").alias("n_tokens"), "text")
-    return D.document_prefixes(chunks, 7000, 8000).select("doc", "n_chunks", "n_tokens")
+    return D.document_prefixes(chunks, 7000, 8000, n_tokens().cast("long")).select("doc", "n_chunks", "n_tokens")
 
 
 def _facts(spark, sf_dir):
@@ -475,203 +404,25 @@ def _lcn_sql(a: str, b: str) -> str:
 
 @query(f"""
 WITH p AS (SELECT a.item_id AS id, {WORDS.format('a.text')} AS q, {WORDS.format('b.text')} AS d, {WORDS.format("split_part(b.text, '.', 1)")} AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
-m AS (SELECT id, CASE WHEN len(q) = 0 THEN 1 ELSE round(len(list_filter(q, lambda x: list_contains(d, x)))::DOUBLE / len(q), 6) END AS containment, ({_lcn_sql('q', 't')})::INTEGER AS lcn_title, ({_lcn_sql('q', 'd')})::INTEGER AS lcn_fact FROM p)
-SELECT *, NOT (containment > 0.85::DOUBLE OR lcn_title >= 5 OR lcn_fact >= 7) AS kept FROM m""")
+m AS (SELECT id, CASE WHEN len(q) = 0 THEN 1 ELSE len(list_filter(q, lambda x: list_contains(d, x)))::DOUBLE / len(q) END AS containment, ({_lcn_sql('q', 't')})::INTEGER AS lcn_title, ({_lcn_sql('q', 'd')})::INTEGER AS lcn_fact FROM p)
+SELECT * REPLACE (round(containment, 6) AS containment), NOT (containment > 0.85::DOUBLE OR lcn_title >= 5 OR lcn_fact >= 7) AS kept FROM m""")
 def leakage_filter(spark, sf_dir):
-    return D.leakage(_leak_pairs(spark, sf_dir)).select("id", "containment", "lcn_title", "lcn_fact", "kept")
+    return rounded(D.leakage(_leak_pairs(spark, sf_dir)), "containment").select("id", "containment", "lcn_title", "lcn_fact", "kept")
 
 
 _CONV_KEY = "conv_id || '::' || turn"
 
 
-@query(f"SELECT {_CONV_KEY} AS chunk_id, (row_number() OVER (ORDER BY conv_id, turn, text) - 1)::INTEGER AS pos FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user' INTERSECT SELECT conv_id FROM conversations WHERE role = 'assistant')")
+@query(f"SELECT {_CONV_KEY} AS chunk_id, row_number() OVER (ORDER BY conv_id, turn, text) - 1 AS pos FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user' INTERSECT SELECT conv_id FROM conversations WHERE role = 'assistant')")
 def canonical_order(spark, sf_dir):
     """Ids that all sides have, in one canonical order of document and chunk number."""
     c = table(spark, sf_dir, "conversations")
-    both = c.where("role = 'user'").select("conv_id").intersect(c.where("role = 'assistant'").select("conv_id"))
-    pos = F.row_number().over(Window.orderBy("conv_id", "turn", "text")) - 1
-    return c.join(both, "conv_id", "left_semi").select(chunk_key(F.col("conv_id"), F.col("turn")).alias("chunk_id"), pos.alias("pos"))
+    both = G.in_all([c.where("role = 'user'"), c.where("role = 'assistant'")], "conv_id")
+    placed = G.canonical_order(c.join(both, "conv_id", "left_semi"), "conv_id", "turn", "text")
+    return placed.select(chunk_key(F.col("conv_id"), F.col("turn")).alias("chunk_id"), "pos")
 
 
 @query("SELECT c.conv_id, count(*) AS turns, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations c GROUP BY 1")
 def joined_chunks(spark, sf_dir):
     """Chunk texts joined per document in chunk order."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return c.select("conv_id", "turns", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
-
-
-# --- throughput rows, manifests, validation ---------------------------------------------------
-
-def _timings(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("model"), (F.col("user_id") % 5).cast("int").alias("batch_size"), F.col("value").alias("ms"), F.lit(1).alias("samples"), "event_id")
-
-
-_NEAREST = lambda q: f"round(list_sort(v)[greatest(1, least(len(v), round_even({q} / 100.0::DOUBLE * len(v) + 0.5::DOUBLE, 0)::INTEGER))], 6) AS p{q}"
-
-
-@query(f"""
-SELECT model, batch_size, len(v)::BIGINT AS runs, round(list_avg(v), 6) AS mean, {_NEAREST(50)}, {_NEAREST(95)}, {_NEAREST(99)}, round(1000.0::DOUBLE * len(v) / list_sum(v), 6) AS samples_per_sec
-FROM (SELECT event_type AS model, (user_id % 5)::INTEGER AS batch_size, list(value) AS v FROM events GROUP BY 1, 2)""")
-def bench_percentiles(spark, sf_dir):
-    return R.latency_report(_timings(spark, sf_dir), ["model", "batch_size"])
-
-
-def _status_rows(spark, sf_dir):
-    t = R.latency_report(_timings(spark, sf_dir), ["model", "batch_size"])
-    status = F.when((F.col("batch_size") == 3) & (F.length("model") % 2 == 0), "OOM").otherwise("ok")
-    return t.select("model", "batch_size", F.col("batch_size").alias("row_pos"), status.alias("status"), "samples_per_sec")
-
-
-_STATUS_SQL = "SELECT model, batch_size, CASE WHEN batch_size = 3 AND length(model) % 2 = 0 THEN 'OOM' ELSE 'ok' END AS status, round(1000.0::DOUBLE * n / s, 6) AS samples_per_sec FROM (SELECT event_type AS model, (user_id % 5)::INTEGER AS batch_size, count(*) AS n, sum(value) AS s FROM events GROUP BY 1, 2)"
-_OOM_SQL = f"SELECT model, batch_size, CASE WHEN max(CASE WHEN status = 'OOM' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY batch_size) = 1 THEN 'OOM' ELSE status END AS status, samples_per_sec FROM ({_STATUS_SQL})"
-
-
-@query(_OOM_SQL)
-def oom_propagation(spark, sf_dir):
-    return R.oom_propagated(_status_rows(spark, sf_dir), ["model"]).select("model", "batch_size", "status", "samples_per_sec")
-
-
-@query(f"SELECT model, batch_size, samples_per_sec FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY samples_per_sec DESC, batch_size) AS k FROM ({_OOM_SQL}) WHERE status = 'ok') WHERE k = 1")
-def best_throughput(spark, sf_dir):
-    return R.best_throughput(R.oom_propagated(_status_rows(spark, sf_dir), ["model"]), ["model"])
-
-
-@query("""
-WITH o AS (SELECT o_orderpriority AS model, row_number() OVER (ORDER BY o_orderkey) AS row_pos, o_orderkey % 4 = 0 AS single, o_totalprice AS value FROM orders WHERE o_orderstatus <> 'P'),
-n AS (SELECT o_orderpriority AS model, o_orderkey AS row_pos, true AS single, o_totalprice AS value FROM orders WHERE o_orderstatus = 'P'),
-g AS (SELECT model, min(row_pos) AS gp FROM o GROUP BY 1),
-b AS (SELECT * FROM o WHERE NOT (single AND model IN (SELECT model FROM n)) UNION ALL SELECT * FROM n)
-SELECT row_number() OVER (ORDER BY gp ASC NULLS LAST, model, single DESC, row_pos)::INTEGER AS pos, model, single, value FROM b LEFT JOIN g USING (model)""")
-def merge_single(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("model"), F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("row_pos"), (F.col("o_orderkey") % 4 == 0).alias("single"), F.col("o_totalprice").alias("value"))
-    new = o.where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("row_pos"), F.lit(True).alias("single"), F.col("o_totalprice").alias("value"))
-    return R.merged_single(old, new, ["model"])
-
-
-@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal + 1 FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1)")
-def upsert_rows(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    new = c.join(c.where("c_custkey = 1").select("c_mktsegment"), "c_mktsegment", "left_semi").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    return R.upsert(c, new, ["c_mktsegment"]).select("c_custkey", "c_mktsegment", "c_acctbal")
-
-
-@query("SELECT coalesce(n.s, o.s) AS supplier, coalesce(n.v, o.v) AS value FROM (SELECT s_suppkey AS s, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0) o FULL JOIN (SELECT s_suppkey AS s, s_acctbal + 100 AS v FROM supplier WHERE s_suppkey % 2 = 0) n ON o.s = n.s")
-def manifest_merge(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("value"))
-    return R.merged_manifest(s.where("supplier % 3 <> 0"), s.where("supplier % 2 = 0").withColumn("value", F.col("value") + 100), ["supplier"])
-
-
-@query("""
-SELECT p_brand AS model, p_type AS input, p_size AS mode, p_size % 3 AS prompt, p_size = f AS encode, CASE WHEN p_size <> f THEN f END AS identical_to_mode
-FROM (SELECT *, min(p_size) OVER (PARTITION BY p_brand, p_type, p_size % 3) AS f FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part))""")
-def prompt_dedup(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), F.col("p_type").alias("input"), F.col("p_size").alias("mode"), (F.col("p_size") % 3).alias("prompt")).distinct()
-    return R.identical_prompts(p)
-
-
-@query("SELECT r AS run, i, ((r * 32 + i) % n)::INTEGER AS pos, c_custkey FROM (SELECT count(*) AS n FROM customer), range(40) a(r), range(32) b(i) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) ON p = (r * 32 + i) % n".replace("r AS run, i,", "r::INTEGER AS run, i::INTEGER AS i,"))
-def rotating_batches(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    at = c.withColumn("pos", F.row_number().over(Window.orderBy("c_custkey")) - 1)
-    return D.rotating_batches(c.count(), 32, 40, spark).join(at, "pos").select("run", "i", "pos", "c_custkey")
-
-
-@query("""
-SELECT 'duplicate_text' AS "check", count(*) AS n FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
-UNION ALL SELECT 'unknown_label', count(*) FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
-UNION ALL SELECT 'dimension', count(*) FROM embeddings WHERE len(embedding) <> 64
-UNION ALL SELECT 'length_drift', count(*) FROM documents WHERE n_chars IS DISTINCT FROM length(text)""")
-def violations(spark, sf_dir):
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return R.violations({
-        "duplicate_text": R.duplicates(d, "text"), "unlabelled": R.missing(d, lab, "doc_id"), "unknown_label": R.missing(lab, d, "doc_id"),
-        "dimension": vectors(spark, sf_dir).where(F.size("vec") != 64), "length_drift": d.where(~F.col("n_chars").eqNullSafe(F.length("text"))),
-    })
-
-
-# --- ingest, configuration and run rows -------------------------------------------------------
-
-@query("""
-SELECT o_custkey::VARCHAR || '::' || o_orderkey AS chunk_id, l_linenumber AS fact_no, p_name AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'P'""")
-def graph_pattern(spark, sf_dir):
-    """Chunks joined to their facts over an edge table; the predicate on chunks reaches their scan."""
-    o, e, f = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    o = o.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-    joined = o.join(e.select("l_orderkey", "l_partkey", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey")).join(f.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
-    return joined.select(chunk_key(F.col("o_custkey"), F.col("o_orderkey")).alias("chunk_id"), F.col("l_linenumber").alias("fact_no"), F.col("p_name").alias("text"))
-
-
-@query("""
-SELECT n_nationkey AS item, CASE WHEN n_regionkey % 2 = 0 THEN 'query' ELSE 'doc' END AS kind, mode, CASE WHEN mode = 'instruct' THEN CASE WHEN n_regionkey % 2 = 0 THEN 'Find: ' || r_name ELSE NULL END END AS prompt
-FROM nation JOIN region ON r_regionkey = n_regionkey, (VALUES ('instruct'), ('no_instruct')) m(mode)""")
-def prompt_resolution(spark, sf_dir):
-    """The prompt of every input and mode: none without instruction, else by the input's kind."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    kind = F.when(F.col("n_regionkey") % 2 == 0, "query").otherwise("doc")
-    rows = n.select(F.col("n_nationkey").alias("item"), kind.alias("kind"), "r_name", F.explode(F.array(F.lit("instruct"), F.lit("no_instruct"))).alias("mode"))
-    return rows.select("item", "kind", "mode", F.when((F.col("mode") == "instruct") & (F.col("kind") == "query"), F.concat(F.lit("Find: "), "r_name")).alias("prompt"))
-
-
-@query("""
-WITH e AS (SELECT user_id % 97 AS pair_id, event_id AS seq, value AS score FROM events), l AS (SELECT pair_id, arg_max(score, seq) AS score FROM e GROUP BY 1)
-SELECT p_partkey AS pair_id, p_name AS text, score, score IS NULL AS missing FROM part LEFT JOIN l ON pair_id = p_partkey""")
-def external_scores(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("text"))
-    outside = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("pair_id"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
-    return R.with_external(pairs, outside).withColumn("missing", F.col("score").isNull())
-
-
-@query(f"SELECT price, round(sum(least(n, 8191)) / 1e6::DOUBLE * price, 6) AS cost FROM ({_DOCS_SQL}), (VALUES (0.02::DOUBLE), (0.1::DOUBLE), (0.13::DOUBLE)) p(price) GROUP BY 1")
-def cost_estimate(spark, sf_dir):
-    """Cost of embedding all documents at a price per million tokens, texts cut at 8191 tokens."""
-    rows = documents(spark, sf_dir).select(F.least(n_tokens(), F.lit(8191)).alias("n"), F.explode(F.array(*(F.lit(x) for x in (0.02, 0.1, 0.13)))).alias("price"))
-    return rows.groupBy("price").agg(F.sum("n").alias("s")).select("price", F.round(F.col("s") / 1e6 * F.col("price"), 6).alias("cost"))
-
-
-@query("""
-SELECT role, count(*) AS n, count(*) FILTER (sha256(text) IS DISTINCT FROM sha256(trim(text)) OR turn % 5 = 0) AS drifted FROM conversations GROUP BY 1""")
-def sha_drift(spark, sf_dir):
-    """Texts whose digest differs from the recorded one, missing records included (every fifth turn has none)."""
-    c = table(spark, sf_dir, "conversations")
-    recorded = F.when(F.col("turn") % 5 != 0, F.sha2(F.trim("text"), 256))
-    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(~F.sha2("text", 256).eqNullSafe(recorded)).alias("drifted"))
-
-
-@query("SELECT model, status, count(*) AS n FROM (" + _OOM_SQL + ") GROUP BY 1, 2")
-def status_histogram(spark, sf_dir):
-    return R.oom_propagated(_status_rows(spark, sf_dir), ["model"]).groupBy("model", "status").agg(F.count("*").alias("n"))
-
-
-@query(f"""
-SELECT length_group, count(*) AS n, min(n_tokens) AS least, list_sort(list(n_tokens))[len(list(n_tokens)) // 2 + 1] AS middle, max(n_tokens) AS most, count(DISTINCT source) AS n_sources FROM ({_BANDED_SQL}) GROUP BY 1""")
-def dataset_summary(spark, sf_dir):
-    """Smallest, middle (index n // 2) and largest token count per band, and its sources."""
-    g = _banded(spark, sf_dir).groupBy("length_group").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.array_sort(F.collect_list("n_tokens")).alias("all"), F.max("n_tokens").alias("most"), F.count_distinct("source").alias("n_sources"))
-    return g.select("length_group", "n", "least", F.get("all", F.floor(F.size("all") / 2).cast("int")).alias("middle"), "most", "n_sources")
-
-
-@query("""
-SELECT event_type AS model, count(*) AS n_batches, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, arg_min(value, event_id) AS first, round(count(*) / sum(value), 6) AS items_per_second FROM events GROUP BY 1""")
-def encode_summary(spark, sf_dir):
-    """Batch timings of an encoding run: mean, percentiles, the first batch, and the overall rate."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n_batches"), F.avg("value").alias("mean"), p.alias("p"), F.min_by("value", "event_id").alias("first"), F.sum("value").alias("total"))
-    return g.select("model", "n_batches", F.round("mean", 6).alias("mean"), F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "first", F.round(F.try_divide("n_batches", "total"), 6).alias("items_per_second"))
-
-
-@query("""
-WITH m AS (SELECT s_nationkey AS model, s_suppkey % 4 AS mode, CASE WHEN s_acctbal > 0 THEN floor(s_acctbal)::BIGINT END AS n, s_suppkey FROM supplier)
-SELECT s_suppkey AS id, model, mode, n, coalesce(CASE WHEN n > 5000 THEN n END, 2048)::BIGINT AS window_,
-  concat_ws('; ', CASE WHEN n > 5000 THEN 'long' END, CASE WHEN mode = 0 THEN 'default mode' END, CASE WHEN n % 2 = 0 THEN 'even' END) AS notes
-FROM m WHERE n IS NOT NULL AND n <> 0 AND NOT (model = 3 AND mode = 1)""")
-def manifest_rows(spark, sf_dir):
-    """Manifest entries as flat rows with defaults and notes; empty entries and excluded pairs give none."""
-    n, mode = F.col("n"), F.col("mode")
-    m = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("model"), (F.col("s_suppkey") % 4).alias("mode"), F.when(F.col("s_acctbal") > 0, F.floor("s_acctbal")).alias("n"))
-    skip = spark.createDataFrame([(3, 1)], "model int, mode long")
-    m = m.where(n.isNotNull() & (n != 0)).join(F.broadcast(skip), ["model", "mode"], "left_anti")  # one excluded pair
-    notes = F.concat_ws("; ", F.when(n > 5000, "long"), F.when(mode == 0, "default mode"), F.when(n % 2 == 0, "even"))
-    return m.select("id", "model", "mode", "n", F.coalesce(F.when(n > 5000, n), F.lit(2048)).cast("long").alias("window_"), notes.alias("notes"))
+    return D.joined_texts(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "\n\n").withColumnRenamed("n", "turns")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.storage import few, written
 
 #: Dense systems: how many leading dimensions each uses.
 SYSTEMS = {"full": 64, "half": 32, "quarter": 16}
@@ -30,24 +31,42 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containing(items: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
     """``(query_id, item_id)``: documents ``(id, text)`` whose text contains the whole text of an item ``(id, text)``.
 
-    An equi-join on word windows finds candidates: the item's words from its second on (the first may
-    be part of a longer word in the document) must occur as a window. Items too short for a window are
-    compared as they are, which is meant for a few of them only.
+    An equi-join on hashes of word windows finds candidates: the item's words from its second to its last
+    but one (the outer ones may be part of longer words in the document) hold a window of up to ``width``
+    words. Items of fewer than three words are found by their first three characters. Only ids and
+    hashes are shuffled; texts are read again for the candidates, which are verified in full.
+    An empty item is contained in every text and gives no rows.
     """
-    words = F.array_remove(F.split("text", r"\s+"), "")
-    keyed = items.select(F.col("id").alias("query_id"), F.col("text").alias("item"), words.alias("w"))
-    long = keyed.where(F.size("w") >= width + 2).select("query_id", "item", F.array_join(F.slice("w", 2, width), " ").alias("key"))
-    windows = docs.select(F.col("id").alias("item_id"), "text", words.alias("w")).where(F.size("w") >= width)
-    windows = windows.select("item_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("key"))
-    found = windows.join(long, "key").where(F.contains("text", F.col("item"))).select("query_id", "item_id")
-    short = keyed.where(F.size("w") < width + 2).join(docs.select(F.col("id").alias("item_id"), "text"), F.contains("text", F.col("item"))).select("query_id", "item_id")
-    return found.unionByName(short).distinct()
+    words = lambda c: F.array_remove(F.split(c, r"[\s\x0B]+"), "")
+    keyed = items.where("text <> ''").select(F.col("id").alias("query_id"), F.col("text").alias("item"), words("text").alias("w"))
+    keyed = keyed.withColumn("size", F.least(F.lit(width), F.size("w") - 2)).withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(-F.least(F.lit(3), F.length("item"))))
+    key = F.when(F.col("size") > 0, F.array_join(F.slice("w", 2, F.greatest("size", F.lit(1))), " ")).otherwise(F.substring("item", F.lit(1), -F.col("size")))
+    keyed = written(keyed.select("query_id", "item", "size", F.xxhash64("size", key).alias("key")), "items", narrow=True)
+    sizes = [r.size for r in keyed.select("size").distinct().collect()]  # at most width + 3
+    texts = docs.select(F.col("id").alias("item_id"), "text", words("text").alias("w"))
+
+    def windows(size: int):
+        last = F.size("w") - (size - 1) if size > 0 else F.length("text") + size + 1
+        at = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        window = (lambda i: F.array_join(F.slice("w", i, size), " ")) if size > 0 else (lambda i: F.substring("text", i, F.lit(-size)))
+        return F.when(last > 0, F.transform(at, lambda i: F.xxhash64(F.lit(size), window(i)))).otherwise(F.array().cast("array<long>"))
+
+    every = F.array_distinct(F.concat(*(windows(n) for n in sizes))) if sizes else F.array().cast("array<long>")
+    found = texts.select("item_id", F.explode(every).alias("key")).join(few(keyed.select("query_id", "key"), 24), "key").select("query_id", "item_id").distinct()
+    found = written(found, "candidates", narrow=True)
+    checked = docs.select(F.col("id").alias("item_id"), "text").join(few(found, 24), "item_id").join(few(keyed.select("query_id", "item"), 1000), "query_id")
+    return checked.where(F.contains("text", F.col("item"))).select("query_id", "item_id").distinct()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document (one row), or an array of them (a row for each), over several lines."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def read_json_ids(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of ids as ``(pos, id)``."""
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "id"))
@@ -87,11 +106,35 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
     qrels.select("query_id", "item_id", F.lit(1).alias("rel")).write.csv(path, sep="\t")
 
 
-def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
+def write_csv(df: DataFrame, path: str, by: str | None = None, mark: bool = True) -> None:
+    """CSV with header; with ``mark`` each file starts with a byte-order mark, as spreadsheets want it."""
+    if mark:
+        first = next(c for c in df.columns if c != by)
+        df = df.withColumnRenamed(first, "\ufeff" + first)
+        df = df.select("\ufeff" + first, *(c for c in df.columns if c != "\ufeff" + first))
     writer = df.write.option("header", True).option("escape", '"')
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_per_query(metrics: DataFrame, path: str) -> None:
+    """Metrics per system and query, one folder for each system."""
+    metrics.write.partitionBy("system").json(path)
+
+
+def vector_pair(vectors: DataFrame, model: str, mode: str, questions: str, index: str = "corpus") -> tuple[DataFrame, DataFrame]:
+    """Index and question vectors ``(id, vec)`` of a model and mode from ``vectors(model, mode, input, item_id, vec)``.
+
+    The filter reaches the partitions. No vectors, or vectors of more than one size, are an error.
+    """
+    chosen = vectors.where((F.col("model") == model) & (F.col("mode") == mode))
+    sides = [chosen.where(F.col("input") == i).select(F.col("item_id").alias("id"), "vec") for i in (index, questions)]
+    sizes = sides[0].unionByName(sides[1]).agg(F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high")).first()
+    lacking = [name for name, side in zip((index, questions), sides) if side.isEmpty()]
+    if lacking or sizes["low"] != sizes["high"]:
+        raise ValueError(f"{model}/{mode}: " + (f"no vectors of {', '.join(lacking)}" if lacking else f"vectors of {sizes['low']} to {sizes['high']} numbers"))
+    return sides[0], sides[1]
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """Vectors ``(model, mode, input, pos, item_id, vec)`` partitioned so that one configuration prunes to its files."""
     df.write.partitionBy("model", "mode", "input").parquet(path)

@@ -15,6 +15,7 @@ BROADCAST_BYTES = 8 << 20
 #: Shuffle files of a finished query go at its end, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_tables: dict[str, str] = {}  # by path: the catalog's names of bucketed tables
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scopes: list[list[str]] = []
 
@@ -63,8 +64,23 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like :func:`written`, in as many buckets by ``keys`` as there are shuffle partitions.
+
+    The rows are shuffled once, here; later joins and groupings on all the keys leave them where they are.
+    """
+    spark = df.sparkSession
+    path, table, n = new_path(spark, name), f"corvane_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    _paths[out], _tables[path] = path, table
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table through the file system that holds it."""
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corvane.plans.catalog import ORACLE_SQL, QUERIES
+from corvane.plans import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
