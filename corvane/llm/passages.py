@@ -99,7 +99,7 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_passages(texts: DataFrame) -> DataFrame:
-    """``(ka, kb, cut_text, passages, passage_words)`` of the texts that lose words, from a written ``texts(doc_id, ka, kb, text)``.
+    """``(ka, kb, cut_text, passages, passage_words)`` of the texts that lose words, from ``texts(doc_id, ka, kb, text)`` dealt by ka and kb.
 
     ``passages`` has the first and last cut word of each run, counted from 0 in ``text``. Rows equal in (ka, kb) are one text.
     """

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corvane.llm.components import components
 from corvane.llm.storage import few, workspace, written
 
-BLOCK = 1024
+BLOCK = 512
 STAR_TABLES = 4
 
 

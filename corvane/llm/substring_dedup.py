@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corvane.llm import kernels as K
 from corvane.llm.passages import cut_passages
 from corvane.llm.similar import colliding, similar_components
-from corvane.llm.storage import few, workspace, written
+from corvane.llm.storage import dealt, few, workspace, written
 
 WIDTH, BANDS, ROWS, LEAST_WORDS = 5, 14, 3, 25
 OCCURRENCES = "doc_id long, ka long, kb long, line int, n_words long, n long, name_a long, name_b long, sketch binary"
@@ -130,21 +130,21 @@ def without_lines() -> Column:
     return F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
 
 
-def changed_texts(docs: DataFrame) -> DataFrame:
-    """``(ka, kb, new, removed, words_removed, passages)`` of the texts that lose words."""
+def shortened(docs: DataFrame) -> DataFrame:
+    """``(d, doc_id, text, cut_text, removed, words_removed, n_lines, passages, passage_words)`` for each row of ``docs``.
+
+    ``d`` has the row without its text, ``text`` the text without its removed lines, and ``cut_text`` what is
+    left after passages are cut, null where none is. The texts are shuffled once, into buckets by their
+    name; what is found about them joins them there.
+    """
     with workspace(docs.sparkSession) as held:
         removed = repeated_paragraphs(docs)
-        texts = _keyed(docs).select("doc_id", "ka", "kb", "text").join(few(removed, 200), ["ka", "kb"], "left")
-        texts = written(texts.select("doc_id", "ka", "kb", without_lines().alias("text"), "removed", "words_removed"), "without_lines")
-        cut = cut_passages(texts.select("doc_id", "ka", "kb", "text"))
-        shorter = texts.where("removed is not null").dropDuplicates(["ka", "kb"]).select("ka", "kb", "text", "removed", "words_removed")
-        both = shorter.join(cut, ["ka", "kb"], "full")
-        changed = both.select(
-            "ka", "kb", F.coalesce("cut_text", "text").alias("new"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-            (F.coalesce("words_removed", F.lit(0)) + F.coalesce("passage_words", F.lit(0))).cast("long").alias("words_removed"),
-            F.coalesce("passages", F.array().cast("array<struct<first:int,last:int>>")).alias("passages"),
-        )
-        return held.keep(written(changed, "changed"))
+        texts = _keyed(docs).join(few(removed, 200), ["ka", "kb"], "left")
+        n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+        texts = texts.select(F.col("d").dropFields("text").alias("d"), "doc_id", "ka", "kb", without_lines().alias("text"), "removed", "words_removed", n_lines.alias("n_lines"))
+        texts = held.keep(dealt(texts, "texts", "ka", "kb"))
+        cut = held.keep(cut_passages(texts.select("doc_id", "ka", "kb", "text")))
+    return texts.join(cut, ["ka", "kb"], "left")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -154,15 +154,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     stays as it is. Rows equal in doc_id and text are one document: none of them repeats the other. An
     empty table gives an empty result.
     """
-    rows = _keyed(docs).join(changed_texts(docs).select("ka", "kb", "new"), ["ka", "kb"], "left")
-    rows = rows.where(F.col("new").isNull() | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
+    rows = shortened(docs).withColumn("new", F.coalesce("cut_text", "text"))
+    same = F.col("removed").isNull() & F.col("cut_text").isNull()
+    rows = rows.where(same | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
     columns = []
     for c in docs.columns:
-        value = F.col("d")[c]
-        if c == "text":
-            value = F.coalesce("new", F.col("text"))
-        elif c == "n_chars":
-            value = F.when(F.col("new").isNull(), value).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+        value = F.col("new") if c == "text" else F.col("d")[c]
+        if c == "n_chars":
+            value = F.when(same, value).otherwise(F.length("new")).cast(docs.schema[c].dataType)
         columns.append(value.alias(c))
     return rows.select(*columns)
 
@@ -174,11 +173,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     earlier paragraph; ``passages`` are runs of words cut from the text without these lines;
     ``words_removed`` counts both. Rows equal in doc_id and text have equal results.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = _keyed(docs).select("doc_id", "ka", "kb", "text").join(changed_texts(docs), ["ka", "kb"], "left")
+    rows = shortened(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select(
-        "doc_id", F.coalesce("new", "text").alias("text"), F.col("new").isNotNull().alias("changed"),
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce("words_removed", F.lit(0).cast("long")).alias("words_removed"),
+        "doc_id", F.coalesce("cut_text", "text").alias("text"), (F.col("removed").isNotNull() | F.col("cut_text").isNotNull()).alias("changed"), "n_lines",
+        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
+        (F.coalesce("words_removed", F.lit(0)) + F.coalesce("passage_words", F.lit(0))).cast("long").alias("words_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("passages", F.array().cast("array<struct<first:int,last:int>>")).alias("passages"),
     )
