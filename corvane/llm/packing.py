@@ -1,8 +1,8 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
 A document longer than a bin is cut into full pieces and a rest. A bin takes at most one piece of
-each source and of each duplicate cluster (equal texts, and pieces of one doc_id). Bins stand in an
-index ordered by the room they have left and carry a bitmap of their sources and one of their
+each source and of each duplicate cluster (near copies where the caller has their groups, else equal
+texts; and pieces of one doc_id). Bins stand in an index ordered by the room they have left and carry a bitmap of their sources and one of their
 clusters; a piece goes to the first compatible bin found by walking that order upwards from its own
 size, which is the tightest compatible bin there is. Pieces come largest first.
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.mixing import n_words
+from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.storage import written
 
 CAPACITY, GROUP = 1024, 4096
@@ -88,9 +89,12 @@ def _pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out[["doc_id", "piece", "start", "words", "bin_id", "position"]]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, clusters: DataFrame | None = None) -> DataFrame:
     """``(doc_id, piece, start, words, bin_id, position)`` for every piece of every row of ``docs(doc_id, text, source)``.
 
+    ``clusters(doc_id, component_id)`` names the duplicate cluster of documents; one that it lacks, or that
+    has no doc_id, is a cluster of the rows with its text.
+
     ``start`` counts words of the document, ``position`` words of the bin; each word of the input is
     in exactly one bin. A row without words (null, empty, white space) gives one piece of 0 words with
     null ``bin_id`` and ``position``. A null source counts as one source, a null doc_id as no cluster. Equal rows
@@ -98,6 +102,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     """
     doc_id, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, source, text).alias("ka"), F.xxhash64(text, F.lit(1), doc_id, source).alias("kb"), source.alias("source"), F.xxhash64(text).alias("by_text"), F.coalesce(doc_id, F.xxhash64(text, F.lit(2))).alias("by_id"), n_words(F.col("text")).alias("n"))
+    if clusters is not None:
+        # text hashes and component ids are numbers of two kinds: a component counts by its hash with a mark
+        named = clusters.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.min("component_id").alias("_component"))
+        rows = rows.join(named, F.col("doc_id") == F.col("_doc"), "left").withColumn("by_text", F.when(F.col("_component").isNotNull(), F.xxhash64("_component", F.lit("component"))).otherwise(F.col("by_text"))).drop("_doc", "_component")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))))
     start = F.col("piece").cast("long") * capacity
     pieces = rows.select("doc_id", "ka", "kb", "source", "by_text", "by_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).alias("words"))
@@ -110,4 +118,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Bins of all documents; duplicate clusters are the near-duplicate groups of similarity 0.85 and more. See :func:`pack` for odd rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(docs, clusters=near_duplicates(docs).select("doc_id", "component_id"))
