@@ -134,6 +134,8 @@ def test_quality_measures(docs, rows, empty):
         lines = [x for x in (r[1] or "").split("\n") if WORD.search(x)]
         want.append((str(r[0]), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), len(covered)))
     assert sorted((str(r.doc_id), *r[1:6]) for r in out) == sorted(want)
+    bare = sorted((str(r[0]), sum(not any(c.isalpha() for c in w) for w in WORD.findall(r[1] or "")), sum(c.isalpha() for c in r[1] or "")) for r in rows)
+    assert sorted((str(r.doc_id), r.n_bare, r.n_letters) for r in out) == bare
     assert quality_rules.keep_good(empty).count() == 0
 
 
@@ -143,7 +145,7 @@ def test_label_model(spark):
     for _ in range(2000):
         good = rng.random() < 0.7
         truth.append(good)
-        rows.append(tuple(0 if rng.random() < 0.2 else (1 if good == (rng.random() < a) else -1) for a in (0.9, 0.9, 0.8, 0.8, 0.8, 0.7, 0.7)))
+        rows.append(tuple(0 if rng.random() < 0.2 else (1 if good == (rng.random() < a) else -1) for a in (0.9, 0.9, 0.8, 0.8, 0.8, 0.7, 0.7, 0.6, 0.6)))
     votes = spark.createDataFrame(rows, ", ".join(f"{r} int" for r in quality_rules.RULES))
     model = quality_rules.fit(votes)
     assert abs(model.prior - 0.7) < 0.05 and abs(model.good["length"][1] / (1 - model.good["length"][0]) - 0.9) < 0.05
@@ -151,6 +153,58 @@ def test_label_model(spark):
     assert sum((r.p >= 0.5) == t for r, t in zip(got, truth)) / len(truth) > 0.93
 
 
+def em_by_hand(rows, rules, rounds, start):
+    """The same model by plain loops over all rows, without patterns."""
+    prior = start.prior
+    side = {True: [dict(start.good[r]) for r in rules], False: [dict(start.bad[r]) for r in rules]}
+
+    def posterior(row):
+        good, bad = prior, 1 - prior
+        for k, v in enumerate(row):
+            good, bad = good * side[True][k][v], bad * side[False][k][v]
+        return good / (good + bad)
+
+    for _ in range(rounds):
+        p = [posterior(row) for row in rows]
+        total = sum(p)
+        new = {True: [], False: []}
+        for k in range(len(rules)):
+            g = {v: (sum(x for x, row in zip(p, rows) if row[k] == v) + 1) / (total + 3) for v in (-1, 0, 1)}
+            b = {v: (sum(1 - x for x, row in zip(p, rows) if row[k] == v) + 1) / (len(rows) - total + 3) for v in (-1, 0, 1)}
+            share = total / len(rows)
+            for v, wrong in ((-1, g[-1] > b[-1]), (1, b[1] > g[1])):
+                if wrong:
+                    g[v] = b[v] = share * g[v] + (1 - share) * b[v]
+            new[True].append(g)
+            new[False].append(b)
+        side, prior = new, min(max(total / len(rows), 0.05), 0.98)
+    return prior, side, [posterior(row) for row in rows]
+
+
+def test_label_model_by_hand(spark):
+    rng = random.Random(4)
+    rows = [tuple(rng.choice((-1, 0, 1, 1) if rng.random() < 0.8 else (-1, -1, 0)) for _ in quality_rules.RULES) for _ in range(60)] * 5
+    votes = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], ", ".join(f"{r} int" for r in quality_rules.RULES) + ", n int")
+    model = quality_rules.fit(votes.drop("n"), rounds=6, tolerance=0.0)
+    prior, side, p = em_by_hand(rows, quality_rules.RULES, 6, quality_rules.START)
+    assert math.isclose(model.prior, prior, rel_tol=1e-9)
+    for k, r in enumerate(quality_rules.RULES):
+        for v in (-1, 0, 1):
+            assert math.isclose(model.good[r][v], side[True][k][v], rel_tol=1e-9) and math.isclose(model.bad[r][v], side[False][k][v], rel_tol=1e-9)
+    got = [r.p for r in votes.withColumn("p", model.posterior()).orderBy("n").select("p").collect()]
+    assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(got, p))
+
+
+def test_bad_documents_go(spark):
+    """Of the labelled documents of 50 words and more, bad ones are rejected and good ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    kept = {r.doc_id for r in quality_rules.keep_good(docs).select("doc_id").collect()}
+    long = {r.doc_id for r in docs.collect() if len(WORD.findall(r.text or "")) >= 50}
+    good, bad = ({d for d in long if labels.get(d) == q} for q in (1, 0))
+    assert len(good & kept) >= 0.97 * len(good) and len(bad & kept) <= 0.1 * len(bad)
+
+
 def test_keep_good_keeps_columns(docs):
     kept = quality_rules.keep_good(docs)
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
