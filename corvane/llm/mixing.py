@@ -198,7 +198,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: one row for each document and pass, its text cut to the words taken.
 
     A document that a pass takes as a whole keeps its text unchanged; one that no slot takes gives no
-    row. All columns are kept; ``n_chars``, where there is one, follows the new text.
+    row. All columns are kept; ``n_chars``, where there is one, follows the new text. Null and word-less
+    texts have size 0 and give nothing; a null source is one of its own. Of rows equal in doc_id, text and
+    source, which the mix takes together, the first by the JSON of the whole row stands for all. An empty
+    table gives an empty one.
     """
     placed, _, spans = mixed(docs)
     row = ["source_no", "bucket", "rn"]
@@ -212,8 +215,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     doc_id, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
     rows = docs.select(F.struct("*").alias("d"), F.xxhash64(doc_id, source, text).alias("ka"), F.xxhash64(text, F.lit(1), doc_id, source).alias("kb"))
     rows = rows.join(joined, ["ka", "kb"])
-    # equal rows share their name and all its parts: the first of them stands for all
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("ka", "kb").orderBy(F.lit(0)))).where("at = 1")
+    # equal rows share their name and all its parts: the first by the JSON of the whole row stands for all
+    several = F.count("*").over(Window.partitionBy("ka", "kb")) > 1
+    whole = F.when(F.col("several"), F.to_json("d"))
+    rows = rows.withColumn("several", several).withColumn("at", F.row_number().over(Window.partitionBy("ka", "kb").orderBy(whole))).where("at = 1")
     rows = rows.select("d", F.explode("parts").alias("part"))
     texts = rows.select("d", F.col("d")["text"].cast("string").alias("text"), "part.spans", "part.whole")
     cut = texts.where("not whole").select(F.col("d").dropFields("text").alias("d"), "text", "spans").mapInArrow(cut_rows, texts.select(F.col("d").dropFields("text").alias("d"), "text").schema)
