@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 STRICT = ("camgirls", "casino", "cialis", "escorts", "hentai", "payday-loans", "porn", "porno", "viagra", "warez", "xxx")
 SOFT = {"adult": 1.0, "bet": 1.0, "bonus": 1.0, "cheap": 1.0, "crack": 1.0, "dating": 1.0, "download": 1.0, "free": 1.0, "loans": 1.0, "nude": 1.5, "pharmacy": 1.0, "pills": 1.0, "poker": 1.5, "replica": 1.0, "sex": 1.5, "slots": 1.0, "win": 1.0}
 SOFT_LIMIT = 2.0
+#: A vocabulary table is held by every task: more terms than this are an error.
+MOST_TERMS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,12 +90,29 @@ def counter(strict: tuple[str, ...], soft: dict[str, float]):
     return run
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT) -> DataFrame:
+def vocabulary_of(table: DataFrame) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict and soft terms of ``table(term, weight, strict)``, of at most ``MOST_TERMS`` rows.
+
+    Terms are lower-cased (A-Z); null and empty ones go. Of equal terms a strict one wins, else the largest weight.
+    """
+    term = F.translate(F.col("term").cast("string"), UPPER, LOWER)
+    rows = table.where(F.length("term") > 0).groupBy(term.alias("term")).agg(F.max("weight").cast("double").alias("weight"), F.bool_or(F.coalesce("strict", F.lit(False))).alias("strict"))
+    found = rows.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary may have {MOST_TERMS} terms")
+    found.sort(key=lambda r: r.term)
+    return tuple(r.term for r in found if r.strict), {r.term: r.weight or 0.0 for r in found if not r.strict}
+
+
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT, vocabulary: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, strict_hits, soft_hits, soft_weight)`` for each row of ``pages(page_id, url)``.
 
     The longest fitting rule decides; without one, the vocabulary over the whole url. A null or empty
     url is allowed. Equal rows are judged alike; other columns are ignored; no rows give no rows.
+    ``vocabulary(term, weight, strict)`` replaces the default terms, see :func:`vocabulary_of`.
     """
+    if vocabulary is not None:
+        strict, soft = vocabulary_of(vocabulary)
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), *(c.alias(n) for n, c in zip(("host", "path"), host_and_path(url))))
     name, verdict = longest_rule(rules)
@@ -106,6 +125,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, strict: tuple[
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules and the default vocabulary; see :func:`judge_urls` for odd rows."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
