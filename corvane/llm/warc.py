@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,6 +27,9 @@ from corvane.llm.url_filter import LOWER, UPPER, host_and_path
 
 ARCHIVE_BYTES, RANGE_ROWS = 24 << 20, 100_000
 END = "\r\n\r\n"
+#: Fixed values of the format: how a revisit was found to be one, and what opens an archive.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+INFO = "software: corvane\r\nformat: WARC File Format 1.1\r\n"
 EPOCH = 1_704_067_200  # captures of a table without times are dated by page_id, in seconds from 2024-01-01
 INDEX = "url_key string, captured long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
@@ -84,11 +89,21 @@ def write_archives(pages: DataFrame, path: str) -> None:
         line("WARC-Date", F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")), line("WARC-Captured-Seconds", at.cast("string")),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")), line("WARC-Url-Key", F.regexp_replace(url_key(F.col("url")), r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(F.col("record_type") == "revisit", line("WARC-Refers-To", name("refers_to"))).otherwise(""),
+        F.when(F.col("record_type") == "revisit", F.concat(line("WARC-Refers-To", name("refers_to")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
     )
     records = rows.withColumn("block", block).select(F.concat(header, F.col("block")).alias("value"), F.xxhash64("page_id", "digest").alias("k"))
-    records.repartition(archives, "k").select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+    dealt = records.repartition(archives, "k").select("value").mapInArrow(opened, "value string")
+    dealt.write.option("lineSep", END).option("compression", "gzip").text(path)
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of an archive behind one that describes it."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"archive {TaskContext.get().partitionId()}")
+    at = datetime.fromtimestamp(EPOCH, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {at}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(INFO)}\r\n\r\n{INFO}"
+    yield pa.RecordBatch.from_arrays([pa.array([info])], ["value"])
+    yield from batches
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -118,6 +133,8 @@ def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = zlib.decompress(content.as_py(), 31)
             run = []
             for offset, fields, block in records(data):
+                if fields["WARC-Type"] == "warcinfo":
+                    continue
                 http, _, payload = block.partition(b"\r\n\r\n")
                 if fields["WARC-Type"] == "response":
                     size, digest, refers = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), None

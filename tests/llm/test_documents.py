@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -450,6 +451,9 @@ def test_urls(spark):
     assert got[7][2:] == ("com/fr/", "allow") and got[8][2:] == ("com/de/", "block") and got[9][2:] == (None, "block")
     assert got[10][3] == "allow" and got[11][3] == "allow" and got[12][3] == got[13][3] == "block" and got[14][2] == "org/"
     assert url_filter.judge_urls(df.limit(0)).count() == 0
+    terms = spark.createDataFrame([("Y", 0.0, True), ("x", 1.0, False), ("de", 1.5, None), ("de", 0.5, None), (None, 1.0, True), ("", 1.0, True)], "term string, weight double, strict boolean")
+    by_table = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules=(), vocabulary=terms).collect()}
+    assert [k for k, v in by_table.items() if v == "block"] == [8, 9, 10, 11, 12]
 
 
 @given(st.lists(st.lists(st.integers(0, 30), max_size=12), max_size=9))
@@ -471,6 +475,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds == sorted((p, len((x or "").encode()), digest(x), k, str(v)) for p, x, k, v in want)
     order = [r.url_key for r in sorted(out, key=lambda r: r.history_pos)]
     assert order == sorted(order)
+    fields = [f for p in (tmp_path / "w").glob("*.gz") for _, f, _ in warc.records(gzip.decompress(p.read_bytes()))]
+    assert sum(f["WARC-Type"] == "warcinfo" for f in fields) == len(list((tmp_path / "w").glob("*.gz")))
+    assert all((f["WARC-Type"] == "revisit") == ("WARC-Profile" in f) for f in fields)
     warc.write_archives(df.limit(0), f"{tmp_path}/none")
     assert warc.capture_histories(spark, f"{tmp_path}/none").count() == 0
 
