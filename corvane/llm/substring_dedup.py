@@ -1,6 +1,7 @@
 """Removal of passages that repeat across documents: paragraph MinHash banding.
 
-A paragraph is a line with at least ``LEAST_WORDS`` words. Equal paragraphs (same shingle set)
+A paragraph is a line with at least ``LEAST_WORDS`` words (a parameter: shorter lines, such as headings and
+list items, repeat in clean texts). Equal paragraphs (same shingle set)
 collapse to one vertex; ``BANDS`` bands of ``ROWS`` minhashes find those that are similar (a pair at
 the threshold is missed with probability below 1e-4), candidates are verified by exact Jaccard
 similarity of five-word shingles, and each connected component keeps its first occurrence.
@@ -39,24 +40,24 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, first
 
 
-def _paragraphs(part: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Shingles]:
+def _paragraphs(part: K.Slice, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Shingles]:
     """(row, line within the row, words) of each paragraph, and their shingles."""
     words = K.find_words(part.data, part.offsets)
     start, first = line_starts(part.data, part.offsets)
     at = np.concatenate((np.searchsorted(words.start, start), [len(words.start)]))
     counts = np.diff(at)
-    long = counts >= LEAST_WORDS
+    long = counts >= least
     hashes = K.word_hashes(part.data, words)[np.repeat(long, counts)]
     row = np.repeat(np.arange(part.rows), np.diff(first))
     line = np.arange(len(start)) - first[:-1][row]
     return row[long], line[long], counts[long], K.shingle(hashes, np.concatenate(([0], np.cumsum(counts[long]))), WIDTH)
 
 
-def occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def occurrence_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """One row per paragraph."""
     for batch in batches:
         for part in K.slices(batch.column("text")):
-            row, line, count, sh = _paragraphs(part)
+            row, line, count, sh = _paragraphs(part, least)
             sets, a, b = K.distinct_sets(sh)
             sketch = [bytes(r) for r in K.minhashes(sh, BANDS * ROWS)]
             ids = [batch.column(c).slice(part.first, part.rows).take(pa.array(row)) for c in ("doc_id", "ka", "kb")]
@@ -67,12 +68,12 @@ def occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def paragraph_sets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted lines of each document."""
     for batch in batches:
         lines, ids = batch.column("lines").to_pylist(), batch.column("ids").to_pylist()
         for part in K.slices(batch.column("text")):
-            row, line, _, sh = _paragraphs(part)
+            row, line, _, sh = _paragraphs(part, least)
             sets, _, _ = K.distinct_sets(sh)
             at = {(r, n): k for k, (r, n) in enumerate(zip(row.tolist(), line.tolist()))}
             out_ids, out = [], []
@@ -91,8 +92,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("d"), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("ka"), F.xxhash64(text, F.lit(1), doc_id).alias("kb"))
 
 
-def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """``(ka, kb, removed, words_removed)`` of each document with removals.
+def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100, least: int = LEAST_WORDS) -> DataFrame:
+    """``(ka, kb, removed, words_removed)`` of each document with removals; lines of fewer than ``least`` words are no paragraphs.
 
     ``removed`` holds the numbers (from 0) of the lines that go: all occurrences of a component of
     similar paragraphs but the first by (doc_id, line). Rows equal in doc_id and text are one
@@ -100,7 +101,7 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataF
     """
     with workspace(docs.sparkSession) as held:
         keyed = _keyed(docs).select("doc_id", "ka", "kb", "text")
-        seen = written(keyed.mapInArrow(occurrence_rows, OCCURRENCES), "paragraphs")
+        seen = written(keyed.mapInArrow(lambda it: occurrence_rows(it, least), OCCURRENCES), "paragraphs")
         place = F.struct("doc_id", "ka", "kb", "line")
         items = seen.groupBy("name_a", "name_b").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         items = written(items.withColumn("id", F.monotonically_increasing_id()), "items")
@@ -111,7 +112,7 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataF
             wanted = items.join(few(ids), "id").select("place.ka", "place.kb", "place.line", "id")
             wanted = written(wanted.groupBy("ka", "kb").agg(F.collect_list("line").alias("lines"), F.collect_list("id").alias("ids")), "wanted", narrow=True)
             texts = keyed.select("ka", "kb", "text").join(few(wanted, 100), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
-            return texts.mapInArrow(paragraph_sets, "id long, members array<long>")
+            return texts.mapInArrow(lambda it: paragraph_sets(it, least), "id long, members array<long>")
 
         found = similar_components(items, keys, sets_of, num, den, (BANDS, ROWS))
         named = items.select("id", "name_a", "name_b", "place", "last").join(few(found), "id", "left").where("label is not null or place <> last")
@@ -130,7 +131,7 @@ def without_lines() -> Column:
     return F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
 
 
-def shortened(docs: DataFrame) -> DataFrame:
+def shortened(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``(d, doc_id, text, cut_text, removed, words_removed, n_lines, passages, passage_words)`` for each row of ``docs``.
 
     ``d`` has the row without its text, ``text`` the text without its removed lines, and ``cut_text`` what is
@@ -138,7 +139,7 @@ def shortened(docs: DataFrame) -> DataFrame:
     name; what is found about them joins them there.
     """
     with workspace(docs.sparkSession) as held:
-        removed = repeated_paragraphs(docs)
+        removed = repeated_paragraphs(docs, least=least)
         texts = _keyed(docs).join(few(removed, 200), ["ka", "kb"], "left")
         n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
         texts = texts.select(F.col("d").dropFields("text").alias("d"), "doc_id", "ka", "kb", without_lines().alias("text"), "removed", "words_removed", n_lines.alias("n_lines"))
@@ -147,14 +148,14 @@ def shortened(docs: DataFrame) -> DataFrame:
     return texts.join(cut, ["ka", "kb"], "left")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without repeated paragraphs and passages; a document of which no word is left goes, others stay.
 
     All columns are kept; ``n_chars``, where there is one, follows the new text. A null or word-less text
     stays as it is. Rows equal in doc_id and text are one document: none of them repeats the other. An
     empty table gives an empty result.
     """
-    rows = shortened(docs).withColumn("new", F.coalesce("cut_text", "text"))
+    rows = shortened(docs, least).withColumn("new", F.coalesce("cut_text", "text"))
     same = F.col("removed").isNull() & F.col("cut_text").isNull()
     rows = rows.where(same | F.regexp_like("new", F.lit(K.WORD_PATTERN)))
     columns = []
