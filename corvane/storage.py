@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -17,7 +18,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _tables: dict[str, str] = {}  # by path: the catalog's names of bucketed tables
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_scopes: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """The open scopes of a thread, innermost last."""
+
+    def __init__(self):
+        self.scopes: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _open.scopes:
+        _open.scopes[-1].append(path)
     return path
 
 
@@ -99,7 +109,7 @@ class Workspace:
 
     def release(self) -> list[str]:
         """Paths of the tables that are left in the scope so far; they are now the caller's to remove."""
-        left, _scopes[-1][:] = list(_scopes[-1]), []
+        left, _open.scopes[-1][:] = list(_open.scopes[-1]), []
         return left
 
 
@@ -107,15 +117,15 @@ class Workspace:
 def workspace(spark: SparkSession) -> Iterator[Workspace]:
     """Tables written inside are deleted at the end, but for those kept: an operator leaves only what its result reads."""
     held = Workspace(spark)
-    _scopes.append([])
+    _open.scopes.append([])
     try:
         yield held
     finally:
-        for path in _scopes.pop():
+        for path in _open.scopes.pop():
             if path not in held.kept:
                 remove(spark, path)
-            elif _scopes:
-                _scopes[-1].append(path)
+            elif _open.scopes:
+                _open.scopes[-1].append(path)
 
 
 def few(df: DataFrame, row_bytes: int = 16) -> DataFrame:
