@@ -8,8 +8,8 @@ documents, bands for paragraphs). From the colliding rows this module finds link
    ranked representative, but only where their component labels still differ, and verified links
    merge components; large groups thus merge in work proportional to their size;
 2. a residual round tests what is left in all tables, pairs of *different* components in one bucket,
-   inside tasks over blocks of bounded size: first by sketch, which drops every row without a
-   possible link, then on full sets. Only verified links that join something are emitted.
+   inside tasks over blocks of bounded size (rows of the component that most of a bucket belongs to
+   meet only the other rows): first by sketch, which drops every row without a possible link, then on full sets. Only verified links that join something are emitted.
 
 Every candidate is confirmed on full sets. Nothing is capped: a bucket of any size is covered,
 large ones as a grid of blocks. Tables here hold hashes and ids only.
@@ -225,10 +225,16 @@ def similar_components(items: DataFrame, keys: DataFrame, sets_of: Callable[[Dat
                 labels = components(links)
             low, high = high, 4 * high
         rows = _labelled(keys, labels)
-        ends = rows.groupBy("key", "chunks", "c").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        apart = ends.groupBy("key", "chunks").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-        rows = rows.join(_per_chunk(apart).select("key", "c"), ["key", "c"])
-        rows = rows.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
+        # after the star rounds one label has most rows of a large bucket: these need no pairs among themselves
+        names = rows.groupBy("key", "chunks", "label").agg(F.count("*").alias("n")).groupBy("key", "chunks")
+        apart = names.agg(F.count("*").alias("names"), F.sum("n").alias("rows"), F.max(F.struct("n", "label")).alias("top")).where("names > 1")
+        in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        apart = apart.select("key", "chunks", F.col("top.label").alias("most"), in_blocks(F.col("top.n")).alias("ours"), in_blocks(F.col("rows") - F.col("top.n")).alias("others"))
+        rows = rows.drop("chunks").join(_per_chunk(apart).drop("chunks"), ["key", "c"])
+        # chunks 0 .. ours - 1 hold the label of most rows and meet only the chunks of other labels behind them
+        mine, place = F.col("label") == F.col("most"), F.xxhash64("id", F.lit(1))
+        rows = rows.withColumn("c", F.when(mine, F.pmod(place, F.col("ours"))).otherwise(F.col("ours") + F.pmod(place, F.col("others"))).cast("int"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.when(mine, F.col("ours")).otherwise(0), F.col("ours") + F.col("others") - 1)))
         rows = rows.join(few(near, 4 * size + 100), "id").select("key", "t", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "id", "label", F.col("n").cast("long").alias("n"), "sketch")
         rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
         rows = written(rows.mapInArrow(lambda it: promising_rows(it, tables, need, num, den), BLOCK_ROWS), "promising", narrow=True)
