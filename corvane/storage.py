@@ -62,7 +62,8 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     if narrow:
-        df = df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(min(n, max(8, n // 8)))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
