@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import is_nfc
 from corvane.functions.vectors import cosine
-from corvane.operators.order import linear_quantiles, nearest_ranks, numbered
+from corvane.operators.order import at_places, linear_quantiles, nearest_ranks, numbered
 
 #: Calibration tiers in ladder order.
 TIERS = ("0_sanity", "1_paraphrase", "5_vocab_gap", "2_same_entity_DANGER", "3_same_topic", "4_unrelated")
@@ -149,8 +149,6 @@ def batch_tokens(tokens: DataFrame, by: list[str], limit: int) -> DataFrame:
 
 def length_summary(rows: DataFrame, group: str, n: str, source: str) -> DataFrame:
     """Count, smallest, middle (place n // 2 from 0) and largest ``n`` per group, and its sources with their counts."""
-    from corvane.operators.order import at_places
-
     middle = at_places(rows, [group], n, {"middle": F.floor(F.col("n") / 2) + 1}).select(group, "middle")
     ends = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most"))
     sources = rows.groupBy(group, source).agg(F.count("*").alias("_c")).groupBy(group).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(source, "_c"))))).alias("sources"))

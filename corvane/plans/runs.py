@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.functions.text import chunk_key
 from corvane.functions.vectors import parts
@@ -15,8 +14,8 @@ from corvane.operators import manifests as M
 from corvane.operators import reports as R
 from corvane.operators import retrieval as X
 from corvane.plans.catalog import _BANDED_SQL, _banded, _dense_sql, _facts, _FACTS_SQL, rounded
-from corvane.plans.registry import DOCS_SQL, HASH, WORDS, query, rounded_sql
-from corvane.sources.tables import documents, n_tokens, questions, table, vector_pair, vectors
+from corvane.plans.registry import DOCS_SQL, HASH, WORDS, query
+from corvane.sources.tables import documents, n_tokens, questions, table, vectors
 
 
 # --- throughput rows, manifests, validation ---------------------------------------------------
