@@ -7,7 +7,6 @@ import hashlib
 import math
 import random
 import re
-import zlib
 
 import pytest
 from hypothesis import given, settings
