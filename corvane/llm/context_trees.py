@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corvane.llm import kernels as K
 from corvane.llm.storage import written
 
-DEPTH, SPLIT, BUCKETS, FREQUENT, ROOM = 6, 3, 1024, 1 << 20, 2_000_000
+DEPTH, SPLIT, BUCKETS, FREQUENT, ROOM = 6, 3, 1024, 1 << 20, 1_000_000
 HALF = math.log(2)
 _U = np.uint64
 
