@@ -97,8 +97,12 @@ class Words:
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    n = len(data)
-    inside = _IS_WORD[data]
+    return runs(_IS_WORD[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> Words:
+    """Maximal runs of bytes that are ``inside``; none crosses an offset."""
+    n = len(inside)
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
@@ -109,6 +113,14 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(closes) + 1, np.searchsorted(start, offsets))
 
 
+def texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The given spans of ``data`` (whole characters) as an Arrow string column."""
+    sizes = end - start
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at]))
+
+
 def word_hashes(data: np.ndarray, words: Words, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word, by differences of a prefix polynomial over random byte values."""
     powers, inverse = _power_tables(len(data) + 1)

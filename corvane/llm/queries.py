@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.divergence import OP11_SQL, op11_source_divergence
 from corvane.llm.language_id import op3_language_id
 from corvane.llm.lm_scoring import op10_lm_scoring
 from corvane.llm.mixing import op4_source_mixing
@@ -19,6 +20,6 @@ from corvane.llm.topk_search import OP8_SQL, op8_exact_topk
 from corvane.llm.url_filter import OP5_SQL, op5_url_filter
 from corvane.llm.warc import OP6_SQL, op6_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_source_mixing, op5_url_filter, op6_warc, op7_substring_dedup, op8_exact_topk, op9_near_dedup, op10_lm_scoring, op13_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_source_mixing, op5_url_filter, op6_warc, op7_substring_dedup, op8_exact_topk, op9_near_dedup, op10_lm_scoring, op11_source_divergence, op13_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {"op3_language_id": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_near_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_language_id": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}

@@ -95,9 +95,7 @@ def distinct_rows(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[p
         for part in K.slices(plain_blanks(batch.column("text"))):
             data, spans = pre_tokens(part, joined)
             key, first, n = np.unique(K.word_hashes(data, spans, lower=False), return_index=True, return_counts=True)
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(spans.start[first].tolist(), spans.end[first].tolist())]
-            held.append(pa.table({"key": key.view(np.int64), "piece": pa.array(texts, pa.string()), "n": n.astype(np.int64)}))
+            held.append(pa.table({"key": key.view(np.int64), "piece": K.texts(data, spans.start[first], spans.end[first]), "n": n.astype(np.int64)}))
             rows += len(key)
             if rows > 2 * HELD:
                 held = [pa.concat_tables(held).group_by(["key", "piece"]).aggregate([("n", "sum")]).select(["key", "piece", "n_sum"]).rename_columns(["key", "piece", "n"])]
