@@ -1,4 +1,4 @@
-"""Retrieval: exact dense search, BM25, reciprocal-rank fusion, and folding of finer hits."""
+"""Retrieval: exact dense search, reciprocal-rank fusion, and folding of finer hits."""
 
 from __future__ import annotations
 
@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import md5_number, tokens
-from corvane.storage import few, written
+from corvane.functions.text import md5_number
+from corvane.operators.lexical import bm25_ranking, bm25_scores
+from corvane.operators.order import ranked
+
+__all__ = ["bm25_ranking", "bm25_scores", "dense_topk", "finer_topk", "nearest_neighbour", "pair_spread", "peak_fold", "pool_size", "ranked", "rrf", "union_systems"]
 
 SHARD, BLOCK, STRIP = 16_384, 8_192, 256
-#: BM25's saturation and length weights, and the constant of rank fusion.
-K1, B, RRF = 1.5, 0.75, 60
+#: Fixed value: the constant of rank fusion.
+RRF = 60
 #: Scores are compared to so many decimals: below lies only the noise of the order of summation.
-DENSE_DIGITS, BM25_DIGITS = 12, 9
+DENSE_DIGITS = 12
 
 
 def _cell(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -63,66 +66,6 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int = 100) -> DataFrame:
     return ranked(found, k)
 
 
-def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """Adds ``rank`` per query by score, ties by item; keeps the first ``k``."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    out = scores.withColumn("rank", rank.cast("int"))
-    return (out if k is None else out.where(F.col("rank") <= k)).select("query_id", "rank", "item_id", "score")
-
-
-class Postings:
-    """What BM25 needs of the documents ``(id, text)`` for the queries ``(id, text)``, from one pass over the texts.
-
-    The postings are written cut to the queries' terms, with one row of an empty term for each document
-    that carries its length. Words, not texts, are shuffled, and a document's words are counted where it is read.
-    """
-
-    def __init__(self, queries: DataFrame, docs: DataFrame):
-        terms = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        self.terms = written(terms, "terms", narrow=True)
-        used = written(self.terms.select("term").distinct().unionByName(queries.sparkSession.sql("select '' as term")), "used", narrow=True)
-        words = docs.select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("words"))
-        words = words.select("item_id", F.size("words").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("words", F.array().cast("array<string>")))).alias("term"))
-        rows = words.join(few(used, 40), "term", "left_semi").groupBy("item_id", "len", "term").agg(F.count("*").alias("tf"))
-        rows = written(rows, "postings")
-        self.lengths = rows.where("term = ''").select("item_id", F.greatest("len", F.lit(0)).alias("len"))
-        self.rows = rows.where("term <> ''")
-
-    def scores(self, within: DataFrame | None = None) -> DataFrame:
-        """``(query_id, item_id, score)`` for every document that shares a term with the query; ``within(item_id)`` (a few rows) restricts it."""
-        total = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-        df = self.rows.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighted = self.terms.join(df, "term").crossJoin(F.broadcast(total))  # one row of totals
-        weighted = weighted.select("query_id", "term", (idf * F.col("times")).alias("weight"), "avg_len")
-        rows = self.rows if within is None else self.rows.join(F.broadcast(within), "item_id", "left_semi")
-        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-        return rows.join(weighted, "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), BM25_DIGITS).alias("score"))
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(query_id, item_id, score)`` for every document ``(id, text)`` that shares a term with the query ``(id, text)``.
-
-    Repeated query terms count repeatedly.
-    """
-    return Postings(queries, docs).scores()
-
-
-def bm25_ranking(queries: DataFrame, docs: DataFrame, k: int = 100, pad: bool = True) -> DataFrame:
-    """Always min(k, N) documents per query if ``pad``: those without a common term follow with score 0, by id.
-
-    The first k ids are enough to pad from: with m < k matches, at least k - m of them are unmatched.
-    """
-    postings = Postings(queries, docs)
-    best = ranked(postings.scores(), k)
-    if not pad:
-        return best
-    first = postings.lengths.select("item_id").orderBy("item_id").limit(k)  # k rows
-    found = postings.scores(first).select("query_id", "item_id")
-    fill = queries.select(F.col("id").alias("query_id")).crossJoin(F.broadcast(first)).join(found, ["query_id", "item_id"], "left_anti")
-    return ranked(best.select("query_id", "item_id", "score").unionByName(fill.withColumn("score", F.lit(0.0))), k)
-
-
 def rrf(dense: DataFrame, lexical: DataFrame, k: int = RRF) -> DataFrame:
     """``(query_id, rank, item_id, score)`` by summed 1 / (k + rank), untruncated; ties as first met: dense order, then lexical.
 

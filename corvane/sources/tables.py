@@ -38,18 +38,23 @@ def containing(items: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
     An empty item is contained in every text and gives no rows.
     """
     words = lambda c: F.array_remove(F.split(c, r"[\s\x0B]+"), "")
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    window = lambda size, at: F.xxhash64(F.lit(size), *(F.get("h", at + k) for k in range(size)))
     keyed = items.where("text <> ''").select(F.col("id").alias("query_id"), F.col("text").alias("item"), words("text").alias("w"))
     keyed = keyed.withColumn("size", F.least(F.lit(width), F.size("w") - 2)).withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(-F.least(F.lit(3), F.length("item"))))
-    key = F.when(F.col("size") > 0, F.array_join(F.slice("w", 2, F.greatest("size", F.lit(1))), " ")).otherwise(F.substring("item", F.lit(1), -F.col("size")))
-    keyed = written(keyed.select("query_id", "item", "size", F.xxhash64("size", key).alias("key")), "items", narrow=True)
+    keyed = keyed.withColumn("h", hashes("w"))
+    key = F.xxhash64("size", F.substring("item", F.lit(1), -F.col("size")))
+    for size in range(1, width + 1):
+        key = F.when(F.col("size") == size, window(size, F.lit(1))).otherwise(key)
+    keyed = written(keyed.select("query_id", "item", "size", key.alias("key")), "items", narrow=True)
     sizes = [r.size for r in keyed.select("size").distinct().collect()]  # at most width + 3
-    texts = docs.select(F.col("id").alias("item_id"), "text", words("text").alias("w"))
+    texts = docs.select(F.col("id").alias("item_id"), "text", hashes(words("text")).alias("h"))
 
     def windows(size: int):
-        last = F.size("w") - (size - 1) if size > 0 else F.length("text") + size + 1
-        at = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-        window = (lambda i: F.array_join(F.slice("w", i, size), " ")) if size > 0 else (lambda i: F.substring("text", i, F.lit(-size)))
-        return F.when(last > 0, F.transform(at, lambda i: F.xxhash64(F.lit(size), window(i)))).otherwise(F.array().cast("array<long>"))
+        last = F.size("h") - size if size > 0 else F.length("text") + size
+        at = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        one = (lambda i: window(size, i)) if size > 0 else (lambda i: F.xxhash64(F.lit(size), F.substring("text", i + 1, F.lit(-size))))
+        return F.when(last >= 0, F.transform(at, one)).otherwise(F.array().cast("array<long>"))
 
     every = F.array_distinct(F.concat(*(windows(n) for n in sizes))) if sizes else F.array().cast("array<long>")
     found = texts.select("item_id", F.explode(every).alias("key")).join(few(keyed.select("query_id", "key"), 24), "key").select("query_id", "item_id").distinct()
