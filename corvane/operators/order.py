@@ -14,10 +14,10 @@ from corvane.storage import few, workspace, written
 def numbered(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
     """``df`` with each row's place (from 0) in the order: ranges are sorted side by side, their sizes give the offsets.
 
-    Rows equal in ``order`` get places in any order, which is fixed once the table is written. Nulls sort first.
+    Rows equal in ``order`` follow by a hash of the row, so that a frequent value is spread over ranges. Nulls sort first.
     """
     with workspace(df.sparkSession) as held:
-        order = [F.col(c) if isinstance(c, str) else c for c in order]
+        order = [*(F.col(c) if isinstance(c, str) else c for c in order), F.xxhash64(*df.columns)]
         rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
         # the id holds the partition in its upper bits and the row's place in it in the lower 33
         rows = held.keep(written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered"))
@@ -33,17 +33,25 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "pos") -> Dat
 def at_places(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
     """``(*keys, n, <name>...)``: for each group the values at the given places (from 1) of its ascending order.
 
-    ``places`` are expressions over the group's size ``n``. Null values do not count. A group of any size is fine.
+    ``places`` are expressions over the group's size ``n``. Null values do not count. Equal values are counted
+    where they are read, and only distinct ones are ordered: neither a group nor a value can be too frequent.
     """
     with workspace(rows.sparkSession) as held:
-        rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
-        pos = numbered(rows, [*keys, value], "_pos")
-        ends = written(pos.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count("*").alias("n")), "groups", narrow=True)
-        same = reduce(lambda a, b: a & b, (F.col(f"p.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
-        wanted = few(ends.select("*", F.array(*(p.cast("long") for p in places.values())).alias("_at")), 64)
-        hits = pos.alias("p").join(wanted.alias("e"), same).select(*(F.col(f"p.{k}").alias(k) for k in keys), "e.n", F.col(f"p.{value}").alias("_v"), (F.col("p._pos") - F.col("e._start") + 1).alias("_i"), "e._at")
-        hits = hits.where(F.array_contains("_at", F.col("_i")))
-        out = hits.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("_i") == F.get("_at", F.lit(i)), F.col("_v"))).alias(name) for i, name in enumerate(places)))
+        counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+        ranges = counts.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value).withColumn("_row", F.monotonically_increasing_id())
+        ranges = written(ranges.withColumn("_part", F.shiftright("_row", 33)), "ranges")
+        sizes = ranges.groupBy("_part").agg(F.sum("_c").alias("_n"))
+        # a row for each range, as many as the shuffle has partitions
+        offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+        pos = ranges.join(F.broadcast(offsets), "_part").withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy("_part").orderBy("_row")))
+        pos = written(pos.select(*keys, value, "_c", (F.col("_end") - F.col("_c")).alias("_pos")), "positions")
+        ends = written(pos.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.sum("_c").alias("n")), "groups", narrow=True)
+        same = reduce(lambda a, b: a & b, (F.col(f"p.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys), F.lit(True))
+        wanted = few(ends.where("n > 0").select("*", F.array(*(p.cast("long") for p in places.values())).alias("_at")), 64)
+        hits = pos.alias("p").join(wanted.alias("e"), same).select(*(F.col(f"p.{k}").alias(k) for k in keys), "e.n", F.col(f"p.{value}").alias("_v"), (F.col("p._pos") - F.col("e._start")).alias("_i"), "p._c", "e._at")
+        hits = hits.where(F.exists("_at", lambda x: (x > F.col("_i")) & (x <= F.col("_i") + F.col("_c"))))
+        at = lambda i: F.get("_at", F.lit(i))
+        out = hits.groupBy(*keys, "n").agg(*(F.max(F.when((at(i) > F.col("_i")) & (at(i) <= F.col("_i") + F.col("_c")), F.col("_v"))).alias(name) for i, name in enumerate(places)))
         return held.keep(written(out, "places", narrow=True))
 
 

@@ -169,14 +169,17 @@ def best_throughput(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merged_single(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New single-item rows replace old ones of their group and come first in it; new groups follow at the end.
+    """``(pos, *keys, single, value)``: single-item rows of ``new`` put into ``old(*keys, row_pos, single, value)``, which keeps its order.
 
-    ``old(*keys, row_pos, single, value)``; ``new`` alike.
+    A group's last new row counts; it stands before the group's first old row and replaces the group's
+    old single rows. New rows of groups that ``old`` lacks follow at the end, in the order in which the groups came.
     """
-    groups = old.groupBy(*keys).agg(F.min("row_pos").alias("group_pos"))
-    kept = old.join(new.select(*keys).distinct().withColumn("single", F.lit(True)), [*keys, "single"], "left_anti")
-    both = kept.select(*keys, "single", "row_pos", "value").unionByName(new.select(*keys, "single", "row_pos", "value")).join(groups, keys, "left")
-    placed = numbered(both, [F.asc_nulls_last("group_pos"), *keys, F.desc("single"), "row_pos"], "pos")
+    groups = old.groupBy(*keys).agg(F.min("row_pos").alias("_place"))
+    came = new.where("single").groupBy(*keys).agg(F.min("row_pos").alias("_came"), F.max_by("value", "row_pos").alias("value"))
+    fresh = came.join(groups, keys, "left").withColumns({"single": F.lit(True), "_fresh": F.lit(0)})
+    replaced = came.select(*keys, F.lit(True).alias("single"))
+    kept = old.join(replaced, [*keys, "single"], "left_anti").select(*keys, "single", "value", F.col("row_pos").alias("_place"), F.lit(None).cast("long").alias("_came"), F.lit(1).alias("_fresh"))
+    placed = numbered(kept.unionByName(fresh), [F.asc_nulls_last("_place"), "_fresh", "_came"], "pos")
     return placed.select((F.col("pos") + 1).alias("pos"), *keys, "single", "value")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +14,9 @@ from pyspark.sql.window import Window
 from corvane.functions.text import md5_number
 from corvane.operators.lexical import bm25_ranking, bm25_scores
 from corvane.operators.order import ranked
+from corvane.operators.selection import quantiles
 
-__all__ = ["bm25_ranking", "bm25_scores", "dense_topk", "finer_topk", "nearest_neighbour", "pair_spread", "peak_fold", "pool_size", "ranked", "rrf", "union_systems"]
+__all__ = ["bm25_ranking", "bm25_scores", "dense_topk", "finer_topk", "nearest_neighbour", "pair_spread", "peak_fold", "pool_size", "ranked", "rrf", "seeded_sample", "union_systems"]
 
 SHARD, BLOCK, STRIP = 16_384, 8_192, 256
 #: Fixed value: the constant of rank fusion.
@@ -105,19 +107,35 @@ def nearest_neighbour(vectors: DataFrame) -> DataFrame:
     return dense_topk(vectors, vectors, 1)
 
 
-def pair_spread(vectors: DataFrame, sample: int = 2000, seed: int = 0) -> DataFrame:
-    """``(p01, p50, p99, n_pairs)`` of the cosines of all pairs in a seeded sample of ``(id, vec)``, which is the feature: one task holds it."""
+def seeded_sample(vectors: DataFrame, sample: int = 2000, seed: int = 0) -> DataFrame:
+    """``sample`` rows of ``(id, vec)`` by the hash of seed and id."""
     order = md5_number(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
-    chosen = vectors.where("vec is not null").orderBy(order, "id").limit(sample).select("vec")
+    return vectors.where("vec is not null").orderBy(order, "id").limit(sample)
+
 
-    def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(rows["vec"].to_list()).astype(np.float64)
-        m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
-        cosines = (m @ m.T)[np.triu_indices(len(m), 1)]
-        ends = np.percentile(cosines, [1, 50, 99]) if len(cosines) else [None] * 3
-        return pd.DataFrame([[*ends, len(cosines)]], columns=["p01", "p50", "p99", "n_pairs"])
+def pair_spread(vectors: DataFrame, sample: int = 2000, seed: int = 0) -> DataFrame:
+    """``(p01, p50, p99, n_pairs)`` of the cosines of a seeded sample of ``(id, vec)`` with all other vectors.
 
-    return chosen.groupBy().applyInPandas(spread, "p01 double, p50 double, p99 double, n_pairs long")
+    The sample (its size is the feature) goes to all tasks; its cosines with each batch are counted there,
+    never stored: see :mod:`corvane.operators.selection`.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    chosen = seeded_sample(vectors, sample, seed).toArrow()
+    shape = lambda column, n: column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+    own = (chosen["id"].to_numpy(), unit(shape(chosen["vec"].combine_chunks(), len(chosen)))) if len(chosen) else (np.zeros(0, np.int64), np.zeros((0, 1)))
+    shared = spark.sparkContext.broadcast(own)
+
+    def cosines(batch: pa.RecordBatch) -> np.ndarray:
+        ids, m = shared.value
+        if not len(batch) or not len(ids):
+            return np.zeros(0)
+        found = np.round(unit(shape(batch.column("vec"), len(batch))) @ m.T, DENSE_DIGITS)
+        return found[batch.column("id").to_numpy()[:, None] != ids[None, :]]
+
+    n, (p01, p50, p99) = quantiles(vectors, cosines, [0.01, 0.5, 0.99])
+    return spark.createDataFrame([(p01, p50, p99, n)], "p01 double, p50 double, p99 double, n_pairs long")
 
 
 def union_systems(systems: dict[str, DataFrame]) -> DataFrame:

@@ -14,9 +14,11 @@ from corvane.operators import evaluation as E
 from corvane.operators import ingest as G
 from corvane.operators import reports as R
 from corvane.operators import retrieval as X
+from corvane.operators.order import linear_quantiles
 from corvane.plans.registry import DOCS_SQL, HASH, ORACLE_SQL, QUERIES, WORDS, query, rounded_sql
+from corvane.sources.matrices import read_matrix, write_matrix
 from corvane.sources.tables import SYSTEMS, documents, n_tokens, questions, table, vectors
-from corvane.storage import written
+from corvane.storage import new_path, written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -157,13 +159,40 @@ def norm_stats(spark, sf_dir):
 @query("""
 WITH s AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e, vec_id FROM embeddings ORDER BY """ + HASH.format("'0|' || vec_id") + """, vec_id LIMIT 2000),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u FROM s),
-p AS (SELECT list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id)
+v AS (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+p AS (SELECT list_dot_product(a.u, b.u) AS c FROM u a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT round(quantile_cont(c, 0.01), 6) AS p01, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.99), 6) AS p99, count(*) AS n_pairs FROM p""")
 def pair_spread(spark, sf_dir):
-    """Spread of the cosines of all pairs within a seeded sample of 2,000 vectors."""
+    """Spread of the cosines of a seeded sample of 2,000 vectors with all others."""
     return rounded(X.pair_spread(vectors(spark, sf_dir)), "p01", "p50", "p99")
 
 
+@query("""
+WITH u AS (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12::DOUBLE)) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+s AS (SELECT * FROM u ORDER BY """ + HASH.format("'0|' || vec_id") + """, vec_id LIMIT 2000),
+t AS (SELECT a.vec_id, max(list_dot_product(a.u, b.u)) AS c FROM s a JOIN u b ON a.vec_id <> b.vec_id GROUP BY 1)
+SELECT round(quantile_cont(c, 0.05), 6) AS p05, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.95), 6) AS p95, count(*) AS n_sample, count(*) FILTER (c > 0.9999::DOUBLE) AS n_near_identical FROM t""")
+def top_cosines(spark, sf_dir):
+    """Cosines of a seeded sample of vectors with their nearest neighbours, and how many are nearly identical."""
+    v = vectors(spark, sf_dir)
+    top = written(X.dense_topk(X.seeded_sample(v), v, 1).select("score"), "top", narrow=True)
+    spread = linear_quantiles(top, [], "score", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    near = top.agg(F.count(F.when(F.col("score") > 0.9999, 1)).alias("n_near_identical"))
+    return rounded(spread.withColumnRenamed("n", "n_sample").crossJoin(near), "p05", "p50", "p95")  # one row each
+
+
+@query("""SELECT vec_id AS id, len(embedding)::INTEGER AS dim, round(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE)), 6) AS total, round(embedding[1]::FLOAT::DOUBLE, 6) AS first,
+  (SELECT count(*) FROM embeddings) AS n_rows FROM embeddings""")
+def matrix_files(spark, sf_dir):
+    """All vectors through a matrix of raw numbers: written in parts, read back by row ranges, rows numbered without gaps."""
+    path = new_path(spark, "matrix")
+    write_matrix(vectors(spark, sf_dir), path)
+    rows = read_matrix(spark, path, range_bytes=1 << 20)
+    total = F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    last = rows.agg((F.max("row") + 1).alias("n_rows"))
+    return rounded(rows.select("id", F.size("vec").alias("dim"), total.alias("total"), F.get("vec", F.lit(0)).cast("double").alias("first")).crossJoin(last), "total", "first")  # one row of totals
+
+
 @query("""
 SELECT vec_id AS id, k::INTEGER AS part, ((len(embedding) + 15) // 16)::INTEGER AS n_parts, '[' || array_to_string(list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda x: round(x::DOUBLE * 1000)::BIGINT), ',') || ']' AS thousandths
 FROM embeddings, LATERAL (SELECT unnest(range((len(embedding) + 15) // 16)) AS k)""")

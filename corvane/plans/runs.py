@@ -59,15 +59,15 @@ def best_throughput(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT o_orderpriority AS model, o_orderkey AS row_pos, o_orderkey % 4 = 0 AS single, o_totalprice AS value FROM orders WHERE o_orderstatus <> 'P'),
-n AS (SELECT o_orderpriority AS model, o_orderkey AS row_pos, true AS single, o_totalprice AS value FROM orders WHERE o_orderstatus = 'P'),
-g AS (SELECT model, min(row_pos) AS gp FROM o GROUP BY 1),
-b AS (SELECT * FROM o WHERE NOT (single AND model IN (SELECT model FROM n)) UNION ALL SELECT * FROM n)
-SELECT row_number() OVER (ORDER BY gp ASC NULLS LAST, model, single DESC, row_pos) AS pos, model, single, value FROM b LEFT JOIN g USING (model)""")
+WITH o AS (SELECT o_orderpriority AS model, o_orderkey AS row_pos, o_orderkey % 4 = 0 AS single, o_totalprice AS value FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '2-HIGH'),
+n AS (SELECT o_orderpriority AS model, min(o_orderkey) AS came, arg_max(o_totalprice, o_orderkey) AS value FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' GROUP BY 1),
+b AS (SELECT model, row_pos AS place, 1 AS fresh, NULL AS came, single, value FROM o WHERE NOT (single AND model IN (SELECT model FROM n))
+  UNION ALL SELECT model, (SELECT min(row_pos) FROM o WHERE o.model = n.model), 0, came, true, value FROM n)
+SELECT row_number() OVER (ORDER BY place ASC NULLS LAST, fresh, came) AS pos, model, single, value FROM b""")
 def merge_single(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("row_pos"), (F.col("o_orderkey") % 4 == 0).alias("single"), F.col("o_totalprice").alias("value"))
-    new = o.where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("row_pos"), F.lit(True).alias("single"), F.col("o_totalprice").alias("value"))
+    old = o.where("o_orderstatus <> 'P' AND o_orderpriority <> '2-HIGH'").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("row_pos"), (F.col("o_orderkey") % 4 == 0).alias("single"), F.col("o_totalprice").alias("value"))
+    new = o.where("o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("row_pos"), F.lit(True).alias("single"), F.col("o_totalprice").alias("value"))
     return R.merged_single(old, new, ["model"])
 
 
@@ -127,7 +127,7 @@ SELECT o_custkey::VARCHAR || '::' || o_orderkey AS chunk_id, l_linenumber AS fac
 def graph_pattern(spark, sf_dir):
     """Chunks joined to their facts over an edge table; the predicate on chunks reaches their scan."""
     o, e, f = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    o = o.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    o = o.where("o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'").select("o_orderkey", "o_custkey")
     joined = o.join(e.select("l_orderkey", "l_partkey", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey")).join(f.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
     return joined.select(chunk_key(F.col("o_custkey"), F.col("o_orderkey")).alias("chunk_id"), F.col("l_linenumber").alias("fact_no"), F.col("p_name").alias("text"))
 
