@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,27 @@ def require_none(broken: DataFrame, what: str, shown: int = 5) -> None:
         raise ValueError(f"{what}: {', '.join(str(tuple(r)) for r in some)}")
 
 
+def asserted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``df``, whose evaluation fails with a rule's name at the first row that breaks it: a check without a pass of its own."""
+    holds = F.lit(True)
+    for what, rule in rules.items():
+        holds = F.when(F.coalesce(rule, F.lit(False)), holds).otherwise(F.raise_error(F.lit(what)).cast("boolean"))
+    return df.where(holds)
+
+
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df``, and what its evaluation counts on the way: its rows (``rows``) and the rows for which each of ``counts`` holds."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in counts.items())), seen
+
+
+def in_order(vectors: DataFrame, order: DataFrame, what: str = "vectors and ids") -> DataFrame:
+    """``vectors(pos, id, ...)``, whose evaluation fails if a place does not hold the id that ``order(pos, id)`` says, or either side has more places."""
+    both = vectors.withColumn("_here", F.lit(True)).join(order.select("pos", F.col("id").alias("_id"), F.lit(True).alias("_there")), "pos", "full")
+    rules = {f"{what} are not in the same order": F.col("id").eqNullSafe(F.col("_id")), f"{what} differ in number": F.col("_here") & F.col("_there")}
+    return asserted(both, dict(reversed(rules.items()))).drop("_here", "_id", "_there")
+
+
 def misplaced(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(pos, left_id, right_id)`` where two id lists ``(pos, id)`` differ, either side null if it has no such place."""
     both = left.select("pos", F.col("id").alias("left_id")).join(right.select("pos", F.col("id").alias("right_id")), "pos", "full")

@@ -76,10 +76,16 @@ def merged_modes(old: Column, new: Column) -> Column:
 
 
 def merged_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(model, dim, modes)``: manifests of both runs; top-level values are the new run's, entries are merged."""
-    n = new.select("model", F.col("dim").alias("_dim"), F.col("modes").alias("_modes"), F.lit(True).alias("_new"))
-    both = old.join(n, "model", "full")
-    return both.select("model", F.when(F.col("_new"), F.col("_dim")).otherwise(F.col("dim")).alias("dim"), merged_modes(F.col("modes"), F.col("_modes")).alias("modes"))
+    """``(model, modes, ...)``: manifests of both runs. Entries are merged; all other values are the new run's, for models that it has.
+
+    A value that only the old runs know goes with them, as a manifest is written anew.
+    """
+    others = list(dict.fromkeys(c for c in (*new.columns, *old.columns) if c not in ("model", "modes")))
+    n = new.select("model", F.struct(*new.columns).alias("_n"))
+    both = old.select("model", F.struct(*old.columns).alias("_o")).join(n, "model", "full")
+    value = lambda side, df, c: F.col(f"{side}.{c}") if c in df.columns else F.lit(None)
+    is_new = F.col("_n").isNotNull()
+    return both.select("model", *(F.when(is_new, value("_n", new, c)).otherwise(value("_o", old, c)).alias(c) for c in others), merged_modes(F.col("_o.modes"), F.col("_n.modes")).alias("modes"))
 
 
 def manifest_for(pairs: DataFrame, of_model: DataFrame, of_mode: DataFrame) -> DataFrame:
@@ -101,13 +107,16 @@ def timing(modes: Column, mode: Column, questions: Column, corpus: str = "corpus
     }
 
 
-def statistics_rows(manifests: DataFrame, skip: list[tuple[str, str]] = ()) -> DataFrame:
-    """One row for each model, mode and input of ``manifests(model, dim, modes)`` that has items, with defaults and notes.
+def statistics_rows(manifests: DataFrame, skip: list[tuple[str, str]] = (), windows: dict[str, int] | None = None, labels: dict[str, str] | None = None) -> DataFrame:
+    """One row for each model, mode and input of ``manifests(model, dim, modes[, peak_vram_gb, load_seconds])`` that has items, with defaults and notes.
 
-    Missing windows and batches get what runs used before they were recorded. Notes say that, which mode
-    the vectors were copied from, and how many items were cut.
+    Missing windows and batches get what runs used before they were recorded; ``windows`` says which window
+    a model had then. ``labels`` names models. Notes say that, which mode the vectors were copied from, and
+    how many items were cut. Memory and loading time are those of the model's last run.
     """
-    rows = manifests.select("model", "dim", F.explode("modes").alias("mode", "inputs")).select("model", "dim", "mode", F.explode("inputs").alias("input", "e"))
+    named = lambda names: F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("model")) if names else F.lit(None)
+    of_run = [c if c in manifests.columns else F.lit(None).cast("double").alias(c) for c in ("peak_vram_gb", "load_seconds")]
+    rows = manifests.select("model", "dim", *of_run, F.explode("modes").alias("mode", "inputs")).select("model", "dim", "peak_vram_gb", "load_seconds", "mode", F.explode("inputs").alias("input", "e"))
     rows = rows.where("coalesce(e.n, 0) <> 0")
     rows = excluded(rows, list(skip)) if skip else rows
     notes = F.concat_ws(
@@ -116,11 +125,11 @@ def statistics_rows(manifests: DataFrame, skip: list[tuple[str, str]] = ()) -> D
         F.when(F.col("e.tokens_truncated") > 0, F.concat(F.col("e.tokens_truncated").cast("string"), F.lit(" cut"))),
     )
     return rows.select(
-        "input", "model", "mode", "dim", "e.n", "e.kind", F.coalesce("e.prompt", F.lit("")).alias("prompt"),
-        F.coalesce("e.max_seq_length", F.lit(LEGACY_WINDOW)).alias("window"), F.coalesce("e.batch_size", F.lit(LEGACY_BATCH)).alias("batch_size"),
+        "input", "model", F.coalesce(named(labels), F.col("model")).alias("label"), "mode", "dim", "e.n", "e.kind", F.coalesce("e.prompt", F.lit("")).alias("prompt"),
+        F.coalesce(F.col("e.max_seq_length"), named(windows).cast("int"), F.lit(LEGACY_WINDOW)).alias("window"), F.coalesce("e.batch_size", F.lit(LEGACY_BATCH)).alias("batch_size"),
         "e.tokens_total", "e.tokens_max", "e.tokens_truncated", "e.encode_seconds", "e.items_per_second", "e.tokens_per_second",
         F.col("e.batch_seconds.p50").alias("batch_p50"), F.col("e.batch_seconds.p95").alias("batch_p95"), F.col("e.batch_seconds.first").alias("batch_first"),
-        F.col("e.single_item_latency_ms.p50").alias("latency_p50"), F.col("e.single_item_latency_ms.p95").alias("latency_p95"), notes.alias("notes"),
+        F.col("e.single_item_latency_ms.p50").alias("latency_p50"), F.col("e.single_item_latency_ms.p95").alias("latency_p95"), "peak_vram_gb", "load_seconds", notes.alias("notes"),
     )
 
 

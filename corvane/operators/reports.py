@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import is_nfc
 from corvane.functions.vectors import cosine
+from corvane.operators.checks import asserted
 from corvane.operators.order import at_places, linear_quantiles, nearest_ranks, numbered
 
 #: Calibration tiers in ladder order.
@@ -57,9 +58,16 @@ def diagnostics(scores: DataFrame) -> DataFrame:
     return df.withColumn("warning", warn).select("system", *(F.round(c, 6).alias(c) for c in numbers), "ok_t1_t2", "ok_t5_t2", "ok_t2_t3", "ok_t3_t4", "ladder", "warning")
 
 
-def pair_cosines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(pair_id, score)``: cosine of the two vectors ``(pair_id, vec)`` of each pair that both sides have."""
-    return a.join(b.select("pair_id", F.col("vec").alias("_other")), "pair_id").select("pair_id", cosine(F.col("vec"), F.col("_other")).alias("score"))
+def pair_cosines(a: DataFrame, b: DataFrame, complete: bool = False) -> DataFrame:
+    """``(pair_id, score)``: cosine of the two vectors ``(pair_id, vec)`` of each pair that both sides have.
+
+    ``complete``: a pair that one side lacks is an error. Vectors of different sizes are always one.
+    """
+    rows = a.join(b.select("pair_id", F.col("vec").alias("_other")), "pair_id", "full" if complete else "inner")
+    rules = {"a pair of vectors of different sizes": F.size("vec") == F.size("_other")}
+    if complete:
+        rules = {"a pair that one side lacks": F.col("vec").isNotNull() & F.col("_other").isNotNull()} | rules
+    return asserted(rows, dict(reversed(rules.items()))).select("pair_id", cosine(F.col("vec"), F.col("_other")).alias("score"))
 
 
 def instruct_effect(scores: DataFrame) -> DataFrame:
@@ -73,8 +81,18 @@ def instruct_means(effects: DataFrame) -> DataFrame:
     return effects.groupBy("model").agg(F.avg("effect").alias("mean"))
 
 
-def with_external(pairs: DataFrame, external: DataFrame) -> DataFrame:
-    """Pairs with outside scores ``(pair_id, seq, score)``: unknown ids ignored, the last duplicate wins, missing is null."""
+def with_external(pairs: DataFrame, external: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with outside scores ``(pair_id, seq, score)``: unknown ids ignored, the last duplicate wins, missing is null.
+
+    ``texts`` are columns of both sides: an outside row whose text, trimmed, is another than the pair's is an
+    error; one without text is none.
+    """
+    def same(c: str) -> Column:
+        return F.col(f"x.{c}").isNull() | F.trim(F.col(f"x.{c}")).eqNullSafe(F.trim(F.col(f"p.{c}")))
+
+    if texts:
+        known = external.alias("x").join(pairs.alias("p"), F.col("x.pair_id") == F.col("p.pair_id"))
+        external = asserted(known, {f"the outside {c} of a pair is another": same(c) for c in texts}).select("x.*")
     last = external.groupBy("pair_id").agg(F.max_by("score", "seq").alias("score"))
     return pairs.join(last, "pair_id", "left")
 

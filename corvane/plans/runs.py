@@ -15,7 +15,10 @@ from corvane.operators import reports as R
 from corvane.operators import retrieval as X
 from corvane.plans.catalog import _BANDED_SQL, _banded, _dense_sql, _facts, _FACTS_SQL, rounded
 from corvane.plans.registry import DOCS_SQL, HASH, WORDS, query
-from corvane.sources.tables import documents, n_tokens, questions, table, vectors
+from corvane.sources import sheets as S
+from corvane.sources.tables import documents, n_tokens, questions, table, vectors, write_sheet
+from corvane.sources.versions import Versions
+from corvane.storage import new_path
 
 
 # --- throughput rows, manifests, validation ---------------------------------------------------
@@ -235,18 +238,19 @@ def _manifests(spark, sf_dir) -> DataFrame:
     ).cast(M.ENTRY)
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("model"), F.when(s % 2 == 0, "instruct").otherwise("no_instruct").alias("mode"), F.concat(F.lit("in"), s.cast("string")).alias("input"), entry.alias("e"))
     modes = rows.groupBy("model", "mode").agg(F.map_from_entries(F.collect_list(F.struct("input", "e"))).alias("inputs"))
-    return modes.groupBy("model").agg(F.lit(64).alias("dim"), F.map_from_entries(F.collect_list(F.struct("mode", "inputs"))).alias("modes"))
+    out = modes.groupBy("model").agg(F.lit(64).alias("dim"), F.map_from_entries(F.collect_list(F.struct("mode", "inputs"))).alias("modes"))
+    return out.withColumns({"peak_vram_gb": F.col("model").cast("int") / 4, "load_seconds": F.col("model").cast("int") * 1.5})
 
 
 @query("""
-SELECT 'in' || s AS input, m AS model, mode, 64 AS dim, n, kind, CASE WHEN s % 5 = 0 THEN s_name ELSE '' END AS prompt, CASE WHEN s % 3 <> 0 THEN (s % 7 * 1024)::INTEGER ELSE 2048 END AS "window", CASE WHEN s % 3 = 1 THEN 64 ELSE 32 END AS batch_size,
+SELECT 'in' || s AS input, m AS model, CASE WHEN m = '7' THEN 'seven' ELSE m END AS label, mode, 64 AS dim, n, kind, CASE WHEN s % 5 = 0 THEN s_name ELSE '' END AS prompt, CASE WHEN s % 3 <> 0 THEN (s % 7 * 1024)::INTEGER WHEN m = '5' THEN 512 ELSE 2048 END AS "window", CASE WHEN s % 3 = 1 THEN 64 ELSE 32 END AS batch_size,
   s * 100 AS tokens_total, s % 50 AS tokens_max, s % 4 AS tokens_truncated, s / 8.0::DOUBLE AS encode_seconds, s / 4.0::DOUBLE AS items_per_second, s / 2.0::DOUBLE AS tokens_per_second, s / 16.0::DOUBLE AS batch_p50, s / 32.0::DOUBLE AS batch_p95, s / 64.0::DOUBLE AS batch_first,
-  s::DOUBLE AS latency_p50, s * 2.0::DOUBLE AS latency_p95, concat_ws('; ', CASE WHEN s % 3 = 0 THEN 'window not recorded' END, CASE WHEN s % 6 = 0 THEN 'same as no_instruct' END, CASE WHEN s % 4 > 0 THEN (s % 4) || ' cut' END) AS notes
+  s::DOUBLE AS latency_p50, s * 2.0::DOUBLE AS latency_p95, m::INTEGER / 4.0::DOUBLE AS peak_vram_gb, m::INTEGER * 1.5::DOUBLE AS load_seconds, concat_ws('; ', CASE WHEN s % 3 = 0 THEN 'window not recorded' END, CASE WHEN s % 6 = 0 THEN 'same as no_instruct' END, CASE WHEN s % 4 > 0 THEN (s % 4) || ' cut' END) AS notes
 FROM (SELECT s_suppkey AS s, s_name, s_nationkey::VARCHAR AS m, CASE WHEN s_suppkey % 2 = 0 THEN 'instruct' ELSE 'no_instruct' END AS mode, CASE WHEN s_suppkey % 2 = 0 THEN 'query' ELSE 'doc' END AS kind, CASE WHEN s_acctbal > 0 THEN floor(s_acctbal)::BIGINT END AS n FROM supplier)
 WHERE coalesce(n, 0) <> 0 AND NOT (m = '3' AND mode = 'instruct')""")
 def manifest_rows(spark, sf_dir):
     """Nested manifests as flat rows with defaults and notes; empty entries and an excluded pair give none."""
-    return M.statistics_rows(_manifests(spark, sf_dir), [("3", "instruct")])
+    return M.statistics_rows(_manifests(spark, sf_dir), [("3", "instruct")], {"5": 512}, {"7": "seven"})
 
 
 @query("""
@@ -441,3 +445,41 @@ def run_violations(spark, sf_dir):
         "count_mismatch": C.count_mismatch(v, some, ["label"]), "without_vector": C.without_vector(v, some), "too_many_parts": C.too_many_parts(n_parts, 3),
         "truncated": C.truncated(d.select(F.col("source").alias("input"), n_tokens().alias("n_tokens"), F.lit(2048).alias("window"))), "fact_keys": R.duplicates(d, "source"),
     })
+
+
+# --- sheets and stored versions -------------------------------------------------------------------
+
+_TEXTLIKE_SQL = r"length({0}) >= 8 AND length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) >= greatest(4, 0.3 * length({0}))"
+
+
+@query(f"""
+WITH c AS (SELECT 'facts' AS sheet, p_partkey AS k, p_name AS text, 'question' AS kind FROM part UNION ALL SELECT 'facts', p_partkey, p_type, 'answer' FROM part
+  UNION ALL SELECT 'notes', item_id, text, 'chunk' FROM benchmark UNION ALL SELECT 'notes', item_id, reverse(text), 'question' FROM benchmark)
+SELECT sheet, kind, count(*) AS n, count(DISTINCT trim(text)) AS n_texts FROM c WHERE {_TEXTLIKE_SQL.format("trim(text)")} GROUP BY 1, 2""")
+def sheet_texts(spark, sf_dir):
+    """Texts of several CSV sheets with different headers, beside a lock file and a backup that are not read."""
+    folder = new_path(spark, "sheets")
+    p, b = table(spark, sf_dir, "part"), table(spark, sf_dir, "benchmark")
+    sheets = {
+        "facts.csv": p.select(F.col("p_partkey").alias("No"), F.col("p_name").alias(" Question"), F.col("p_type").alias("ANSWER"), F.col("p_brand").alias("c.text embedding")),
+        "notes.csv": b.select(F.col("text").alias("the c.text"), F.col("item_id").alias("other"), F.reverse("text").alias("question")),
+        "~$facts.csv": p.select(F.col("p_name").alias("question")), "notes.bak.csv": b.select(F.col("text").alias("question")),
+    }
+    for name, df in sheets.items():
+        write_sheet(df, f"{folder}/{name}")
+    texts = S.sheet_texts(S.read_sheets(spark, f"{folder}/*.csv"), {"question": ("question",), "answer": ("answer",)}, {"chunk": "c.text"}, ("embedding",))
+    return texts.groupBy("sheet", "kind").agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"))
+
+
+@query("""
+WITH o AS (SELECT *, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS seg FROM customer),
+u AS (SELECT c_custkey, c_mktsegment, CASE WHEN seg IN (1, 3) THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, seg, seg IN (1, 3) AS fresh FROM o)
+SELECT c_custkey, c_mktsegment, c_acctbal, (dense_rank() OVER (ORDER BY fresh, seg) - 1)::INTEGER AS ordinal FROM u""")
+def stored_upsert(spark, sf_dir):
+    """Customers by segment in a store of versions: two segments are replaced, the others are not rewritten; ordinals follow first appearance."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    store = Versions(spark, new_path(spark, "versions"), ["c_mktsegment"])
+    store.upsert(c)
+    names = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    store.upsert(c.where(F.col("c_mktsegment").isin(names[1::2])).withColumn("c_acctbal", F.col("c_acctbal") + 1))
+    return store.read()

@@ -121,6 +121,18 @@ def write_csv(df: DataFrame, path: str, by: str | None = None, mark: bool = True
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_sheet(df: DataFrame, path: str) -> None:
+    """One CSV file with a header at exactly this path: a sheet, of which one task writes all."""
+    spark, folder = df.sparkSession, f"{path}._writing"
+    df.coalesce(1).write.option("header", True).option("escape", '"').csv(folder)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("part-"))
+    store.rename(part, jvm.org.apache.hadoop.fs.Path(path))
+    store.delete(at, True)
+
+
 def write_per_query(metrics: DataFrame, path: str) -> None:
     """Metrics per system and query, one folder for each system."""
     metrics.write.partitionBy("system").json(path)
