@@ -119,12 +119,12 @@ def status_histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def corpus_profile(docs: DataFrame, n_tokens: Column, short: tuple[int, int] = (20, 50)) -> DataFrame:
-    """One row over ``docs(text)``: totals, percentiles, characters per token, and junk counts."""
+    """One row over ``docs(text)``: totals, percentiles, characters per token, and junk counts. Distinct texts are counted by 128-bit names."""
     text = F.coalesce("text", F.lit(""))
     df = docs.select(text.alias("text"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n"), F.length(text).cast("long").alias("chars"))
     p = F.percentile("n", F.array(*(F.lit(q) for q in (0.5, 0.9, 0.99))))
     out = df.agg(
-        F.count("*").alias("docs"), F.count_distinct("text").alias("texts"), F.sum("n").alias("tokens"), F.sum("chars").alias("chars"), p.alias("p"), F.max("n").alias("max_tokens"),
+        F.count("*").alias("docs"), F.count_distinct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("texts"), F.sum("n").alias("tokens"), F.sum("chars").alias("chars"), p.alias("p"), F.max("n").alias("max_tokens"),
         F.count_if(F.trim("text") == "").alias("empty"), F.count_if(F.col("chars") < short[0]).alias("under_20"), F.count_if(F.col("chars") < short[1]).alias("under_50"), F.count_if(F.col("n") < 10).alias("under_10_tokens"),
     )
     return out.select("docs", "texts", "tokens", "chars", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p90"), F.round(F.col("p")[2], 6).alias("p99"), "max_tokens", F.round(F.try_divide("chars", "tokens"), 6).alias("chars_per_token"), "empty", "under_20", "under_50", "under_10_tokens")

@@ -360,7 +360,8 @@ _BANDED_SQL = f"SELECT doc_id AS id, source, n AS n_tokens, CASE WHEN n >= 1 AND
 
 
 def _banded(spark, sf_dir):
-    return D.banded(documents(spark, sf_dir).select("id", "source", n_tokens().cast("long").alias("n_tokens")))
+    """Texts are counted once: a filter on the count would otherwise be planned as one on the text, and count it again."""
+    return D.banded(written(documents(spark, sf_dir).select("id", "source", n_tokens().cast("long").alias("n_tokens")), "token_counts"))
 
 
 @query(f"SELECT length_group, count(*) AS n, min(n_tokens) AS least, max(n_tokens) AS most FROM ({_BANDED_SQL}) GROUP BY 1")

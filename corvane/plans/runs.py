@@ -118,7 +118,7 @@ UNION ALL SELECT 'length_drift', count(*) FROM documents WHERE n_chars IS DISTIN
 def violations(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return R.violations({
-        "duplicate_text": R.duplicates(d, "text"), "unlabelled": R.missing(d, lab, "doc_id"), "unknown_label": R.missing(lab, d, "doc_id"),
+        "duplicate_text": R.duplicates(d.select(F.sha2("text", 256).alias("sha256")), "sha256"), "unlabelled": R.missing(d, lab, "doc_id"), "unknown_label": R.missing(lab, d, "doc_id"),
         "dimension": vectors(spark, sf_dir).where(F.size("vec") != 64), "length_drift": d.where(~F.col("n_chars").eqNullSafe(F.length("text"))),
     })
 
