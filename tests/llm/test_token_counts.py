@@ -23,6 +23,11 @@ def model():
         return file.read()
 
 
+@pytest.fixture(scope="module")
+def pieces(model):
+    return T.Pieces(model)
+
+
 @pytest.fixture(scope="module")
 def library(model):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -42,10 +47,9 @@ def test_empty_table(spark, model):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab .,'▁\n\x00éß中😀0-_(<s>", max_size=30), max_size=5))
-def test_pre_tokens_add_up(model, library, texts):
+def test_pre_tokens_add_up(pieces, library, texts):
     import pyarrow as pa
 
-    pieces = T.Pieces(model)
     for part in K.slices(T.plain_blanks(pa.array(texts, pa.string()))):
         data, spans = T.pre_tokens(part, pieces.joined)
         found = [data[a:b].tobytes().decode() for a, b in zip(spans.start, spans.end)]
