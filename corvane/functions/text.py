@@ -38,12 +38,59 @@ def _mark_tables() -> tuple[str, str]:
 MARKED, PLAIN = _mark_tables()
 
 
+def _composition_doubts() -> str:
+    """A regular expression for one character that NFC may change, or that may join the one before it.
+
+    By Unicode's quick check: a text without any is in composed form already. Wide spans without such
+    characters are told off first, so that most letters are not held against all ranges.
+    """
+    changed = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul's vowels and finals join by rule, not by table
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        c = chr(code)
+        if unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c):
+            changed.add(code)
+        elif (parts := unicodedata.decomposition(c).split()) and len(parts) == 2 and not parts[0].startswith("<"):
+            changed.add(int(parts[1], 16))
+    spans: list[list[int]] = []
+    for code in sorted(changed):
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    ends = [-1, *(high for _, high in spans)]
+    wide = [(end + 1, low - 1) for end, (low, _) in zip(ends, spans) if low - end > 128]
+    of = lambda ranges: "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges)
+    return f"[[^{of(wide)}]&&[{of(spans)}]]"
+
+
+DOUBTS = _composition_doubts()
+
+
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode NFC and outer white space removed (no built-in normalises)."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip())
 
 
+@F.pandas_udf(BooleanType())
+def _is_composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.is_normalized("NFC", x))
+
+
+def doubtful(c: Column) -> Column:
+    """``c`` where it may not be in Unicode's composed form, else null."""
+    return F.when(c.rlike(DOUBTS), c)
+
+
+def nfc(c: Column) -> Column:
+    """Unicode NFC and outer white space removed. No built-in normalises: doubtful texts go to Python, all others stay where they are."""
+    return F.coalesce(_composed(doubtful(c)), strip(c))
+
+
+def is_nfc(c: Column) -> Column:
+    """Whether a text is in Unicode's composed form; Python sees doubtful texts only."""
+    return F.coalesce(_is_composed(doubtful(c)), F.when(c.isNotNull(), True))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
@@ -69,17 +116,29 @@ def containment(query: Column, doc: Column) -> Column:
     return F.when(F.size(query) == 0, F.lit(1.0)).otherwise(held / F.size(query))
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def longest_common_ngram(a: Column, b: Column, cap: int = 12) -> Column:
+    """Length of the longest word n-gram (at most ``cap``) that both have; 0 if either is empty.
 
+    A common n-gram implies a common one of n - 1, so the length is found bit by bit. Words are hashed once,
+    n-grams by the hashes of their words; where two meet, their words are compared.
+    """
+    steps = [1 << bit for bit in reversed(range(cap.bit_length()))]
 
-def longest_common_ngram(a: Column, b: Column, cap: int = 12) -> Column:
-    """Length of the longest word n-gram (at most ``cap``) that both have; 0 if either is empty."""
-    out = F.lit(0)
-    for n in range(1, cap + 1):
-        out = F.when(F.arrays_overlap(word_ngrams(a, n), word_ngrams(b, n)), n).otherwise(out)
-    return out
+    def grams(hashes: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(hashes) - n + 1), lambda i: F.xxhash64(F.slice(hashes, i, n)))
+
+    def both(x: Column, n: Column) -> Column:
+        met = F.transform(F.array(F.struct(grams(x["ha"], n).alias("a"), grams(x["hb"], n).alias("b"))), lambda g: F.exists(
+            F.array_intersect(g["a"], g["b"]),
+            lambda h: F.slice(x["a"], F.array_position(g["a"], h).cast("int"), n) == F.slice(x["b"], F.array_position(g["b"], h).cast("int"), n)))
+        return F.when(n <= F.least(F.lit(cap), F.size(x["a"]), F.size(x["b"])), met[0]).otherwise(False)
+
+    def longest(x: Column) -> Column:
+        return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda n, s: F.when(both(x, n + s), n + s).otherwise(n))
+
+    hashed = lambda w: F.transform(w, lambda t: F.xxhash64(t))
+    # an array of one struct names what is used more than once
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), hashed(a).alias("ha"), hashed(b).alias("hb"))), longest)[0]
 
 
 def abbreviate(c: Column) -> Column:

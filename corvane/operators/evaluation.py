@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.bootstrap import interval
+from corvane.operators.order import numbered_within
 from corvane.operators.retrieval import RRF
-from corvane.storage import written
 
 #: Ranks at which recall is taken.
 CUTS = (1, 3, 5, 10, 20, 50, 100)
@@ -36,26 +37,6 @@ def scored(hits: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("system", "query_id", *recalls, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr_10"), (F.col("gain") / ideal).alias("ndcg_10"))
 
 
-def replicates(values: DataFrame, keys: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
-    """Bootstrap means per group of ``values(*keys, pos, value)``: replicate r's draw i is row MD5(seed|r|i) mod size.
-
-    The draws are generated on the draw side and meet the values by position, so no group is gathered.
-    """
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
-    draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    draws = draws.withColumn("pos", draw % F.col("n")).select(*keys, "r", "pos")
-    return draws.join(values, [*keys, "pos"]).groupBy(*keys, "r").agg(F.avg("value").alias("mean"))
-
-
-def interval(values: DataFrame, keys: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
-    """``(*keys, mean, lo, hi, n)``: means of ``values(*keys, pos, value)`` with the 2.5 and 97.5 per cent ends of their bootstrap means."""
-    values = written(values, "values", narrow=True)
-    ends = replicates(values, keys, n, seed).groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    means = values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    return means.join(ends, keys).select(*keys, "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "n")
-
-
 def numpy_interval(values: DataFrame, keys: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
     """The same with numpy's PCG64 draws, for exact agreement with numpy-based reports.
 
@@ -81,8 +62,8 @@ def leaderboard(values: DataFrame, selected: DataFrame, n: int = 1000, seed: int
     """
     chosen = selected.select("query_id").distinct()
     values = values.join(chosen, "query_id", "left_semi")
-    pos = F.row_number().over(Window.partitionBy("system").orderBy("query_id")).cast("long") - 1
-    found = interval(values.select("system", pos.alias("pos"), "value"), ["system"], n, seed)
+    placed = numbered_within(values.select("system", "query_id", "value"), ["system"], ["query_id"])
+    found = interval(placed.select("system", "pos", "value"), ["system"], n, seed)
     found = found.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("n_selected"))))
     place = F.row_number().over(Window.orderBy(F.desc("mean"), F.desc("system")))
     return found.select(place.alias("place"), "system", "mean", "lo", "hi", "n_selected", F.col("n").alias("n_scored")).orderBy("place")
@@ -130,6 +111,6 @@ def paired(values: DataFrame, best: DataFrame, n: int = 1000, seed: int = 0) ->
     """
     top = values.join(F.broadcast(best), "system").select("query_id", F.col("system").alias("best"), F.col("value").alias("top"))
     rows = values.join(top, "query_id").where("system <> best").select("system", "best", "query_id", (F.col("top") - F.col("value")).alias("value"))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("system").orderBy("query_id")).cast("long") - 1)
+    rows = numbered_within(rows, ["system", "best"], ["query_id"])
     found = interval(rows.select("system", "best", "pos", "value"), ["system", "best"], n, seed)
     return found.select("system", "best", F.col("mean").alias("diff"), "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))

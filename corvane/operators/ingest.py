@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import md5_number, nfc
 from corvane.operators.checks import require_none
-from corvane.operators.order import numbered
+from corvane.operators.order import numbered, numbered_within
 
 
 def _named(df: DataFrame, wanted: tuple[str, ...]) -> dict[str, str]:
@@ -93,20 +93,44 @@ def existing(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
 
 
 def normalised(df: DataFrame) -> DataFrame:
-    """Dates and times as ISO strings, also inside arrays; other columns as they are."""
+    """Dates and times as ISO strings, also inside arrays, structs and map values; other columns as they are.
+
+    Times have nine digits of a second; those that name an instant end in the session's offset from UTC.
+    """
+
+    def timed(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(timed(f.dataType) for f in kind.fields)
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return timed(kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType)
+        return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
     def one(c: Column, kind: T.DataType) -> Column:
+        if not timed(kind):
+            return c
         if isinstance(kind, T.DateType):
             return F.date_format(c, "yyyy-MM-dd")
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        if isinstance(kind, T.TimestampType):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSxxx")
+        if isinstance(kind, T.TimestampNTZType):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS")
         if isinstance(kind, T.ArrayType):
             return F.transform(c, lambda x: one(x, kind.elementType))
-        return c
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, x: one(x, kind.valueType))
+        return F.when(c.isNotNull(), F.struct(*(one(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
 
     return df.select(*(one(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
+def over_edges(sources: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """A pattern of two nodes and an edge: ``sources(source, ...)``, ``edges(source, target, ...)`` and ``targets(target, ...)`` joined.
+
+    Every edge with both ends gives a row, parallel ones too. Predicates on a node's columns reach its scan.
+    """
+    return edges.join(sources, "source").join(targets, "target")
+
+
 def in_all(tables: list[DataFrame], key: str) -> DataFrame:
     """Keys that every table has."""
     return reduce(DataFrame.intersect, (t.select(key) for t in tables))
@@ -148,11 +172,9 @@ def group_ids(rows: DataFrame, group: str, by: list[str]) -> DataFrame:
 
     A group of any size: places come from one global order, less the group's first.
     """
-    placed = numbered(rows, [group, *by], "_n")
-    first = placed.groupBy(group).agg(F.min("_n").alias("_first"))
-    number = (F.col("_n") - F.col("_first") + 1).cast("string")
+    number = (F.col("_n") + 1).cast("string")
     padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
-    return placed.join(first, group).withColumn("sample_id", F.concat_ws("-", group, padded)).drop("_n", "_first")
+    return numbered_within(rows, [group], by, "_n").withColumn("sample_id", F.concat_ws("-", group, padded)).drop("_n")
 
 
 def first_appearance(rows: DataFrame, key: str, seq: str, name: str = "ordinal") -> DataFrame:

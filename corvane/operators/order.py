@@ -30,6 +30,16 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "pos") -> Dat
     return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, within + F.col("_before")).drop("_row", "_part", "_before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "pos") -> DataFrame:
+    """``df`` with each row's place (from 0) among the rows of its keys: places of one global order, less the group's first.
+
+    No group is gathered; rows with a null key go.
+    """
+    placed = numbered(df, [*keys, *order], "_of_all")
+    first = placed.groupBy(*keys).agg(F.min("_of_all").alias("_first"))
+    return placed.join(first, keys).withColumn(name, F.col("_of_all") - F.col("_first")).drop("_of_all", "_first")
+
+
 def at_places(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
     """``(*keys, n, <name>...)``: for each group the values at the given places (from 1) of its ascending order.
 

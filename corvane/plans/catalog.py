@@ -14,7 +14,8 @@ from corvane.operators import evaluation as E
 from corvane.operators import ingest as G
 from corvane.operators import reports as R
 from corvane.operators import retrieval as X
-from corvane.operators.order import linear_quantiles
+from corvane.operators.bootstrap import BLOCK, interval
+from corvane.operators.order import linear_quantiles, numbered_within
 from corvane.plans.registry import DOCS_SQL, HASH, ORACLE_SQL, QUERIES, WORDS, query, rounded_sql
 from corvane.sources.matrices import read_matrix, write_matrix
 from corvane.sources.tables import SYSTEMS, documents, n_tokens, questions, table, vectors
@@ -98,7 +99,8 @@ _NDCG_SQL = f"SELECT system, query_id, ndcg_10 AS value, row_number() OVER (PART
 def interval_sql(values: str, keys: str, n: int = 1000) -> str:
     return f"""
     WITH v AS MATERIALIZED ({values}), z AS (SELECT {keys}, count(*) AS n, avg(value) AS mean FROM v GROUP BY {keys}),
-    d AS (SELECT {keys}, r, ('0x' || substr(md5('0|' || r || '|' || i), 1, 12))::BIGINT % n AS pos FROM z, range({n}) t(r), LATERAL (SELECT unnest(range(n)) AS i)),
+    e AS (SELECT {keys}, n, r, CASE WHEN n > {BLOCK} THEN ('0x' || substr(md5('0|' || r || '|' || i), 1, 12))::BIGINT % n // {BLOCK} END AS blk, count(*) AS c FROM z, range({n}) t(r), LATERAL (SELECT unnest(range(n)) AS i) GROUP BY ALL),
+    d AS (SELECT {keys}, r, coalesce(blk, 0) * {BLOCK} + ('0x' || substr(md5(concat_ws('|', 0, r, i, blk)), 1, 12))::BIGINT % least({BLOCK}, n - coalesce(blk, 0) * {BLOCK}) AS pos FROM e, LATERAL (SELECT unnest(range(c)) AS i)),
     m AS (SELECT {keys}, r, avg(value) AS mean FROM d JOIN v USING ({keys}, pos) GROUP BY {keys}, r),
     p AS (SELECT {keys}, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY {keys})
     SELECT {keys}, round(z.mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, z.n AS n FROM z JOIN p USING ({keys})"""
@@ -122,11 +124,18 @@ def paired_bootstrap(spark, sf_dir):
     return rounded(E.paired(values, E.best_system(values)), "diff", "lo", "hi")
 
 
+@query(interval_sql("SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events", "event_type", 40))
+def event_intervals(spark, sf_dir):
+    """Mean value of every event type with its bootstrap interval: groups of many blocks."""
+    e = numbered_within(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"])
+    return rounded(interval(e.select("event_type", "pos", "value"), ["event_type"], 40), "mean", "lo", "hi")
+
+
 @query()
 def numpy_bootstrap(spark, sf_dir):
     """Intervals with numpy's own generator; held against numpy in the tests."""
-    pos = F.row_number().over(Window.partitionBy("system").orderBy("query_id")).cast("long") - 1
-    return rounded(E.numpy_interval(_ndcg(spark, sf_dir).select("system", pos.alias("pos"), "value"), ["system"]), "mean", "lo", "hi")
+    values = numbered_within(_ndcg(spark, sf_dir), ["system"], ["query_id"])
+    return rounded(E.numpy_interval(values.select("system", "pos", "value"), ["system"]), "mean", "lo", "hi")
 
 
 _NN_SQL = _dense_sql(64, 1, "q.vec_id <> d.vec_id")

@@ -130,9 +130,9 @@ SELECT o_custkey::VARCHAR || '::' || o_orderkey AS chunk_id, l_linenumber AS fac
 def graph_pattern(spark, sf_dir):
     """Chunks joined to their facts over an edge table; the predicate on chunks reaches their scan."""
     o, e, f = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    o = o.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-    joined = o.join(e.select("l_orderkey", "l_partkey", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey")).join(f.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
-    return joined.select(chunk_key(F.col("o_custkey"), F.col("o_orderkey")).alias("chunk_id"), F.col("l_linenumber").alias("fact_no"), F.col("p_name").alias("text"))
+    chunks = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("source"), chunk_key(F.col("o_custkey"), F.col("o_orderkey")).alias("chunk_id"))
+    edges = e.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("fact_no"))
+    return G.over_edges(chunks, edges, f.select(F.col("p_partkey").alias("target"), F.col("p_name").alias("text"))).select("chunk_id", "fact_no", "text")
 
 
 @query("""
@@ -410,7 +410,7 @@ def window_and_batch(spark, sf_dir):
     return M.window_and_batch(p).select("p_partkey", "window", "batch")
 
 
-@query("""SELECT user_id, strftime(max(event_time), '%Y-%m-%dT%H:%M:%S') AS last, CASE WHEN count(*) > 1 THEN '[' || strftime(min(event_time), '%Y-%m-%dT%H:%M:%S') || ', ' || strftime(max(event_time), '%Y-%m-%dT%H:%M:%S') || ']' ELSE '[]' END AS ends FROM (SELECT user_id, ts AS event_time FROM events) GROUP BY 1""")
+@query("""SELECT user_id, strftime(max(event_time), '%Y-%m-%dT%H:%M:%S.%n') AS last, CASE WHEN count(*) > 1 THEN '[' || strftime(min(event_time), '%Y-%m-%dT%H:%M:%S.%n') || ', ' || strftime(max(event_time), '%Y-%m-%dT%H:%M:%S.%n') || ']' ELSE '[]' END AS ends FROM (SELECT user_id, ts AS event_time FROM events) GROUP BY 1""")
 def normalised_times(spark, sf_dir):
     """Times as ISO strings, single and in lists."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.min("ts").alias("first"), F.count("*").alias("n"))
