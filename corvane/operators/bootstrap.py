@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import md5_number
-from corvane.storage import written
+from corvane.storage import workspace, written
 
 #: Values of a group that are drawn from together, in one row.
 BLOCK = 1024
@@ -54,7 +54,9 @@ def replicates(values: DataFrame, keys: list[str], n: int = 1000, seed: int = 0,
 
 def interval(values: DataFrame, keys: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
     """``(*keys, mean, lo, hi, n)``: means of ``values(*keys, pos, value)`` with the 2.5 and 97.5 per cent ends of their bootstrap means."""
-    values = written(values, "values", narrow=True)
-    ends = replicates(values, keys, n, seed).groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    means = values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    return means.join(ends, keys).select(*keys, "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "n")
+    with workspace(values.sparkSession) as held:
+        values = written(values, "values", narrow=True)
+        ends = replicates(values, keys, n, seed).groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+        means = values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+        out = means.join(ends, keys).select(*keys, "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "n")
+        return held.keep(written(out, "intervals", narrow=True))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from corvane.operators.bootstrap import interval
 from corvane.operators.order import numbered_within
 from corvane.operators.retrieval import RRF
+from corvane.storage import workspace
 
 #: Ranks at which recall is taken.
 CUTS = (1, 3, 5, 10, 20, 50, 100)
@@ -62,8 +63,9 @@ def leaderboard(values: DataFrame, selected: DataFrame, n: int = 1000, seed: int
     """
     chosen = selected.select("query_id").distinct()
     values = values.join(chosen, "query_id", "left_semi")
-    placed = numbered_within(values.select("system", "query_id", "value"), ["system"], ["query_id"])
-    found = interval(placed.select("system", "pos", "value"), ["system"], n, seed)
+    with workspace(values.sparkSession) as held:
+        placed = numbered_within(values.select("system", "query_id", "value"), ["system"], ["query_id"])
+        found = held.keep(interval(placed.select("system", "pos", "value"), ["system"], n, seed))
     found = found.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("n_selected"))))
     place = F.row_number().over(Window.orderBy(F.desc("mean"), F.desc("system")))
     return found.select(place.alias("place"), "system", "mean", "lo", "hi", "n_selected", F.col("n").alias("n_scored")).orderBy("place")
@@ -111,6 +113,7 @@ def paired(values: DataFrame, best: DataFrame, n: int = 1000, seed: int = 0) ->
     """
     top = values.join(F.broadcast(best), "system").select("query_id", F.col("system").alias("best"), F.col("value").alias("top"))
     rows = values.join(top, "query_id").where("system <> best").select("system", "best", "query_id", (F.col("top") - F.col("value")).alias("value"))
-    rows = numbered_within(rows, ["system", "best"], ["query_id"])
-    found = interval(rows.select("system", "best", "pos", "value"), ["system", "best"], n, seed)
+    with workspace(values.sparkSession) as held:
+        rows = numbered_within(rows, ["system", "best"], ["query_id"])
+        found = held.keep(interval(rows.select("system", "best", "pos", "value"), ["system", "best"], n, seed))
     return found.select("system", "best", F.col("mean").alias("diff"), "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))

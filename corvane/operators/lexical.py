@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
 from corvane.operators.order import ranked
-from corvane.storage import few, written
+from corvane.storage import few, workspace, written
 
 #: Saturation and length weights.
 K1, B = 1.5, 0.75
@@ -190,11 +190,13 @@ def bm25_ranking(queries: DataFrame, docs: DataFrame, k: int = 100, pad: bool =
 
     The first k ids are enough to pad from: with m < k matches, at least k - m of them are unmatched.
     """
-    postings = Postings(queries, docs)
-    best = ranked(postings.best(k), k)
-    if not pad:
-        return best
-    best = written(best, "bm25")
+    with workspace(queries.sparkSession) as held:
+        postings = Postings(queries, docs)
+        best = written(ranked(postings.best(k), k), "bm25")
+        return held.keep(written(_padded(queries, postings, best, k), "padded") if pad else best)
+
+
+def _padded(queries: DataFrame, postings: Postings, best: DataFrame, k: int) -> DataFrame:
     first = postings.lengths.select("item_id").distinct().orderBy("item_id").limit(k)  # k rows
     short = queries.select(F.col("id").alias("query_id")).join(best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     fill = short.crossJoin(F.broadcast(first)).join(postings.matching(first), ["query_id", "item_id"], "left_anti")

@@ -19,7 +19,7 @@ from corvane.operators.order import linear_quantiles, numbered_within
 from corvane.plans.registry import DOCS_SQL, HASH, ORACLE_SQL, QUERIES, WORDS, query, rounded_sql
 from corvane.sources.matrices import read_matrix, write_matrix
 from corvane.sources.tables import SYSTEMS, documents, n_tokens, questions, table, vectors
-from corvane.storage import new_path, written
+from corvane.storage import new_path, workspace, written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -120,15 +120,18 @@ WITH n AS MATERIALIZED ({_NDCG_SQL}), b AS (SELECT system AS best FROM n GROUP B
 SELECT system, best, mean AS diff, lo, hi, (lo > 0 OR hi < 0) AS significant FROM ({interval_sql(
     "SELECT x.system, t.system AS best, t.value - x.value AS value, row_number() OVER (PARTITION BY x.system ORDER BY x.query_id) - 1 AS pos FROM n x JOIN n t USING (query_id) JOIN b ON t.system = b.best WHERE x.system <> b.best", "system, best")})""")
 def paired_bootstrap(spark, sf_dir):
-    values = written(_ndcg(spark, sf_dir), "values", narrow=True)
-    return rounded(E.paired(values, E.best_system(values)), "diff", "lo", "hi")
+    with workspace(spark) as held:
+        values = written(_ndcg(spark, sf_dir), "values", narrow=True)
+        return held.keep(written(rounded(E.paired(values, E.best_system(values)), "diff", "lo", "hi"), "paired", narrow=True))
 
 
 @query(interval_sql("SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events", "event_type", 40))
 def event_intervals(spark, sf_dir):
     """Mean value of every event type with its bootstrap interval: groups of many blocks."""
-    e = numbered_within(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"])
-    return rounded(interval(e.select("event_type", "pos", "value"), ["event_type"], 40), "mean", "lo", "hi")
+    with workspace(spark) as held:
+        e = numbered_within(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"])
+        found = held.keep(interval(e.select("event_type", "pos", "value"), ["event_type"], 40))
+    return rounded(found, "mean", "lo", "hi")
 
 
 @query()

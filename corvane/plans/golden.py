@@ -17,7 +17,7 @@ from corvane.operators import retrieval as X
 from corvane.plans.catalog import ABBREV_SQL, PLAIN_SQL, interval_sql, metrics_sql, rounded
 from corvane.plans.registry import HASH, WORDS, query, rounded_sql
 from corvane.sources.tables import containing, documents, questions
-from corvane.storage import written
+from corvane.storage import workspace, written
 
 
 # --- lexical retrieval --------------------------------------------------------------------------
@@ -98,9 +98,10 @@ def _systems(asked: DataFrame, docs: DataFrame) -> DataFrame:
     Texts are cut into words once, in a table that both systems read; the two rankings are written, as the
     fusion reads them again.
     """
-    docs = written(docs.select("id", tokens(F.col("text")).alias("words")), "words")
-    dense = written(X.union_systems({"hashed": X.dense_topk(_hashed_vectors(asked.select("id", tokens(F.col("text")).alias("words"))), _hashed_vectors(docs), 100)}), "dense")
-    lexical = written(X.union_systems({"bm25": X.bm25_ranking(asked, docs, 100)}), "lexical")
+    with workspace(docs.sparkSession) as held:
+        docs = written(docs.select("id", tokens(F.col("text")).alias("words")), "words")
+        dense = held.keep(written(X.union_systems({"hashed": X.dense_topk(_hashed_vectors(asked.select("id", tokens(F.col("text")).alias("words"))), _hashed_vectors(docs), 100)}), "dense"))
+        lexical = X.union_systems({"bm25": held.keep(X.bm25_ranking(asked, docs, 100))})
     return dense.unionByName(lexical).unionByName(E.hybrids(dense, lexical))
 
 
@@ -117,7 +118,9 @@ def _systems_sql(source: str) -> str:
 def hybrid_metrics(spark, sf_dir):
     """Golden-set metrics of a hashed dense system, BM25 and their fusion, per query."""
     asked = questions(spark, sf_dir)
-    return rounded(E.metrics(_systems(asked, documents(spark, sf_dir)), golden_qrels(spark, sf_dir)), *E.METRICS)
+    with workspace(spark) as held:
+        found = held.keep(written(E.metrics(_systems(asked, documents(spark, sf_dir)), golden_qrels(spark, sf_dir)), "metrics"))
+    return rounded(found, *E.METRICS)
 
 
 # --- variants --------------------------------------------------------------------------------------
@@ -170,10 +173,11 @@ _GOLDEN_SQL = metrics_sql(
 def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``(number, query_id, variant, business)`` of the questions in their forms, and the metrics of the systems by that number."""
     number = F.col("base") * len(D.VARIANTS) + F.array_position(F.array(*(F.lit(v) for v in D.VARIANTS)), F.col("variant")) - 1
-    asked = written(query_variants(spark, sf_dir).withColumn("number", number.cast("long")), "asked", narrow=True)
-    qrels = asked.select(F.col("number").alias("query_id"), "base").join(golden_qrels(spark, sf_dir).withColumnRenamed("query_id", "base"), "base").select("query_id", "item_id")
-    ranking = _systems(asked.select(F.col("number").alias("id"), "text"), documents(spark, sf_dir))
-    return asked, written(E.metrics(ranking, qrels), "metrics", narrow=True)
+    with workspace(spark) as held:
+        asked = held.keep(written(query_variants(spark, sf_dir).withColumn("number", number.cast("long")), "asked", narrow=True))
+        qrels = asked.select(F.col("number").alias("query_id"), "base").join(golden_qrels(spark, sf_dir).withColumnRenamed("query_id", "base"), "base").select("query_id", "item_id")
+        ranking = _systems(asked.select(F.col("number").alias("id"), "text"), documents(spark, sf_dir))
+        return asked, held.keep(written(E.metrics(ranking, qrels), "metrics", narrow=True))
 
 
 @query(f"""
@@ -204,6 +208,9 @@ FROM ({_GOLDEN_SQL}) WHERE query_id % 6 = 0"""
 SELECT row_number() OVER (ORDER BY mean DESC, system DESC)::INTEGER AS place, system, mean, lo, hi, (SELECT count(*) FROM benchmark) AS n_selected, n AS n_scored FROM ({interval_sql(_ORIG_SQL, "system")})""")
 def golden_leaderboard(spark, sf_dir):
     """Systems by nDCG@10 on the original questions; questions that no document answers are selected but not scored."""
-    asked, metrics = _golden(spark, sf_dir)
-    selected = asked.where("variant = 'orig'").select(F.col("number").alias("query_id"))
-    return rounded(E.leaderboard(metrics.select("system", "query_id", F.col("ndcg_10").alias("value")), selected), "mean", "lo", "hi")
+    with workspace(spark) as held:
+        asked, metrics = _golden(spark, sf_dir)
+        selected = asked.where("variant = 'orig'").select(F.col("number").alias("query_id"))
+        found = E.leaderboard(metrics.select("system", "query_id", F.col("ndcg_10").alias("value")), selected)
+        found = held.keep(written(rounded(found, "mean", "lo", "hi"), "leaderboard", narrow=True))
+    return found.orderBy("place")
