@@ -239,6 +239,86 @@ def test_mixing(docs, rows, empty):
     assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, mixing.mixed(docs)[2].collect()))
 
 
+def plain_permutation(n, source, seed, bits=64):
+    """A Feistel walk in plain whole numbers, of the same keys."""
+    full = 2**bits
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % full
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB % full
+        return h ^ (h >> 31)
+
+    def once(x):
+        left, right = x >> half, x % 2**half
+        for turn in range(4):
+            key = (seed * 2654435761 + source * 40503 + turn * 65599) % full
+            left, right = right, left ^ (mixed((right + key) % full) % 2**half)
+        return left << half | right
+
+    def place(x):
+        y = once(x)
+        while y >= n:
+            y = once(y)
+        return y
+
+    return [place(x) for x in range(n)]
+
+
+def test_mixing_replayed(spark):
+    """Every slot of the mix, word by word: draws, permutation and join done again over lists of words."""
+    import numpy as np
+
+    size = mixing.BLOCK
+    rng = random.Random(4)
+    lengths = [*(rng.randrange(0, 900) for _ in range(60)), 5 * size + 7, 0, size]
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(n)), rng.choice(["a", "b", "b", "b", None])) for i, n in enumerate(lengths)]
+    placed, sources, spans = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    placed = sorted(placed.collect(), key=lambda r: (r.source_no, r.bucket, r.ka, r.kb, r.doc_id))
+    # the words of each source, one document after another
+    streams = collections.defaultdict(list)
+    for r in placed:
+        assert r.offset == len(streams[r.source_no])
+        streams[r.source_no] += [(r.doc_id, k) for k in range(r.size)]
+    targets = {r.source_no: r.target for r in sources.collect()}
+    wanted = {s: min(round(targets[s]), 2 * len(w)) for s, w in streams.items()}
+    # slot k of a source takes block permutation[k mod n], until the source has what it owes
+    expected, quota = collections.defaultdict(list), {}
+    for s, stream in streams.items():
+        n = -(-len(stream) // size)
+        turn, left, k = plain_permutation(n, s, mixing.SEED), wanted[s], 0
+        while left > 0:
+            block = stream[turn[k % n] * size : (turn[k % n] + 1) * size][:left]
+            expected[s].append(block)
+            left, k = left - len(block), k + 1
+        quota[s] = k
+    # one shard of all slots here; its counts are drawn until every source has given its slots
+    counts, _ = mixing._plan([len(streams[s]) for s in sorted(streams)], [targets[s] for s in sorted(streams)])
+    assert np.asarray(counts).sum(0).tolist() == [quota[s] for s in sorted(streams)]
+    name = {(r.source_no, r.bucket, r.rn): r.doc_id for r in placed}
+    got = collections.defaultdict(list)
+    for r in spans.collect():
+        got[r.source_no, r.shard, r.slot].append((name[r.source_no, r.bucket, r.rn], r.start, r.words))
+    for s, blocks in expected.items():
+        slots = sorted(k[1:] for k in got if k[0] == s)
+        assert len(slots) == len(blocks)
+        for (shard, slot), block in zip(slots, blocks):
+            words_ = sorted((d, k) for d, start, n in got[s, shard, slot] for k in range(start, start + n))
+            assert words_ == sorted(block)
+    taken = collections.Counter(d for blocks in expected.values() for block in blocks for d, _ in block)
+    own = {r.doc_id: r.taken for r in _op4_rows(spark, rows)}
+    assert own == {r[0]: taken.get(r[0], 0) for r in rows}
+
+
+def _op4_rows(spark, rows):
+    """The registered query over the same rows."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-mix-")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return mixing.op4_source_mixing(spark, folder).collect()
+
+
 @given(st.lists(st.tuples(st.integers(0, 500), st.sampled_from((1.0, 2.0, 3.0))), max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_targets(sources):
