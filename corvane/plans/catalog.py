@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.functions.text import ABBREVIATIONS, abbreviate, chunk_key, chunk_of, looks_like_text, strip_marks
 from corvane.functions.vectors import cosine, dot, norm, parts
