@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,25 +15,35 @@ from corvane.llm.storage import remove, workspace, written
 from corvane.llm.substring_dedup import remove_repeats
 
 
-_left: list[str] = []
+class _Left(threading.local):
+    """Tables that the stages called in this thread left behind: their results, evaluated later, read them."""
 
+    def __init__(self):
+        self.paths: list[str] = []
 
-def _clear(spark: SparkSession, but_for: list[str]) -> None:
-    for path in [p for p in _left if not any(p in f for f in but_for)]:
+
+_left = _Left()
+
+
+def _clear(spark: SparkSession, but_for: Iterable[str] = ()) -> None:
+    """Deletes what is left, but for the tables that hold one of the files ``but_for``."""
+    read = {folder for file in but_for for folder in file.split("/")}
+    stay = [p for p in _left.paths if p.rpartition("/")[2] in read]
+    for path in set(_left.paths).difference(stay):
         remove(spark, path)
-        _left.remove(path)
+    _left.paths = stay
 
 
 def _stage(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
     """Applies ``operator``, and deletes the tables that the stage before left: its result is written by now.
 
-    Tables that ``docs`` still reads stay.
+    Tables that ``docs`` still reads stay, and so do those of other threads.
     """
     spark = docs.sparkSession
-    _clear(spark, docs.inputFiles() if _left else [])
+    _clear(spark, docs.inputFiles() if _left.paths else [])
     with workspace(spark) as held:
         out = operator(docs)
-        _left.extend(held.release())
+        _left.paths.extend(held.release())
     return out
 
 
@@ -88,15 +99,26 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents, each written and read again as the next one's input, which is then deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before: list[str] = []
-    for name, stage in STAGES:
-        with workspace(spark) as held:
-            docs = written(stage(spark, docs, sf_dir), name)
-            made = held.release()
-        _clear(spark, [])
+    """All stages over all documents, each written and read again as the next one's input, which is then deleted.
+
+    What stages called before it left stays as it is; if a stage fails, all tables of this run go.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    outside, _left.paths = _left.paths, []
+    try:
+        for name, stage in STAGES:
+            with workspace(spark) as held:
+                docs = written(stage(spark, docs, sf_dir), name)
+                made = held.release()
+            _clear(spark)
+            for path in before:
+                remove(spark, path)
+            before = made
+    except BaseException:
+        _clear(spark)
         for path in before:
             remove(spark, path)
-        before = made
+        raise
+    finally:
+        _left.paths = outside
     return docs

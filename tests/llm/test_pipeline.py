@@ -1,10 +1,15 @@
 """The pipeline on the smallest data: what each stage may return, and that its decisions hold."""
 
 import collections
+import os
 import re
+import threading
+
+import pytest
 
 import corpus_pipeline
 from corvane.llm.storage import written
+from corvane.storage import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -47,3 +52,38 @@ def test_nothing_in_nothing_out(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def tables(spark):
+    home = shared_dir(spark).removeprefix("file:") + "/corvane"
+    return set(os.listdir(home)) if os.path.isdir(home) else set()
+
+
+def test_only_the_last_table_is_left_and_a_failed_run_leaves_none(spark, monkeypatch):
+    def fails(spark, docs, sf_dir):
+        written(docs, "lost")
+        raise ZeroDivisionError
+
+    copies = lambda spark, docs, sf_dir: corpus_pipeline._stage(lambda d: written(d.limit(5), "inner"), docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", copies), ("second", copies)])
+    before = tables(spark)
+    assert corpus_pipeline.run(spark, DATA).count() == 5
+    assert [t.split("-")[0] for t in tables(spark) - before] == ["second"]
+    before = tables(spark)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", copies), ("second", fails)])
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, DATA)
+    assert tables(spark) == before
+
+
+def test_stages_of_other_threads_and_of_a_run_keep_their_tables(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(7)
+    stage = lambda d: corpus_pipeline._stage(lambda x: written(x, "mine"), d)
+    mine = stage(docs)
+    other = threading.Thread(target=lambda: stage(docs))
+    other.start()
+    other.join()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("only", lambda spark, docs, sf_dir: stage(docs.limit(3)))])
+    assert corpus_pipeline.run(spark, DATA).count() == 3
+    assert mine.count() == 7
+    assert stage(mine).count() == 7
