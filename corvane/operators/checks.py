@@ -14,9 +14,9 @@ def require_none(broken: DataFrame, what: str, shown: int = 5) -> None:
 
 
 def asserted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """``df``, whose evaluation fails with a rule's name at the first row that breaks it: a check without a pass of its own."""
+    """``df``, whose evaluation fails at a row that breaks a rule, with the name of the first that it breaks: a check without a pass of its own."""
     holds = F.lit(True)
-    for what, rule in rules.items():
+    for what, rule in reversed(rules.items()):
         holds = F.when(F.coalesce(rule, F.lit(False)), holds).otherwise(F.raise_error(F.lit(what)).cast("boolean"))
     return df.where(holds)
 
@@ -30,8 +30,8 @@ def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Obse
 def in_order(vectors: DataFrame, order: DataFrame, what: str = "vectors and ids") -> DataFrame:
     """``vectors(pos, id, ...)``, whose evaluation fails if a place does not hold the id that ``order(pos, id)`` says, or either side has more places."""
     both = vectors.withColumn("_here", F.lit(True)).join(order.select("pos", F.col("id").alias("_id"), F.lit(True).alias("_there")), "pos", "full")
-    rules = {f"{what} are not in the same order": F.col("id").eqNullSafe(F.col("_id")), f"{what} differ in number": F.col("_here") & F.col("_there")}
-    return asserted(both, dict(reversed(rules.items()))).drop("_here", "_id", "_there")
+    rules = {f"{what} differ in number": F.col("_here") & F.col("_there"), f"{what} are not in the same order": F.col("id").eqNullSafe(F.col("_id"))}
+    return asserted(both, rules).drop("_here", "_id", "_there")
 
 
 def misplaced(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from corvane.storage import workspace
 
 #: Ranks at which recall is taken.
 CUTS = (1, 3, 5, 10, 20, 50, 100)
+#: Ranks whose recall has a table of its own beside the primary metric.
+REPORTED = (1, 5, 10, 50)
 METRICS = (*(f"recall_{k}" for k in CUTS), "mrr_10", "ndcg_10")
 
 
@@ -61,14 +63,24 @@ def leaderboard(values: DataFrame, selected: DataFrame, n: int = 1000, seed: int
     ``selected(query_id)`` are the queries of the report: a system shows how many there are and how many
     of them it has a value for. One without any value is left out. Few rows: one for each system.
     """
+    return leaderboards(values, selected, ["value"], n, seed).drop("metric").orderBy("place")
+
+
+def leaderboards(values: DataFrame, selected: DataFrame, metrics: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """``(metric, place, ...)``: the :func:`leaderboard` of each of ``metrics``, columns of ``values(system, query_id, ...)``.
+
+    Every metric has the table that it would have alone, but values are read, ordered and drawn from once
+    for all. A system without a value (null) has no row in that metric's table.
+    """
     chosen = selected.select("query_id").distinct()
-    values = values.join(chosen, "query_id", "left_semi")
+    rows = values.join(chosen, "query_id", "left_semi").unpivot(["system", "query_id"], metrics, "metric", "value").where("value is not null")
     with workspace(values.sparkSession) as held:
-        placed = numbered_within(values.select("system", "query_id", "value"), ["system"], ["query_id"])
-        found = held.keep(interval(placed.select("system", "pos", "value"), ["system"], n, seed))
+        placed = numbered_within(rows, ["metric", "system"], ["query_id"])
+        found = held.keep(interval(placed.select("metric", "system", "pos", "value"), ["metric", "system"], n, seed))
     found = found.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("n_selected"))))
-    place = F.row_number().over(Window.orderBy(F.desc("mean"), F.desc("system")))
-    return found.select(place.alias("place"), "system", "mean", "lo", "hi", "n_selected", F.col("n").alias("n_scored")).orderBy("place")
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("mean"), F.desc("system")))
+    columns = ("metric", place.alias("place"), "system", "mean", "lo", "hi", "n_selected", F.col("n").alias("n_scored"))
+    return found.select(*columns).orderBy("metric", "place")
 
 
 def best_system(values: DataFrame, but: str = "hybrid") -> DataFrame:

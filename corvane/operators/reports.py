@@ -67,7 +67,7 @@ def pair_cosines(a: DataFrame, b: DataFrame, complete: bool = False) -> DataFram
     rules = {"a pair of vectors of different sizes": F.size("vec") == F.size("_other")}
     if complete:
         rules = {"a pair that one side lacks": F.col("vec").isNotNull() & F.col("_other").isNotNull()} | rules
-    return asserted(rows, dict(reversed(rules.items()))).select("pair_id", cosine(F.col("vec"), F.col("_other")).alias("score"))
+    return asserted(rows, rules).select("pair_id", cosine(F.col("vec"), F.col("_other")).alias("score"))
 
 
 def instruct_effect(scores: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import md5_number
+from corvane.operators.checks import in_order
 from corvane.operators.lexical import bm25_ranking, bm25_scores
 from corvane.operators.order import ranked
 from corvane.operators.selection import quantiles
@@ -51,16 +52,22 @@ def _cell(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(found)
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int = 100) -> DataFrame:
+def dense_topk(queries: DataFrame, index: DataFrame, k: int = 100, order: DataFrame | None = None) -> DataFrame:
     """``(query_id, rank, item_id, score)``: exact cosine top-k of ``(id, vec)`` tables, ties by id, a row never its own hit.
 
     A grid of bounded cells (index shard x query block): no side is broadcast or gathered whole, and
     per query only k rows of each shard meet in the final ranking. A row travels once for each block of
     the other side, which a cell's matrix product outweighs.
+
+    With ``order(pos, id)`` the ranking itself fails if ``index(pos, id, vec)`` holds another id at a place, or
+    more or fewer places: its ids, without the vectors, meet the order's in the same job.
     """
     shards, blocks = max(1, -(-index.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    if order is not None:
+        held = in_order(index.select("pos", "id"), order).agg(F.count("*").alias("_held"))  # one row
+        index = index.crossJoin(F.broadcast(held)).where("_held >= 0")
     columns = (F.col("id").cast("long").alias("id"), "vec")
     left = index.where("vec is not null").select(place(shards).alias("shard"), every(blocks).alias("block"), *columns, F.lit(False).alias("is_query"))
     right = queries.where("vec is not null").select(every(shards).alias("shard"), place(blocks).alias("block"), *columns, F.lit(True).alias("is_query"))

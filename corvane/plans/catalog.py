@@ -14,7 +14,7 @@ from corvane.operators import ingest as G
 from corvane.operators import reports as R
 from corvane.operators import retrieval as X
 from corvane.operators.bootstrap import BLOCK, interval
-from corvane.operators.order import linear_quantiles, numbered_within
+from corvane.operators.order import linear_quantiles, numbered, numbered_within
 from corvane.plans.registry import DOCS_SQL, HASH, ORACLE_SQL, QUERIES, WORDS, query, rounded_sql
 from corvane.sources.matrices import read_matrix, write_matrix
 from corvane.sources.tables import SYSTEMS, documents, n_tokens, questions, table, vectors
@@ -204,6 +204,16 @@ def matrix_files(spark, sf_dir):
     return rounded(rows.select("id", F.size("vec").alias("dim"), total.alias("total"), F.get("vec", F.lit(0)).cast("double").alias("first")).crossJoin(last), "total", "first")  # one row of totals
 
 
+@query(rounded_sql(_dense_sql(64, 10), "score"))
+def checked_ranking(spark, sf_dir):
+    """Top 10 over a matrix whose rows must stand in the order of its ids; the ranking fails where they do not."""
+    path = new_path(spark, "ordered")
+    placed = numbered(vectors(spark, sf_dir), ["id"])
+    write_matrix(placed.repartitionByRange("pos").sortWithinPartitions("pos"), path)
+    rows = read_matrix(spark, path).withColumnRenamed("row", "pos")
+    return rounded(X.dense_topk(rows.where("id % 50 = 0"), rows, 10, order=placed.select("pos", "id")), "score")
+
+
 @query("""
 SELECT vec_id AS id, k::INTEGER AS part, ((len(embedding) + 15) // 16)::INTEGER AS n_parts, '[' || array_to_string(list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda x: round(x::DOUBLE * 1000)::BIGINT), ',') || ']' AS thousandths
 FROM embeddings, LATERAL (SELECT unnest(range((len(embedding) + 15) // 16)) AS k)""")

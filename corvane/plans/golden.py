@@ -214,3 +214,20 @@ def golden_leaderboard(spark, sf_dir):
         found = E.leaderboard(metrics.select("system", "query_id", F.col("ndcg_10").alias("value")), selected)
         found = held.keep(written(rounded(found, "mean", "lo", "hi"), "leaderboard", narrow=True))
     return found.orderBy("place")
+
+
+_TABLES = ("ndcg_10", *(f"recall_{k}" for k in E.REPORTED))
+_TABLES_SQL = f"""SELECT metric, system, query_id, value, row_number() OVER (PARTITION BY metric, system ORDER BY query_id) - 1 AS pos
+FROM (UNPIVOT (SELECT system, query_id, {", ".join(f"{m}::DOUBLE AS {m}" for m in _TABLES)} FROM ({_GOLDEN_SQL}) WHERE query_id % 6 = 0) ON {", ".join(_TABLES)} INTO NAME metric VALUE value)"""
+
+
+@query(f"""
+SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY mean DESC, system DESC)::INTEGER AS place, system, mean, lo, hi, (SELECT count(*) FROM benchmark) AS n_selected, n AS n_scored FROM ({interval_sql(_TABLES_SQL, "metric, system")})""")
+def golden_leaderboards(spark, sf_dir):
+    """The tables of the report on the original questions: the primary metric, and recall at several ranks."""
+    with workspace(spark) as held:
+        asked, metrics = _golden(spark, sf_dir)
+        selected = asked.where("variant = 'orig'").select(F.col("number").alias("query_id"))
+        found = E.leaderboards(metrics.select("system", "query_id", *_TABLES), selected, list(_TABLES))
+        found = held.keep(written(rounded(found, "mean", "lo", "hi"), "leaderboards", narrow=True))
+    return found.orderBy("metric", "place")

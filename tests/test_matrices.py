@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pytest
 
+from corvane.operators.retrieval import dense_topk
 from corvane.sources import matrices as M
 
 
@@ -72,3 +73,19 @@ def test_a_crash_before_the_commit_leaves_the_old_matrix(spark, folder):
 def test_an_empty_matrix(spark, folder):
     M.write_matrix(spark.createDataFrame([], "id long, vec array<float>"), folder)
     assert M.read_matrix(spark, folder).collect() == []
+
+
+def test_ranking_fails_where_the_matrix_is_in_another_order(spark, folder):
+    df = spark.range(0, 50, 1, 2).selectExpr("id", "array(float(id % 7), float(1)) AS vec")
+    M.write_matrix(df, folder)
+    rows = M.read_matrix(spark, folder).withColumnRenamed("row", "pos")
+    asked, order = rows.where("id < 3"), df.selectExpr("id AS pos", "id")
+    found = dense_topk(asked, rows, 5, order=order)
+    assert found.collect() and sorted(found.collect()) == sorted(dense_topk(asked, df, 5).collect())
+    for wrong, what in (
+        (order.selectExpr("49 - pos AS pos", "id"), "not in the same order"),
+        (order.where("pos <> 49"), "differ in number"),
+        (order.union(spark.sql("SELECT 50L, 50L")), "differ in number"),
+    ):
+        with pytest.raises(Exception, match=what):
+            dense_topk(asked, rows, 5, order=wrong).collect()

@@ -21,7 +21,7 @@ def sql():
 
 
 #: Queries of several written tables; in the shared folder only those stay that the result reads.
-LEAN = {"bm25_padded", "hybrid_metrics", "robustness", "business_breakdown", "golden_leaderboard", "leaderboard", "paired_bootstrap", "event_intervals"}
+LEAN = {"bm25_padded", "hybrid_metrics", "robustness", "business_breakdown", "golden_leaderboard", "golden_leaderboards", "leaderboard", "paired_bootstrap", "event_intervals"}
 
 
 def tables(spark):
