@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -22,12 +23,13 @@ from corvane.llm import kernels as K
 
 PROFILE = 300
 UNKNOWN = "und"
+LETTER = 21
 
 
 @cache
 def _folded() -> np.ndarray:
     """Lower-cased letter for each code point; 0 for anything that is not a letter."""
-    table = np.zeros(sys.maxunicode + 1, np.int64)
+    table = np.zeros(sys.maxunicode + 1, np.int32)
     for c in range(sys.maxunicode + 1):
         if (s := chr(c)).isalpha():
             low = s.lower()
@@ -35,57 +37,98 @@ def _folded() -> np.ndarray:
     return table
 
 
-def _code_points(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points of a slice, and the offsets of its rows in them."""
-    points = np.frombuffer(part.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    first = np.concatenate(([0], np.cumsum((part.data & 0xC0) != 0x80)))
-    return _folded()[points], first[part.offsets]
-
+@cache
+def _end_of_letters() -> int:
+    return int(_folded().max()) + 1
 
-def ngrams(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(row, n-gram) of every occurrence; an n-gram packs up to three code points of 21 bits, 0 being the blank.
 
-    Letters run together to words; each word is padded with one blank on either side, and windows of
-    blanks only do not count.
+def _code_points(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of a slice, and the offsets of its rows in them; bytes that are no UTF-8 are no letters."""
+    data = part.data.tobytes()
+    try:
+        text = data.decode("utf-8")
+        offsets = np.concatenate(([0], np.cumsum((part.data & 0xC0) != 0x80)))[part.offsets]
+    except UnicodeDecodeError:
+        rows = [data[a:b].decode("utf-8", "replace") for a, b in zip(part.offsets, part.offsets[1:])]
+        text, offsets = "".join(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return _folded()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], offsets
+
+
+def _renamed(grams: np.ndarray, bits: int, to: int, names: np.ndarray) -> np.ndarray:
+    """N-grams whose letters take ``bits`` bits, with each letter's name of ``to`` bits; negative where a name is."""
+    letters = [names[grams >> k * bits & (1 << min(bits, 20)) - 1] << k * to for k in range(3)]
+    return letters[0] | letters[1] | letters[2] | grams >> min(3 * bits, 62) << min(3 * to, 62)
+
+
+@dataclass
+class Grams:
+    """(row, n-gram) of every occurrence in a slice.
+
+    An n-gram packs up to three letters, 0 being the blank, and above them a bit that marks pairs. Letters are
+    numbered in order among those of the slice, so that an n-gram takes few bits; code points are ``LETTER`` bits wide.
+    Both packings have the same order.
     """
-    letters, offsets = _code_points(part)
-    # two blanks between rows: one closes a row's last word, one opens the next row's first
-    row = np.repeat(np.arange(part.rows), np.diff(offsets))
-    at = np.arange(len(letters)) + 2 * row + 1
-    padded = np.zeros(len(letters) + 2 * part.rows + 1, np.int64)
-    padded[at] = letters
-    owner = np.zeros(len(padded), np.int64)
-    owner[at] = row
-    # runs of blanks shrink to one
-    keep = padded > 0
-    keep[1:] |= padded[:-1] > 0
-    ends = np.flatnonzero(~(padded[1:] > 0) & (padded[:-1] > 0)) + 1
-    owner[ends] = owner[ends - 1]
-    opening = np.flatnonzero((padded[1:] > 0) & ~keep[:-1])
-    keep[opening] = True
-    owner[opening] = owner[opening + 1]
-    padded, owner = padded[keep], owner[keep]
-    grams, rows = [padded[padded > 0]], [owner[padded > 0]]
-    a, b = padded[:-1], padded[1:]
-    same = (owner[:-1] == owner[1:]) & ((a > 0) | (b > 0))
-    grams.append(((a << 21) | b)[same] | 1 << 62)
-    rows.append(owner[:-1][same])
-    if len(padded) > 2:
-        c = padded[2:]
-        same = (owner[:-2] == owner[2:]) & (b[:-1] > 0)
-        grams.append(((a[:-1] << 42) | (b[:-1] << 21) | c)[same])
-        rows.append(owner[:-2][same])
-    return np.concatenate(rows), np.concatenate(grams)
-
-
-def _grouped(rows: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a slice, then (row, index of n-gram, count), sorted by row and n-gram."""
-    names, code = np.unique(grams, return_inverse=True)
-    packed = np.sort(rows * len(names) + code)
-    first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else np.zeros(0, np.int64)
-    count = np.diff(np.concatenate((first, [len(packed)])))
-    row, code = np.divmod(packed[first], max(len(names), 1))
-    return names, row, code, count
+
+    row: np.ndarray
+    gram: np.ndarray
+    alphabet: np.ndarray  # code point of each number
+    number: np.ndarray  # of each code point; -1 for those that the slice lacks
+    bits: int  # of a number
+
+    def numbered(self, grams: np.ndarray) -> np.ndarray:
+        return _renamed(grams, LETTER, self.bits, self.number)
+
+    def spelled(self, grams: np.ndarray) -> np.ndarray:
+        return _renamed(grams, self.bits, LETTER, self.alphabet)
+
+    def counted(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, n-gram, count) in this order; ``group`` has a small number for each occurrence."""
+        return _runs(group, self.gram, 3 * self.bits + 1)
+
+
+def _fits(highest: int, *widths: int) -> bool:
+    """Whether a number up to ``highest`` and others of so many bits pack into one of 63."""
+    return highest.bit_length() + sum(widths) <= 63
+
+
+def _runs(group: np.ndarray, gram: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (group, n-gram), sorted, and how often each occurs; n-grams have ``width`` bits."""
+    if not len(gram):
+        return group, gram, group
+    if _fits(int(group.max()), width):
+        both = np.sort(group << width | gram)
+        new = both[1:] != both[:-1]
+        first = np.flatnonzero(np.concatenate(([True], new)))
+        group, gram = both[first] >> width, both[first] & (1 << width) - 1
+    else:
+        order = np.lexsort((gram, group))
+        group, gram = group[order], gram[order]
+        new = (group[1:] != group[:-1]) | (gram[1:] != gram[:-1])
+        first = np.flatnonzero(np.concatenate(([True], new)))
+        group, gram = group[first], gram[first]
+    return group, gram, np.diff(np.append(first, len(new) + 1))
+
+
+def ngrams(part: K.Slice) -> Grams:
+    """N-grams of a slice: letters run together to words, each word is padded with one blank on either side."""
+    points, offsets = _code_points(part)
+    seen = np.zeros(_end_of_letters(), bool)
+    seen[points] = True
+    seen[0] = True
+    alphabet, number = np.flatnonzero(seen), np.where(seen, np.cumsum(seen) - 1, -1)
+    bits = max((len(alphabet) - 1).bit_length(), 1)
+    letters = number[points]
+    before, after = np.zeros_like(letters), np.zeros_like(letters)
+    before[1:], after[:-1] = letters[:-1], letters[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(letters))]
+    before[edges], after[edges - 1] = 0, 0
+    at = np.flatnonzero(letters)
+    row = np.repeat(np.arange(part.rows), np.diff(offsets))[at]
+    before, here, after = before[at], letters[at], after[at]
+    last = np.flatnonzero(after == 0)
+    pair = 1 << 3 * bits
+    grams = here, before << 2 * bits | here << bits | after, pair | before << bits | here, pair | here[last] << bits
+    return Grams(np.concatenate((row, row, row, row[last])), np.concatenate(grams), alphabet, number, bits)
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +147,11 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batch.column("text")):
             here = np.array(langs[part.first : part.first + part.rows], object)
             known, lang_of = np.unique(here, return_inverse=True)
-            rows, grams = ngrams(part)
-            names, lang, code, count = _grouped(lang_of[rows], grams)
+            grams = ngrams(part)
+            lang, gram, count = grams.counted(lang_of[grams.row])
             for k, name in enumerate(known):
                 own = lang == k
-                add(name, names[code[own]], count[own])
+                add(name, grams.spelled(gram[own]), count[own])
     for lang, (names, counts) in total.items():
         for k in range(0, len(names), 50_000):
             some = slice(k, k + 50_000)
@@ -126,11 +169,26 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {lang: np.array([g for _, g in sorted(p)], np.int64) for lang, p in sorted(profiles.items())}
 
 
+def _by_count(row: np.ndarray, gram: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and n-grams, by row, falling count and n-gram; they come sorted by row and n-gram."""
+    if not len(row):
+        return row, gram
+    most = int(count.max())
+    if _fits(int(row[-1]), most.bit_length(), width):
+        key = np.sort((row << most.bit_length() | most - count) << width | gram)
+        return key >> most.bit_length() + width, key & (1 << width) - 1
+    order = np.lexsort((-count, row))
+    return row[order], gram[order]
+
+
 def predictor(profiles: dict[str, np.ndarray]):
     """A task function: adds ``lang_pred`` and ``score`` to batches with ``text``."""
     languages = list(profiles)
-    order = {lang: np.argsort(p) for lang, p in profiles.items()}
-    grams = {lang: p[order[lang]] for lang, p in profiles.items()}
+    known = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
+    # each language's rank of the known n-grams, and of any other; from 2 * PROFILE on, every distance is PROFILE
+    places = np.full((len(languages), len(known) + 1), 2 * PROFILE)
+    for k, p in enumerate(profiles.values()):
+        places[k, np.searchsorted(known, p)] = np.arange(len(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,22 +201,21 @@ def predictor(profiles: dict[str, np.ndarray]):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     def _closest(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
-        names, row, code, count = _grouped(*ngrams(part))
-        by_rank = np.lexsort((code, -count, row))
-        row, code = row[by_rank], code[by_rank]
-        first = np.searchsorted(row, np.arange(part.rows))
-        rank = np.arange(len(row)) - first[row]
+        grams = ngrams(part)
+        row, gram, count = grams.counted(grams.row)
+        row, gram = _by_count(row, gram, count, 3 * grams.bits + 1)
+        rank = np.arange(len(row)) - np.searchsorted(row, np.arange(part.rows))[row]
         top = rank < PROFILE
-        row, code, rank = row[top], code[top], rank[top]
+        row, gram, rank = row[top], gram[top], rank[top]
         n = np.bincount(row, minlength=part.rows)
+        numbers = grams.numbered(known)
+        here = np.flatnonzero(numbers >= 0)  # the n-grams whose letters the slice has, in the same order
+        at = np.searchsorted(numbers[here], gram)
+        place = np.append(here, len(known))[at]
+        place[np.append(numbers[here], -1)[at] != gram] = len(known)
         distance = np.zeros((len(languages), part.rows))
-        for k, lang in enumerate(languages):
-            place = np.full(len(names), -1)  # rank of each n-gram of the slice in the profile
-            at = np.minimum(np.searchsorted(grams[lang], names), max(len(grams[lang]) - 1, 0))
-            hit = grams[lang][at] == names
-            place[hit] = order[lang][at[hit]]
-            p = place[code]
-            distance[k] = np.bincount(row, np.where(p >= 0, np.abs(p - rank), PROFILE), part.rows)
+        for k in range(len(languages)):
+            distance[k] = np.bincount(row, np.minimum(np.abs(places[k, place] - rank), PROFILE), part.rows)
         if not languages:
             return np.full(part.rows, -1), np.zeros(part.rows)
         best = distance.argmin(0)
